@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.fixed import HARNESS_KIND
 from tracewell.functions.strict_json import observation
 from tracewell.functions.text import rfc3339
 
-HARNESS_KIND = "agent-harness-event"
+
 
 #: Hours from the period's start to the arrival's hour: from ON_TIME on an arrival corrects, beyond CUT_OFF it is refused.
 ON_TIME_HOURS, CUT_OFF_HOURS = 2, 48
