@@ -18,12 +18,14 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.strict_json import observation
+from tracewell.session import cut
 
 #: Terms that closures carry to the executors at most; a longer lexicon is joined to the texts instead.
 MAX_CARRIED_TERMS = 200_000
@@ -57,56 +59,82 @@ NATIONAL_ID = re.compile(
     r"(?<![\w.+-])(?:\d{3}([- ])\d{2}\1\d{4}|\d{6}[-+]\d{4,5}|(?i:[a-z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[a-d])|[A-Z]{1,2}\d{7}|9\d{8})(?![\w-])(?!\.\d)"
     r"|(?i:(?<=\bssn=)|(?<=\bid: )|(?<=\bid no\. )|(?<=\bpassport ))\d{8,10}(?![\w-])"
 )
-_UNIT = r"(?:(?:flat|unit|apt|apartment|suite|room|wohnung)\.?[ ]\d+[a-z]?,[ ]?)?"
 _NOT_NAME = r"(?!(?:of|the|in|to|at|on|is|was|are|were|and|or|for|by|with|after|before|from|than|per)\b)"
 _WORD = rf"{_NOT_NAME}[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*"
-ADDRESS = re.compile(
-    rf"""(?<![\w.:/+-])(?:
-    {_UNIT}\d{{1,4}}[a-z]?[ ](?:{_WORD}[ ]){{1,3}}(?:street|st\.?|road|rd\.?|avenue|ave\.?|lane|ln\.?|drive|dr\.?|close|terrace|row|court|crescent|boulevard|blvd\.?|square|way|place|gardens|grove|mews|hill)(?![\w'’-])(?![ ]\d)
-    |{_UNIT}\d{{1,4}}(?:[ ]?(?:bis|ter))?,?[ ](?:rue|avenue|chemin|impasse|boulevard|allée|place|quai|route|cours|sentier)[ ](?:(?:de[ ]la|de[ ]l['’]|des|du|de|d['’])[ ]?){_WORD}(?:[ ](?-i:[A-ZÀ-Þ]){_WORD})*
-    |{_UNIT}(?-i:(?:(?:Obere|Untere|Alte|Neue|Kleine|Große|Lange|Hintere|Vordere)[ ])?[A-ZÄÖÜ][\w-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer|ring|damm|steig|graben))[ ]\d{{1,4}}[a-z]?(?![\w-])(?!\.\d)
-    |{_UNIT}(?-i:(?:Am|An[ ]der|An[ ]den|Im|In[ ]der|Zum|Zur|Auf[ ]der|Auf[ ]dem|Unter[ ]den|Hinter[ ]der|Vor[ ]dem)(?:[ ][A-ZÄÖÜ][\w-]+){{1,3}})[ ]\d{{1,4}}[a-z]?(?![\w-])(?!\.\d)
+#: Forms that begin with the house number; a unit before it is looked for afterwards.
+NUMBER_FIRST = re.compile(
+    rf"""(?<![\w.:/+-])\d{{1,4}}(?:
+    [a-z]?[ ](?:{_WORD}[ ]){{1,3}}(?:street|st\.?|road|rd\.?|avenue|ave\.?|lane|ln\.?|drive|dr\.?|close|terrace|row|court|crescent|boulevard|blvd\.?|square|way|place|gardens|grove|mews|hill)(?![\w'’-])(?![ ]\d)
+    |(?:[ ]?(?:bis|ter))?,?[ ](?:rue|avenue|chemin|impasse|boulevard|allée|place|quai|route|cours|sentier)[ ](?:(?:de[ ]la|de[ ]l['’]|des|du|de|d['’])[ ]?){_WORD}(?:[ ](?-i:[A-ZÀ-Þ]){_WORD})*
     )""",
     re.VERBOSE | re.IGNORECASE,
 )
-TERM = re.compile(r"[^\W\d_]+(?:['’\-‐‑][^\W\d_]+)*")
+#: Forms that end with it.
+NUMBER_LAST = re.compile(
+    r"""(?<![\w.:/+-])(?:
+    (?:(?:Obere|Untere|Alte|Neue|Kleine|Große|Lange|Hintere|Vordere)[ ])?[A-ZÄÖÜ][\w-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer|ring|damm|steig|graben)
+    |(?:Am|An[ ]der|An[ ]den|Im|In[ ]der|Zum|Zur|Auf[ ]der|Auf[ ]dem|Unter[ ]den|Hinter[ ]der|Vor[ ]dem)(?:[ ][A-ZÄÖÜ][\w-]+){1,3}
+    )[ ]\d{1,4}[a-z]?(?![\w-])(?!\.\d)""",
+    re.VERBOSE,
+)
+_MAY_END_IN_NUMBER = ("straße ", "strasse ", "str. ", "weg ", "gasse ", "allee ", "platz ", "ufer ", "ring ", "damm ", "steig ", "graben ", "Am ", "An d", "Im ", "In d", "Zum ", "Zur ", "Auf d", "Unter d", "Hinter d", "Vor d")
+_UNIT_BEFORE = re.compile(r"(?<![\w.:/+-])(?:flat|unit|apt|apartment|suite|room|wohnung)\.? \d+[a-z]?, ?$", re.IGNORECASE)
+#: A word that isn't part of an identifier, a path or a handle.
+TERM = re.compile(r"(?<![\w@＠/\\#])[^\W\d_]++(?:['’\-‐‑][^\W\d_]++)*+(?![\w@＠/\\#=])")
 #: What may stand between a given and a family name: a space, with another initial perhaps; or a comma, in the other order.
 _GAP = re.compile(r"[ \t ]+(?:[^\W\d_]\.[ \t ]*)*")
 _COMMA = re.compile(r",[ \t ]*")
-#: Characters that tie a word to an identifier, a path or a handle.
-_TIES = frozenset("_@/\\#=0123456789＠")
-_MAY_HAVE_SHAPE = re.compile(r"[0-9@＠]|[(\[]at[)\]]| at \S+ dot ", re.IGNORECASE)
+#: Five digits, or digits in the groups that identity numbers have.
+_MAY_IDENTIFY = re.compile(r"\d{5}|\d[ -]\d\d[ -]\d")
+_DIGIT = re.compile(r"\d")
 
 
+@lru_cache(maxsize=200_000)
 def fold(term: str) -> str:
     """``term`` without case and accents, so that both spellings of a name meet."""
     plain = unicodedata.normalize("NFKD", term.casefold().replace("ø", "o").replace("ł", "l").replace("đ", "d").replace("ß", "ss"))
     return "".join(c for c in plain if not unicodedata.combining(c))
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    for m in NUMBER_FIRST.finditer(text):
+        unit = _UNIT_BEFORE.search(text, max(0, m.start() - 24), m.start())
+        yield (unit.start() if unit else m.start()), m.end()
+    if any(x in text for x in _MAY_END_IN_NUMBER):
+        for m in NUMBER_LAST.finditer(text):
+            yield m.span()
+
+
 def shapes(text: str) -> list[tuple[str, int, int]]:
-    """(type, start, end) of what is found by its shape, without overlaps; the earlier kind wins."""
-    if not _MAY_HAVE_SHAPE.search(text):
-        return []
+    """(type, start, end) of what is found by its shape, without overlaps; the earlier kind wins.
+
+    The tests before each pattern are necessary for it to match, and cheap.
+    """
     found: list[tuple[str, int, int]] = []
-    for kind, pattern in (("email", EMAIL), ("phone", PHONE), ("national_id", NATIONAL_ID), ("address", ADDRESS)):
-        for m in pattern.finditer(text):
-            if all(m.end() <= a or m.start() >= b for _, a, b in found):
-                found.append((kind, m.start(), m.end()))
+
+    def add(kind: str, spans: Iterator[tuple[int, int]]) -> None:
+        for x, y in spans:
+            if all(y <= a or x >= b for _, a, b in found):
+                found.append((kind, x, y))
+
+    if "@" in text or "＠" in text or "(" in text or "[" in text or " at " in text or " AT " in text:
+        low = text.lower()
+        if "@" in text or "＠" in text or "(at)" in low or "[at]" in low or (" at " in low and " dot " in low):
+            add("email", (m.span() for m in EMAIL.finditer(text)))
+    if _DIGIT.search(text):
+        add("phone", (m.span() for m in PHONE.finditer(text)))
+        if _MAY_IDENTIFY.search(text):
+            add("national_id", (m.span() for m in NATIONAL_ID.finditer(text)))
+        add("address", _addresses(text))
     return found
 
 
 def words(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """(folded term, start, end) of the words outside ``taken`` that aren't part of an identifier."""
-    out = []
-    for m in TERM.finditer(text):
-        a, b = m.span()
-        if any(a < y and x < b for _, x, y in taken):
-            continue
-        if (a and text[a - 1] in _TIES and text[a - 1] != "=") or (b < len(text) and text[b] in _TIES):
-            continue
-        out.append((fold(m.group()), a, b))
-    return out
+    """(folded term, start, end) of the words outside ``taken``."""
+    found = [(fold(m.group()), *m.span()) for m in TERM.finditer(text)]
+    if taken:
+        found = [x for x in found if all(x[2] <= a or x[1] >= b for _, a, b in taken)]
+    return found
 
 
 class Names:
@@ -115,6 +143,7 @@ class Names:
     def __init__(self, roles: Mapping[str, int]):
         self.roles = dict(roles)
         self.first: dict[str, list[tuple[str, ...]]] = {}
+        self.begin = frozenset(name.split(" ")[0] for name in self.roles)
         for name in self.roles:
             parts = tuple(name.split(" "))
             if len(parts) > 1:
@@ -180,9 +209,9 @@ def pieces(text: str | None, names: Names) -> list[tuple[str, int, int]]:
     if not text:
         return []
     found = shapes(text)
-    items = names.merged(words(text, found))
-    if any(role for *_, role in items):
-        found = found + persons(text, items)
+    own = words(text, found)
+    if not names.begin.isdisjoint([x[0] for x in own]):
+        found = found + persons(text, names.merged(own))
     return sorted(found, key=lambda x: x[1])
 
 
@@ -314,13 +343,12 @@ def disclosing_terms(texts: DataFrame, known: DataFrame, min_share: float = MIN_
         for batch in batches:
             owns = batch.column(1).to_pylist() if names is None else [None] * batch.num_rows
             for text, own in zip(batch.column(0).to_pylist(), owns):
-                found = shapes(text)
-                items = words(text, found)
-                total.update(x[0] for x in items)
+                items = words(text, [])
+                terms = [x[0] for x in items]
+                total.update(terms)
                 here = _lexicon_of(names, own)
-                merged = here.merged(items)
-                if any(r for *_, r in merged):
-                    standing.update(halves(text, merged))
+                if not here.begin.isdisjoint(terms):
+                    standing.update(halves(text, here.merged(items)))
         rows = [(t, 0, 0, n) for t, n in total.items()] + [(t, r, n, 0) for (t, r), n in standing.items()]
         columns = list(zip(*rows)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["term", "role", "standing", "total"])
@@ -331,7 +359,7 @@ def disclosing_terms(texts: DataFrame, known: DataFrame, min_share: float = MIN_
         F.sum(F.when(F.col("role") == FAMILY, F.col("standing"))).alias("family"),
         F.sum("total").alias("total"),
     )
-    by_term = by_term.fillna(0, subset=["given", "family"]).withColumn("standing", F.col("given") + F.col("family"))
+    by_term = cut(by_term.fillna(0, subset=["given", "family"]).withColumn("standing", F.col("given") + F.col("family")))
     mean = by_term.agg((F.sum("standing") / F.sum("total")).alias("chance"))  # one row
     scored = (
         by_term.where("standing > 0 and char_length(term) > 1")
