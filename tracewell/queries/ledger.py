@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import derived as rules
 from tracewell.functions.bands import BandTable, Registry, band_by_join, default_registry, unregistered
 from tracewell.functions.digest import canonical_json, instant_text, persisted_payload, semantic_digest, sha256_hex, sha256_raw
-from tracewell.functions.fixed import MAX_EXCERPT_BYTES, MAX_EXCERPTS, MAX_FACETS
+from tracewell.functions.fixed import DIGEST_SCHEMA, MAX_EXCERPT_BYTES, MAX_EXCERPTS, MAX_FACETS, OBSERVATION_SCHEMA
 from tracewell.functions.ids import parse_ulid, ulid_millis
 from tracewell.functions.redaction import guard_reason, strictest_redaction
 from tracewell.functions.text import escape_debug, is_blank, is_digest, normalize_text, rfc3339, snake_case
@@ -100,7 +100,7 @@ _AT = """CASE WHEN occurred_at IS NULL THEN NULL WHEN epoch_us(occurred_at) % 10
 _J = lambda x: f"coalesce(to_json({x})::VARCHAR, 'null')"
 _LIST = lambda items, each: f"CASE WHEN {items} IS NULL THEN 'null' ELSE '[' || array_to_string(list_transform({items}, lambda e: {each}), ',') || ']' END"
 _PAYLOAD = (
-    """'{"schema":"evidra.agent-harness-observation/v1","source_event_id":' || """
+    '''\'{"schema":"''' + OBSERVATION_SCHEMA + '''","source_event_id":\' || '''
     + _J("source_event_id")
     + """ || ',"harness":{"name":' || """
     + _J("harness.name")
@@ -123,7 +123,7 @@ _PAYLOAD = (
     + """ || '}'"""
 )
 _ENVELOPE = (
-    """'{"schema":"evidra.agent-harness-event-digest/v1","occurred_at":' || """
+    '''\'{"schema":"''' + DIGEST_SCHEMA + '''","occurred_at":\' || '''
     + _J(_AT)
     + """ || ',"source":{"kind":' || """
     + _J("source.kind")

@@ -132,9 +132,12 @@ class Store:
 
     # Appending.
 
+    def committed(self, batch: str) -> bool:
+        return self._get(f"{self.root}/manifests/{batch}.json") is not None
+
     def commit(self, batch: str, tables: Mapping[str, DataFrame]) -> bool:
         """Write the tables of a batch and then its manifest; False, and nothing done, if the batch is committed already."""
-        if self._get(f"{self.root}/manifests/{batch}.json") is not None:
+        if self.committed(batch):
             return False
         for name, df in tables.items():
             ddl, _ = TABLES[name]
@@ -155,6 +158,8 @@ class Store:
 
     def append_observations(self, batch: str, rows: DataFrame) -> bool:
         """Append observations (id, observed_at, document) other than harness events, which come with receipts."""
+        if self.committed(batch):
+            return False
         kind = F.get_json_object("document", "$.kind")
         self._refuse(rows.where(kind.isNull()), "unreadable document")
         self._refuse(rows.where(kind == HARNESS_KIND), "a harness event needs a receipt")
@@ -163,6 +168,8 @@ class Store:
 
     def append_harness(self, batch: str, rows: DataFrame, quarantined: DataFrame | None = None) -> bool:
         """Append harness observations with their receipts (see ``ledger.harness_observations``), and what was quarantined beside them."""
+        if self.committed(batch):
+            return False
         receipts = rows.select(F.col("harness_name").alias("harness"), "session_id", "source_event_id", "event_digest", F.col("id").alias("observation_id"))
         self._new_keys("receipts", receipts)
         tables = {"observations": rows, "receipts": receipts}
@@ -176,6 +183,8 @@ class Store:
         Refused are records that break a rule of construction, that would close a cycle of supersession, or
         that carry a facet whose (namespace, name) isn't in ``registered``.
         """
+        if self.committed(batch):
+            return False
         self._refuse(refusals(rows), "a rule is broken")
         self._new_keys("derivations", rows)
         self._refuse(closes_cycle(self.read("derivations"), rows), "a cycle of supersession")
@@ -192,6 +201,8 @@ class Store:
 
     def append_relationships(self, batch: str, rows: DataFrame) -> bool:
         """Append edges; refused are unknown relations, edges of a key to itself, and ends that name nothing."""
+        if self.committed(batch):
+            return False
         self._refuse(rows.where(~in_vocabulary("relation") | ~in_vocabulary("confidence")), "unknown relation or confidence")
         self._refuse(rows.where("from_key = to_key"), "an edge of a key to itself")
         self._new_keys("relationships", rows)
