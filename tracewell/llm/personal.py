@@ -64,7 +64,7 @@ _WORD = rf"{_NOT_NAME}[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*"
 #: Forms that begin with the house number; a unit before it is looked for afterwards.
 NUMBER_FIRST = re.compile(
     rf"""(?<![\w.:/+-])\d{{1,4}}(?:
-    [a-z]?[ ](?:{_WORD}[ ]){{1,3}}(?:street|st\.?|road|rd\.?|avenue|ave\.?|lane|ln\.?|drive|dr\.?|close|terrace|row|court|crescent|boulevard|blvd\.?|square|way|place|gardens|grove|mews|hill)(?![\w'’-])(?![ ]\d)
+    [a-z]?[ ](?:{_WORD}[ ]){{1,3}}(?:street|st\.?|road|rd\.?|avenue|ave\.?|lane|ln\.?|drive|dr(?!\.?[ ][^\W\d_])\.?|close|terrace|row|court|crescent|boulevard|blvd\.?|square|way|place|gardens|grove|mews|hill)(?![\w'’-])(?![ ]\d)
     |(?:[ ]?(?:bis|ter))?,?[ ](?:rue|avenue|chemin|impasse|boulevard|allée|place|quai|route|cours|sentier)[ ](?:(?:de[ ]la|de[ ]l['’]|des|du|de|d['’])[ ]?){_WORD}(?:[ ](?-i:[A-ZÀ-Þ]){_WORD})*
     )""",
     re.VERBOSE | re.IGNORECASE,
