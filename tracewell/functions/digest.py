@@ -20,14 +20,17 @@ def sha256_raw(column: Column) -> Column:
 def canonical_json(value: Column) -> Column:
     """Compact JSON of a struct, fields in declared order, nulls kept, line separators as themselves and control characters in lower-case hex."""
     text = F.to_json(value, {"ignoreNullFields": "false"})
-    # An escape counts only after an even number of backslashes.
-    for escape, char in (("2028", "\u2028"), ("2029", "\u2029")):
-        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u{escape}", f"$1{char}")
-    for code in (*range(0x0A, 0x10), *range(0x1A, 0x20), 0x7F):
-        upper = f"{code:04X}"
-        if upper != upper.lower():
-            text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u{upper}", rf"$1\\u{upper.lower()}")
-    return text
+
+    def spelled(t: Column) -> Column:
+        # An escape counts only after an even number of backslashes.
+        for escape, char in (("2028", "\u2028"), ("2029", "\u2029")):
+            t = F.regexp_replace(t, rf"(?<!\\)((?:\\\\)*)\\u{escape}", f"$1{char}")
+        for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+            t = F.regexp_replace(t, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+        return t
+
+    # Within a lambda the text is made once; few texts have any escape that needs another spelling.
+    return F.get(F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit("\\u")), spelled(t)).otherwise(t)), F.lit(0))
 
 
 def instant_text(at: Column) -> Column:

@@ -12,10 +12,11 @@ build rows are unique; siblings are put in order by a range sort, never in one t
 
 from __future__ import annotations
 
+import sys
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,44 +180,70 @@ def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "supersedes",
     )
 
 
+def _open_at_edges(walk: DataFrame, starts: dict[int, tuple[str, int]]) -> DataFrame:
+    """(pid, id, root_id, entry, exit): for each partition the nodes of earlier ones that enclose its first node.
+
+    Each node looks its interval up among its tree's partition starts by bisection, so the work is one
+    search per node, and rows come out only for nodes that span an edge.
+    """
+    marks: dict[str, list[tuple[int, int]]] = {}
+    for pid, (root, entry) in starts.items():
+        marks.setdefault(root, []).append((entry, pid))
+    schema = "pid int, id string, root_id string, entry long, exit long"
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for node, root, entry, end in zip(*(batch.column(c).to_pylist() for c in ("id", "root_id", "entry", "exit"))):
+                own = marks.get(root)
+                if own and end - entry > 1:
+                    for _, pid in own[bisect_right(own, (entry, sys.maxsize)) : bisect_left(own, (end, -1))]:
+                        rows.append((pid, node, root, entry, end))
+            columns = zip(*rows) if rows else [[]] * 5
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["pid", "id", "root_id", "entry", "exit"])
+
+    for own in marks.values():
+        own.sort()
+    return walk.select("id", "root_id", "entry", "exit").mapInArrow(look, schema)
+
+
 def paths(tree: DataFrame, separator: str = "/") -> DataFrame:
     """``hierarchy`` rows off cycles with ``path`` (ids from the root down) and ``ancestors`` (the same as an array, without the node).
 
     The tour's order is a walk in depth-first order, so one pass over rows sorted by (root, entry) needs
-    only a stack. A tree that spans several partitions starts each with the stack that encloses its first
-    node, found by comparing intervals with one row per partition.
+    only a stack. A tree that spans several partitions starts each with the nodes that are open at its
+    edge, which are sent there as rows; the driver only sees one row per partition.
     """
-    walk = cut(range_sorted(tree.where("entry is not null"), ["root_id", "entry"]))
-    spark = walk.sparkSession
-    edges = partition_edges(walk.select("root_id", "entry"))
-    starts = {pid: (first["root_id"], first["entry"]) for pid, first, _ in edges}
-    stacks: dict[int, list[tuple[str, int]]] = {}
-    if len(edges) > 1:
-        marks = spark.createDataFrame([(p, r, e) for p, (r, e) in starts.items()], "pid int, mark_root string, mark long")
-        # One row per partition against all nodes: a bounded set of points, each with at most one ancestor per level.
-        above = walk.join(F.broadcast(marks), (F.col("root_id") == F.col("mark_root")) & (F.col("entry") < F.col("mark")) & (F.col("exit") > F.col("mark")))
-        for row in above.select("pid", "entry", "exit", "id").orderBy("pid", "entry").toLocalIterator():
-            stacks.setdefault(row.pid, []).append((row.id, row.exit))
-    schema = T.StructType([*walk.schema.fields, T.StructField("path", T.StringType()), T.StructField("ancestors", T.ArrayType(T.StringType()))])
+    sorted_walk = cut(range_sorted(tree.where("entry is not null"), ["root_id", "entry"]))
+    starts = {pid: (first["root_id"], first["entry"]) for pid, first, _ in partition_edges(sorted_walk.select("root_id", "entry"))}
+    walk = sorted_walk.withColumns({"pid": F.spark_partition_id(), "seed": F.lit(0)})
+    if len(starts) > 1:
+        seeds = _open_at_edges(sorted_walk, starts).withColumn("seed", F.lit(1))
+        walk = walk.unionByName(seeds, allowMissingColumns=True)
+        walk = walk.repartition(len(starts), "pid").sortWithinPartitions("pid", F.col("seed").desc(), "root_id", "entry")
+    fields = list(sorted_walk.schema.fields)
+    schema = T.StructType([*fields, T.StructField("path", T.StringType()), T.StructField("ancestors", T.ArrayType(T.StringType()))])
 
     def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = TaskContext.get().partitionId()
-        stack = list(stacks.get(pid, []))
-        root = starts[pid][0] if pid in starts else None
+        stack: list[tuple[str, int]] = []
+        here = root = None
         for batch in batches:
-            ids, roots, entries, exits = (batch.column(c).to_pylist() for c in ("id", "root_id", "entry", "exit"))
-            ancestors = []
-            for node, top, at, end in zip(ids, roots, entries, exits):
-                if top != root:
-                    root, stack = top, []
+            ancestors, full, kept = [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("pid", "seed", "id", "root_id", "entry", "exit")]
+            for i, (pid, seed, node, top, at, end) in enumerate(zip(*columns)):
+                if pid != here or top != root:
+                    here, root, stack = pid, top, []
                 while stack and stack[-1][1] < at:
                     stack.pop()
-                ancestors.append([x for x, _ in stack])
+                if not seed:
+                    above = [x for x, _ in stack]
+                    ancestors.append(above)
+                    full.append(separator.join([*above, node]))
+                    kept.append(i)
                 stack.append((node, end))
-            full = [separator.join([*a, n]) for a, n in zip(ancestors, ids)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(full, pa.string()), pa.array(ancestors, pa.list_(pa.string()))], names=[*batch.schema.names, "path", "ancestors"]
-            )
+            out = batch.select([f.name for f in fields]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(full, pa.string()), pa.array(ancestors, pa.list_(pa.string()))], names=[*out.schema.names, "path", "ancestors"])
 
     return walk.mapInArrow(climb, schema)
 

@@ -11,6 +11,7 @@ from tracewell.functions.digest import instant_text, persisted_payload, semantic
 from tracewell.functions.fixed import DEFAULT_LIST_LIMIT, HARNESS_KIND, HARNESS_TRANSFORMATION, MAX_LIST_LIMIT
 from tracewell.functions.ids import make_ulid
 from tracewell.functions.text import escape_debug
+from tracewell.session import cut
 
 IDENTITY = ("harness", "session_id", "source_event_id")
 
@@ -72,8 +73,9 @@ def outcomes(events: DataFrame, receipts: DataFrame | None = None, order: Sequen
     ``events`` has harness, session_id, source_event_id and event_digest. The first of an identity, in
     ``order``, is recorded unless the ledger has it; others are compared with what is recorded, not with
     the one before. Each identity's first is found by a combining aggregate, so no identity with many
-    deliveries is sorted in one task.
+    deliveries is sorted in one task. ``events`` is used twice and therefore written once; keep it narrow.
     """
+    events = cut(events)
     key = F.struct(*order)
     first = events.groupBy(*IDENTITY).agg(F.min_by("event_digest", key).alias("first_digest"), F.min(key).alias("first_key"))
     joined = events.join(first, list(IDENTITY))

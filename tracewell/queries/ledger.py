@@ -376,9 +376,8 @@ def audit_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     before, after = ledger.snapshot_digest(events), ledger.snapshot_digest(events.repartition(7, "user_id"))
-    both = before.withColumnRenamed("n", "n_before").crossJoin(after.select(F.col("n").alias("n_after"), F.col("low").alias("low2"), F.col("high").alias("high2")))  # one row each
-    same = (F.col("n_before") == F.col("n_after")) & (F.col("low") == F.col("low2")) & (F.col("high") == F.col("high2"))
-    return both.select(F.col("n_before").alias("n"), F.when(same, 0).otherwise(1).cast("long").alias("different"))
+    both = before.unionByName(after)
+    return both.agg(F.max("n").alias("n"), (F.count_distinct("n", "low", "high") - 1).alias("different"))
 
 
 # Views over derived records.
@@ -414,9 +413,9 @@ def facet_aggregate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_VIEW + "SELECT count(*) AS matching, count(*) AS counted FROM shown WHERE namespace = 'session' AND name = 'duration'")
 def aggregate_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = derived.current_facets(table(spark, sf_dir, "derivation_facets"), table(spark, sf_dir, "derivations"))
-    matching = view.where("namespace = 'session' and name = 'duration'").agg(F.count("*").alias("matching"))
-    counted = derived.aggregate(view, "session", "duration", include_superseded=True).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("counted"))
-    return matching.crossJoin(counted)  # one row each
+    matching = view.where("namespace = 'session' and name = 'duration'").agg(F.count("*").alias("matching"), F.lit(0).cast("long").alias("counted"))
+    counted = derived.aggregate(view, "session", "duration", include_superseded=True).agg(F.lit(0).cast("long").alias("matching"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("counted"))
+    return matching.unionByName(counted).agg(F.sum("matching").alias("matching"), F.sum("counted").alias("counted"))
 
 
 @query(_VIEW + "SELECT id, kind FROM d WHERE id NOT IN (SELECT id FROM superseded)")
