@@ -48,11 +48,13 @@ def budgets(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> D
     supply = sizes.groupBy("source").agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("n_records"))
     both = wanted.join(supply, "source", "left").fillna(0, subset=["supply", "n_records"])
     most = F.col("supply") * F.col("max_repeats")
-    # One row: the sum of the shares that can be met, and the largest total that all can.
-    limit = both.where("supply > 0").agg(F.sum("target_share").alias("present"), F.min(most / F.col("target_share")).alias("scaled"))
-    whole = F.lit(float(total)) if total is not None else F.col("scaled") * F.col("present")
-    budget = F.least(F.floor(whole * F.col("target_share") / F.col("present")), most)
-    return both.crossJoin(F.broadcast(limit)).select("source", "target_share", "max_repeats", "supply", "n_records", F.coalesce(budget, F.lit(0)).cast("long").alias("budget"))
+    both = cut(both)  # one row per target
+    # Two numbers: the sum of the shares that can be met, and the largest total that all of them can.
+    (limit,) = both.where("supply > 0").agg(F.sum("target_share").alias("present"), F.min(most / F.col("target_share")).alias("scaled")).collect()
+    present = limit.present or 1.0
+    whole = float(total) if total is not None else (limit.scaled or 0.0) * present
+    budget = F.least(F.floor(F.lit(whole) * F.col("target_share") / F.lit(present)), most)
+    return both.select("source", "target_share", "max_repeats", "supply", "n_records", F.when(F.col("supply") > 0, budget).otherwise(0).cast("long").alias("budget"))
 
 
 PLACED = "source string, doc_id long, n_tokens long, pid int, local_before long"
@@ -115,9 +117,11 @@ def shares(chosen: DataFrame, sizes: DataFrame, targets: DataFrame, total: int |
     """Per source of ``targets``: target and actual share of all chosen tokens, tokens, records, most repeats, supply and budget."""
     usable = sizes.where("doc_id is not null and n_tokens > 0").withColumn("source", source_key(F.col("source"))).where("source is not null")
     took = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("records"), F.max("repeats").alias("most_repeats"))
-    all_tokens = took.agg(F.sum("tokens").alias("all_tokens"))
-    joined = budgets(usable, targets, total).join(took, "source", "left").crossJoin(F.broadcast(all_tokens)).fillna(0, subset=["tokens", "records", "most_repeats"])
-    return joined.select("source", "target_share", (F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0))).alias("actual_share"), "tokens", "records", "most_repeats", "max_repeats", "supply", "budget")
+    took = cut(took)  # one row per source
+    (sums,) = took.agg(F.sum("tokens").alias("tokens")).collect()
+    joined = budgets(usable, targets, total).join(took, "source", "left").fillna(0, subset=["tokens", "records", "most_repeats"])
+    actual = F.col("tokens") / F.lit(float(sums.tokens or 1))
+    return joined.select("source", "target_share", actual.alias("actual_share"), "tokens", "records", "most_repeats", "max_repeats", "supply", "budget")
 
 
 def mix_documents(docs: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:

@@ -360,13 +360,10 @@ def disclosing_terms(texts: DataFrame, known: DataFrame, min_share: float = MIN_
         F.sum("total").alias("total"),
     )
     by_term = cut(by_term.fillna(0, subset=["given", "family"]).withColumn("standing", F.col("given") + F.col("family")))
-    mean = by_term.agg((F.sum("standing") / F.sum("total")).alias("chance"))  # one row
-    scored = (
-        by_term.where("standing > 0 and char_length(term) > 1")
-        .crossJoin(F.broadcast(mean))
-        .withColumn("share", F.col("standing") / (F.col("total") + 1))
-        .withColumn("bits", F.log2(F.col("share") / F.col("chance")))
-    )
+    (sums,) = by_term.agg(F.sum("standing").alias("standing"), F.sum("total").alias("total")).collect()  # two numbers
+    chance = (sums.standing or 0) / (sums.total or 1)
+    scored = by_term.where("standing > 0 and char_length(term) > 1").withColumn("share", F.col("standing") / (F.col("total") + 1))
+    scored = scored.withColumn("bits", F.log2(F.col("share") / F.lit(max(chance, 1e-300))))
     role = F.when(F.col("given") >= F.col("family"), GIVEN).otherwise(FAMILY)
     return scored.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).select("term", role.alias("role"), "standing", "total", "share", "bits")
 
