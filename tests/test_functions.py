@@ -98,9 +98,9 @@ def test_blank_and_normal_text(spark):
 
 
 def test_instants(spark):
-    rows = [("2024-01-01T00:00:00Z",), ("2024-01-01T02:00:00.1234567+02:00",), ("2024",), ("2024-02-30T00:00:00Z",), (None,)]
+    rows = [("2024-01-01T00:00:00Z",), ("2024-01-01T02:00:00.1234567+02:00",), ("2024",), ("2024-02-30T00:00:00Z",), (None,), ("2024-01-01t00:00:00z",), ("2024-01-01 20:00:00.5-0330",), ("2024-01-02T00:00:00+23:59",), ("2024-01-02T00:00:00+24:00",), ("2024-01-02T00:00:00+01:60",)]
     got = values(spark, rows, "t string", instant_text(text.rfc3339(F.col("t"))))
-    assert [x for (x,) in got] == ["2024-01-01T00:00:00Z", "2024-01-01T00:00:00.123456Z", None, None, None]
+    assert [x for (x,) in got] == ["2024-01-01T00:00:00Z", "2024-01-01T00:00:00.123456Z", None, None, None, "2024-01-01T00:00:00Z", "2024-01-01T23:30:00.500Z", "2024-01-01T00:01:00Z", None, None]
 
 
 def one_event(spark, **changes):

@@ -56,3 +56,11 @@ def test_empty_and_clashing_columns(spark):
     assert empty.count() == 0 and h.paths(empty).count() == 0 and h.descendants(empty).count() == 0
     extra = spark.createDataFrame([("A", None, 1, 2, "x", 3), ("B", "A", 1, 2, "y", 4)], ROW + ", node long, parent long, key string, depth int")
     assert {(r.id, r.depth) for r in h.hierarchy(extra).collect()} == {("A", 0), ("B", 1)}
+
+
+def test_many_rounds_in_one_tree(spark):
+    n = 6000
+    df = spark.range(n).selectExpr("concat('N', id) AS id", f"CASE WHEN id = 0 THEN NULL WHEN id < {n // 2} THEN concat('N', id - 1) ELSE 'N5' END AS supersedes")
+    tree = h.hierarchy(df)
+    (row,) = tree.agg({"depth": "max", "n_descendants": "max", "id": "count"}).collect()
+    assert set(row) == {n // 2 - 1, n - 1, n}

@@ -20,9 +20,16 @@ def normalize_text(column: Column) -> Column:
 
 
 def rfc3339(column: Column) -> Column:
-    """The instant that an RFC 3339 text names, to the microsecond; null if it is none."""
-    cleaned = F.regexp_replace(F.upper(column), r"(\.\d{6})\d+", "$1")
-    return F.when(column.rlike(RFC3339), cleaned.try_cast("timestamp"))
+    """The instant that an RFC 3339 text names, to the microsecond (more digits are cut); null if it is none.
+
+    Offsets go up to 23:59, further than Spark's own zones do; only those are taken off by hand.
+    """
+    usual = F.regexp_replace(F.upper(column), r"(\.\d{6})\d+", "$1").try_cast("timestamp")
+    local = F.regexp_replace(F.upper(column), r"^(.{10})[T ](\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?).*$", "$1 $2Z").try_cast("timestamp")
+    part = lambda i: F.regexp_extract(column, r"([+-])(\d{2}):?(\d{2})$", i).try_cast("int")
+    sign = F.when(F.regexp_extract(column, r"([+-])(\d{2}):?(\d{2})$", 1) == "-", -1).otherwise(1)
+    by_hand = F.timestamp_micros(F.unix_micros(local) - sign * (part(2) * 60 + part(3)).cast("long") * 60_000_000)
+    return F.when(column.rlike(RFC3339), F.coalesce(usual, F.when((part(2) < 24) & (part(3) < 60), by_hand)))
 
 
 def is_ulid(column: Column) -> Column:

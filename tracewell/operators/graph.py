@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.derived import edges
 from tracewell.operators.hierarchy import cycle_nodes, parent_links
-from tracewell.session import cut
+from tracewell.session import stored
 
 
 def both_ways(relationships: DataFrame) -> DataFrame:
@@ -36,11 +36,11 @@ def explain(relationships: DataFrame, starts: DataFrame, hops: int = 2) -> DataF
     dropped, so a walk never goes round a cycle.
     """
     links = both_ways(relationships).select("key", F.col("other").alias("next")).distinct()
-    seen = cut(starts.select(F.col("key").alias("start"), "key").distinct().withColumn("distance", F.lit(0)))
+    seen = stored(starts.select(F.col("key").alias("start"), "key").distinct().withColumn("distance", F.lit(0)))
     frontier = seen
     for hop in range(1, hops + 1):
         step = frontier.join(links, "key").select("start", F.col("next").alias("key")).distinct()
-        frontier = cut(step.join(seen.select("start", "key"), ["start", "key"], "left_anti").withColumn("distance", F.lit(hop)))
+        frontier = stored(step.join(seen.select("start", "key"), ["start", "key"], "left_anti").withColumn("distance", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -48,6 +48,6 @@ def explain(relationships: DataFrame, starts: DataFrame, hops: int = 2) -> DataF
 def closes_cycle(derivations: DataFrame, new: DataFrame, prefix: str = "derivation:") -> DataFrame:
     """(id) of the records of ``new`` (id, supersedes) that would lie on a cycle of supersession if appended."""
     both = derivations.select("id", "supersedes").unionByName(new.select("id", "supersedes"))
-    links = cut(parent_links(both, prefix=prefix))
+    links = stored(parent_links(both, prefix=prefix))
     on = links.join(cycle_nodes(links), "node", "left_semi").select("id")
     return new.select("id").distinct().join(on, "id", "left_semi")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.plans.ordered import partition_edges, range_sorted, with_neighbours
-from tracewell.session import cut
+from tracewell.session import cut, stored
 
 #: White space as Unicode has it, at either end.
 _EDGE = r"(?U)^\s+|\s+$"
@@ -50,7 +50,7 @@ def parent_links(df: DataFrame, id_col: str = "id", parent_col: str = "supersede
         .agg(F.min("id").alias("id"), F.min("up").alias("up"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    nodes = cut(keyed)
+    nodes = stored(keyed)
     known = nodes.select(F.col("key").alias("up"), F.col("node").alias("parent"))
     return nodes.join(known, "up", "left").select("node", "id", "parent")
 
@@ -63,16 +63,15 @@ def cycle_nodes(links: DataFrame) -> DataFrame:
     never leaves; a chain of length d is gone after about log2(d) rounds.
     """
     alive = links.where("parent is not null").select("node", "parent")
-    alive = cut(alive)
+    alive = stored(alive)
     left = alive.count()
     while left:
         target = alive.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
         inner = alive.join(alive.select(F.col("parent").alias("node")).distinct(), "node", "left_semi")
-        moved = cut(inner.join(target, "parent").select("node", F.col("next").alias("parent")))
-        now = moved.count()
-        if now == left:  # nothing peeled: every node has a pointer in and a pointer out, so all are on cycles
+        alive, before = stored(inner.join(target, "parent").select("node", F.col("next").alias("parent")), instead_of=alive), left
+        left = alive.count()
+        if left == before:  # nothing peeled: every node has a pointer in and a pointer out, so all are on cycles
             break
-        alive, left = moved, now
     return alive.select("node")
 
 
@@ -104,17 +103,8 @@ def rank_list(items: DataFrame) -> DataFrame:
     list, ``after`` how many elements follow it and ``weight`` the sum of ``step`` from it to the end.
     Elements that have reached their end take no further part; they are only looked up.
     """
-    state = cut(
-        items.select(
-            "elem",
-            "next",
-            F.col("elem").alias("last"),
-            F.lit(0).cast("long").alias("after"),
-            F.col("step").alias("weight"),
-        )
-    )
     # "after" and "weight" cover the elements from elem up to, but without, next.
-    state = state.withColumn("after", F.lit(1).cast("long"))
+    state = stored(items.select("elem", "next", F.col("elem").alias("last"), F.lit(1).cast("long").alias("after"), F.col("step").alias("weight")))
     while state.where("next is not null").limit(1).count():
         ahead = state.select(
             F.col("elem").alias("next"),
@@ -131,7 +121,7 @@ def rank_list(items: DataFrame) -> DataFrame:
             (F.col("after") + F.col("after2")).alias("after"),
             (F.col("weight") + F.col("weight2")).alias("weight"),
         )
-        state = cut(moved.unionByName(state.where("next is null")))
+        state = stored(moved.unionByName(state.where("next is null")), instead_of=state)
     return state.select("elem", "last", (F.col("after") - 1).alias("after"), "weight")
 
 
@@ -144,9 +134,9 @@ def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "supersedes",
     root_id ``cycle``, depth -1 and null entry, exit and n_descendants. See ``parent_links`` for null ids
     and repeated rows; an empty table gives no rows.
     """
-    links = cut(parent_links(df, id_col, parent_col, prefix))
+    links = stored(parent_links(df, id_col, parent_col, prefix))
     loops = cycle_nodes(links).withColumn("loop", F.lit(True))
-    forest = cut(
+    forest = stored(
         links.join(loops, "node", "left").select(
             "node", "id", F.when(F.col("loop").isNull(), F.col("parent")).alias("parent"), F.col("parent").alias("named"), F.coalesce("loop", F.lit(False)).alias("loop")
         )
@@ -164,7 +154,7 @@ def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "supersedes",
         .withColumn("root", F.floor(F.col("last") / 2))
         .drop("last")
     )
-    rows = cut(forest.join(sides, "node"))
+    rows = stored(forest.join(sides, "node"))
     roots = rows.where("node = root").select("root", F.col("id").alias("root_id"), F.col("loop").alias("cyclic"), F.col("in_after").alias("all_after"))
     parents = links.select(F.col("node").alias("named"), F.col("id").alias("parent_id"))
     full = rows.join(roots, "root").join(parents, "named", "left")

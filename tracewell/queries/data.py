@@ -121,6 +121,14 @@ _LATE = READABLE + """
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": READABLE + """
+, whole AS (
+  SELECT id, unnest([d, payload]) AS v, unnest(['', 'payload']) AS prefix, json_type(d, '$.payload') = 'VARCHAR' AS apart FROM doc
+), node AS (
+  SELECT w.id, w.prefix || CASE WHEN w.prefix <> '' AND t.fullkey <> '$' THEN '.' ELSE '' END || regexp_replace(t.fullkey, '^\\$\\.?', '') AS node_path, t.type
+  FROM whole w, json_tree(w.v) t WHERE w.prefix = '' OR w.apart
+)
+SELECT id AS observation_id, regexp_extract(node_path, '^(.*\\])\\.', 1) AS parent_path, node_path FROM node WHERE type = 'OBJECT' AND ends_with(node_path, ']')""",
         "p3_facets": READABLE + """
 SELECT id AS observation_id, 'payload.facets[' || i || ']' AS node_path, i AS position, f->>'$.name' AS name, f->>'$.value' AS value
 FROM (SELECT id, unnest(json_extract(payload, '$.facets[*]')) AS f, unnest(range(json_array_length(payload, '$.facets')::BIGINT)) AS i FROM doc)""",

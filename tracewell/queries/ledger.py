@@ -617,7 +617,7 @@ def redaction_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT session_id, count(*) AS n, list_sort(list_distinct(flatten(list(coalesce(redaction.transformations, []))))) AS transformations,
+    """SELECT session_id, count(*) AS n, array_to_string(list_sort(list_distinct(flatten(list(coalesce(redaction.transformations, []))))), ',') AS transformations,
   max(coalesce(len(redaction.transformations), 0)) AS most FROM wire_events WHERE session_id IS NOT NULL GROUP BY session_id"""
 )
 def redaction_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -625,11 +625,11 @@ def redaction_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "wire_events").where("session_id is not null").select("session_id", F.coalesce("redaction.transformations", F.array().cast("array<string>")).alias("t"))
     sizes = rows.groupBy("session_id").agg(F.count("*").alias("n"), F.max(F.size("t")).cast("long").alias("most"))
     union = rows.select("session_id", F.explode("t").alias("x")).distinct().groupBy("session_id").agg(F.array_sort(F.collect_list("x")).alias("transformations"))
-    return sizes.join(union, "session_id", "left").select("session_id", "n", F.coalesce("transformations", F.array().cast("array<string>")).alias("transformations"), "most")
+    return sizes.join(union, "session_id", "left").select("session_id", "n", F.concat_ws(",", "transformations").alias("transformations"), "most")
 
 
 @query(
-    """SELECT wire_id, redaction.policy AS policy, redaction.version AS version, list_sort(list_distinct(list_concat(coalesce(redaction.transformations, []), ['number-rounding', 'audit-mark']))) AS transformations
+    """SELECT wire_id, redaction.policy AS policy, redaction.version AS version, array_to_string(list_sort(list_distinct(list_concat(coalesce(redaction.transformations, []), ['number-rounding', 'audit-mark']))), ',') AS transformations
 FROM wire_events WHERE coalesce(len(redaction.transformations), 0) >= 2"""
 )
 def strictest_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -637,7 +637,7 @@ def strictest_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     house = F.struct(F.lit("house").alias("policy"), F.lit("1").alias("version"), F.array(F.lit("number-rounding"), F.lit("audit-mark")).alias("transformations"))
     own = F.struct(F.col("redaction.policy").alias("policy"), F.col("redaction.version").alias("version"), F.col("redaction.transformations").alias("transformations"))
     strictest = strictest_redaction(F.array(own, house))
-    return table(spark, sf_dir, "wire_events").where("size(redaction.transformations) >= 2").select("wire_id", strictest["policy"].alias("policy"), strictest["version"].alias("version"), strictest["transformations"].alias("transformations"))
+    return table(spark, sf_dir, "wire_events").where("size(redaction.transformations) >= 2").select("wire_id", strictest["policy"].alias("policy"), strictest["version"].alias("version"), F.concat_ws(",", strictest["transformations"]).alias("transformations"))
 
 
 @query("SELECT observation_id, regexp_full_match(event_digest, '[0-9a-f]{64}') AS good FROM receipts")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,12 +51,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder, eagerly, and go on from there.
 
-    Partitions, their order and the order of rows within them stay as they are.
+    Partitions, their order and the order of rows within them stay as they are. The planner keeps the
+    size it had guessed for ``df``; where joins follow joins in a loop, use ``stored``, because such
+    guesses multiply from round to round.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and go on from that table.
+
+    The planner then knows its true size. Rows come back in any order and partitioning. ``instead_of``, a
+    stored table that nothing needs any more, is deleted.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid4().hex}"
+    df.write.parquet(path)
+    if instead_of is not None:
+        for old in {f.rsplit("/", 1)[0] for f in instead_of.inputFiles() if "/stored-" in f}:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
