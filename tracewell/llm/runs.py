@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.plans.ordered import range_sorted
-from tracewell.session import cut
+from tracewell.session import cut, stored
 
 MAX_GAP_SECONDS = 30 * 60
 RUNS = "session_id string, run_key string, event_type string, first_wire_id long, last_wire_id long, first_at long, last_at long, n_events long, pid int, head boolean, tail boolean"
@@ -119,11 +119,11 @@ def _joined_at_edges(edges: DataFrame, max_gap: int) -> DataFrame:
     numbered = edges.withColumn("node", F.row_number().over(order).cast("long"))
     before = lambda c: F.lag(c).over(Window.orderBy("node"))
     linked = F.col("head") & before("tail") & (before("session_id") == F.col("session_id")) & (before("run_key") == F.col("run_key")) & (F.col("first_at") - before("last_at") <= max_gap)
-    state = cut(numbered.withColumn("pointer", F.when(F.coalesce(linked, F.lit(False)), F.col("node") - 1).otherwise(F.col("node"))))
+    state = stored(numbered.withColumn("pointer", F.when(F.coalesce(linked, F.lit(False)), F.col("node") - 1).otherwise(F.col("node"))))
     pointers = state.select("node", "pointer")
     while True:
         target = pointers.select(F.col("node").alias("pointer"), F.col("pointer").alias("further"))
-        moved = cut(pointers.join(target, "pointer").select("node", "pointer", "further"))
+        moved = stored(pointers.join(target, "pointer").select("node", "pointer", "further"))
         pointers = moved.select("node", F.col("further").alias("pointer"))
         if not moved.where("pointer <> further").limit(1).count():
             break
