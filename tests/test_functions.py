@@ -165,3 +165,15 @@ def test_sql_functions(spark):
     assert "band_latency_duration" in made
     row = spark.sql("SELECT band_latency_duration(1234), is_blank('　'), normalize_text(' A  b'), confidence_rank('weak'), freshness_rank('none')").collect()[0]
     assert tuple(row) == ("slow", True, "a b", 1, None)
+
+
+def test_band_tables_held_as_data(spark):
+    rows = [("a", "g", "x", -I64, 5), ("a", "g", "y", 6, None), ("a", "o", "x", -I64, 5), ("a", "o", "y", 4, None), ("a", "f", "x", 0, None), ("a", "b", "x", -I64, 5), ("a", "e", "x", -I64, -I64), ("a", "e", "y", -I64 + 1, None)]
+    df = spark.createDataFrame(rows, "namespace string, name string, band string, lower long, upper long")
+    assert {(r.name, r.band, r.fault) for r in bands.discontinuities(df).collect()} == {("g", "x", "gap"), ("o", "x", "overlap"), ("f", "x", "floating-low"), ("b", "x", "bounded-above"), ("e", "x", "empty")}
+    assert bands.discontinuities(bands.default_registry().as_table(spark)).count() == 0
+
+
+def test_paths(spark):
+    rows = [("src/a/b.rs",), ("/x",), ("",), (None,), ("a//b",)]
+    assert values(spark, rows, "p string", text.path_depth(F.col("p")), text.path_area(F.col("p"))) == [(3, "a"), (1, None), (0, None), (None, None), (2, "a")]

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import audit, derived, graph, ledger
+from tracewell.operators import audit, derived, graph, ledger, quarantine
 from tracewell.sources import render
 from tracewell.sources.inbox import FileInbox, InboxError
 from tracewell.sources.store import TABLES, Store, StoreError
@@ -239,3 +239,13 @@ def test_repository_root(tmp_path):
     (tmp_path / ".git").mkdir()
     (tmp_path / "a" / "b").mkdir(parents=True)
     assert render.repository_root(tmp_path / "a" / "b") == tmp_path.resolve()
+
+
+def test_documents_as_events_again(spark, store):
+    ingest_batch(store, spark.createDataFrame([(1, "a.json", text(facets=[{"name": "n", "value": 7}], harness={"name": "h"}))], "raw_id long, file_name string, body string"), "b1", AT)
+    o = store.read("observations")
+    (event,) = quarantine.valid_events(ledger.reconstructed_events(o), key="id").collect()
+    assert event.source_event_id == "e1" and event.facets[0].integer_value == 7 and event.harness.version is None
+    broken = o.withColumn("document", F.replace("document", F.lit('"version":null'), F.lit('"edition":null')))
+    assert [r.reason for r in ledger.reconstructed_events(broken).collect()] == ["invalid-json"]
+    assert ledger.reconstructed_events(o.limit(0)).count() == 0

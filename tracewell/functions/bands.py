@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.fixed import MAX_BANDS
@@ -141,6 +141,23 @@ def unregistered(facets: DataFrame, registered: DataFrame) -> DataFrame:
     return facets.join(registered, ["namespace", "name"], "left_anti")
 
 
+def discontinuities(bands: DataFrame) -> DataFrame:
+    """(namespace, name, band, fault) of band tables held as data: ``gap``, ``overlap``, ``empty``, ``bounded-above`` or ``floating-low``.
+
+    A facet has at most MAX_BANDS rows, so its window is small.
+    """
+    of = Window.partitionBy("namespace", "name").orderBy("lower")
+    following, previous = F.lead("lower").over(of), F.lag("lower").over(of)
+    fault = (
+        F.when(F.col("upper") <= F.col("lower"), "empty")
+        .when(previous.isNull() & (F.col("lower") != I64_MIN), "floating-low")
+        .when(following.isNull() & F.col("upper").isNotNull(), "bounded-above")
+        .when(following > F.col("upper"), "gap")
+        .when((following < F.col("upper")) | (following.isNotNull() & F.col("upper").isNull()), "overlap")
+    )
+    return bands.withColumn("fault", fault).where("fault is not null").select("namespace", "name", "band", "fault")
+
+
 def band_by_join(values: DataFrame, raw: str, bands: DataFrame) -> DataFrame:
     """Bands by a range join, for tables that live in data; ``bands`` has at most MAX_BANDS rows per facet, so it is small."""
     b = F.broadcast(bands.limit(MAX_BANDS).select(F.col("band"), F.col("lower"), F.col("upper")))

@@ -55,3 +55,14 @@ def escape_debug(column: Column) -> Column:
 
 def target_key(kind: Column, ident: Column) -> Column:
     return F.concat(kind, F.lit(":"), ident)
+
+
+def path_depth(path: Column) -> Column:
+    """Components of a path, empty ones not counted; null for null."""
+    return F.size(F.filter(F.split(path, "/"), lambda x: x != "")).cast("long")
+
+
+def path_area(path: Column) -> Column:
+    """The folder that a path's file lies in, or null if it lies in none."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    return F.get(parts, F.size(parts) - 2)

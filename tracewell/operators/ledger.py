@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.digest import instant_text, persisted_payload, semantic_digest
-from tracewell.functions.fixed import DEFAULT_LIST_LIMIT, HARNESS_KIND, HARNESS_TRANSFORMATION, MAX_LIST_LIMIT
+from tracewell.functions.fixed import DEFAULT_LIST_LIMIT, EVENT_SCHEMA, HARNESS_KIND, HARNESS_TRANSFORMATION, MAX_LIST_LIMIT, OBSERVATION_SCHEMA
 from tracewell.functions.ids import make_ulid
+from tracewell.functions.strict_json import observation
 from tracewell.functions.text import escape_debug
+from tracewell.operators import quarantine
 from tracewell.session import cut
 
 IDENTITY = ("harness", "session_id", "source_event_id")
@@ -135,6 +139,32 @@ def sealed(rows: DataFrame, envelope: list[Column], keep: list[str]) -> DataFram
     return rows.select("id", shown.alias("observed_at"), document.alias("document"), *keep)
 
 
+def reconstructed_events(observations: DataFrame) -> DataFrame:
+    """Harness documents turned back into events and judged by all rules again: (id, records, errors, reason), see ``quarantine``.
+
+    ``quarantine.valid_events(..., key="id")`` gives the events. A payload without the key ``version`` of its
+    harness (null or not) or with another schema tag is refused as ``invalid-json``. Observations of other
+    kinds and unreadable documents are left out; rows that share an id are taken once.
+    """
+
+    def unwrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, bodies = [], []
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                doc = observation(text)
+                if isinstance(doc, dict) and doc.get("kind") == HARNESS_KIND:
+                    payload = doc.get("payload")
+                    event = dict(payload) if isinstance(payload, dict) else {}
+                    whole = event.pop("schema", None) == OBSERVATION_SCHEMA and isinstance(event.get("harness"), dict) and "version" in event["harness"]
+                    event = {"schema": EVENT_SCHEMA if whole else None, **event, **{k: doc[k] for k in ("occurred_at", "source", "subject") if k in doc}}
+                    ids.append(ident)
+                    bodies.append(json.dumps(event, ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(bodies, pa.string())], names=["id", "body"])
+
+    once = observations.where("id is not null").dropDuplicates(["id"]).select(F.col("id").cast("string").alias("id"), "document")
+    return quarantine.classify(once.mapInArrow(unwrap, "id string, body string"), key="id")
+
+
 def snapshot_digest(df: DataFrame) -> DataFrame:
     """One row (n, digest) that two tables share exactly if their rows are the same, in any order: for comparing before and after."""
     mark = F.xxhash64(*df.columns)

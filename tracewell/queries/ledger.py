@@ -13,7 +13,7 @@ from tracewell.functions.digest import canonical_json, instant_text, persisted_p
 from tracewell.functions.fixed import DIGEST_SCHEMA, MAX_EXCERPT_BYTES, MAX_EXCERPTS, MAX_FACETS, OBSERVATION_SCHEMA
 from tracewell.functions.ids import parse_ulid, ulid_millis
 from tracewell.functions.redaction import guard_reason, strictest_redaction
-from tracewell.functions.text import escape_debug, is_blank, is_digest, normalize_text, rfc3339, snake_case
+from tracewell.functions.text import escape_debug, is_blank, is_digest, normalize_text, path_area, path_depth, rfc3339, snake_case
 from tracewell.operators import audit, derived, graph, hierarchy, late, ledger, quarantine
 from tracewell.queries.data import READABLE
 from tracewell.session import cut, table
@@ -678,6 +678,26 @@ def claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.claim_order(files.withColumn("origin", F.when(F.col("raw_id") % 7 == 0, "processing").otherwise("inbox"))).select("raw_id", "file_name", F.col("claim_no").cast("long").alias("claim_no"))
 
 
+@query(
+    READABLE
+    + """SELECT id, payload->>'$.source_event_id' AS source_event_id, payload->>'$.session_id' AS session_id, payload->>'$.event_type' AS event_type, json_array_length(payload, '$.facets')::BIGINT AS n_facets
+FROM doc WHERE d->>'$.kind' = 'agent-harness-event'"""
+)
+def reconstructed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored documents as events again, judged by all rules."""
+    events = quarantine.valid_events(ledger.reconstructed_events(table(spark, sf_dir, "observations")), key="id")
+    return events.select("id", "source_event_id", "session_id", "event_type", F.size("facets").cast("long").alias("n_facets"))
+
+
+@query(
+    """WITH f AS (SELECT unnest(facets) AS f FROM wire_events), p AS (SELECT list_filter(string_split(f.text_value, '/'), lambda x: x <> '') AS parts FROM f WHERE f.name = 'subject.path' AND f.text_value IS NOT NULL)
+SELECT len(parts) AS depth, parts[len(parts) - 1] AS area, count(*) AS n FROM p GROUP BY ALL"""
+)
+def subject_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = table(spark, sf_dir, "wire_events").select(F.inline("facets")).where("name = 'subject.path' and text_value is not null")
+    return paths.groupBy(path_depth(F.col("text_value")).alias("depth"), path_area(F.col("text_value")).alias("area")).agg(F.count("*").alias("n"))
+
+
 @query()
 def inbox_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What ingesting the inbox files would do against the receipts: one row per file."""
