@@ -91,3 +91,5 @@ def test_sources_and_empty_tables(spark):
 def test_very_long_text():
     text = "cold buffer " * 50_000 + "Averil Tavosh"
     assert p.pieces(text, NAMES) == [("person", 600_000, 600_013)]
+    many = "A. Tavosh a@b.example 020 7946 0252 " * 20_000
+    assert [k for k, *_ in p.pieces(many, NAMES)] == ["person", "email", "phone"] * 20_000

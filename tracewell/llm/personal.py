@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
@@ -82,8 +83,10 @@ _UNIT_BEFORE = re.compile(r"(?<![\w.:/+-])(?:flat|unit|apt|apartment|suite|room|
 #: A word that isn't part of an identifier, a path or a handle.
 TERM = re.compile(r"(?<![\w@＠/\\#])[^\W\d_]++(?:['’\-‐‑][^\W\d_]++)*+(?![\w@＠/\\#=])")
 #: What may stand between a given and a family name: a space, with another initial perhaps; or a comma, in the other order.
-_GAP = re.compile(r"[ \t ]+(?:[^\W\d_]\.[ \t ]*)*")
-_COMMA = re.compile(r",[ \t ]*")
+_GAP = re.compile(r"[ \t\u00a0]+(?:[^\W\d_]\.[ \t]*)*")
+_COMMA = re.compile(r",[ \t]*")
+_INITIALS_BEFORE = re.compile(r"(?<![\w@＠/\\#])(?:[^\W\d_]\.[ \t]*)+$")
+_INITIAL_AFTER = re.compile(r",[ \t]*[^\W\d_]\.")
 #: Five digits, or digits in the groups that identity numbers have.
 _MAY_IDENTIFY = re.compile(r"\d{5}|\d[ -]\d\d[ -]\d")
 _DIGIT = re.compile(r"\d")
@@ -110,12 +113,13 @@ def shapes(text: str) -> list[tuple[str, int, int]]:
 
     The tests before each pattern are necessary for it to match, and cheap.
     """
-    found: list[tuple[str, int, int]] = []
+    found: list[tuple[int, int, str]] = []  # in order, without overlaps
 
     def add(kind: str, spans: Iterator[tuple[int, int]]) -> None:
         for x, y in spans:
-            if all(y <= a or x >= b for _, a, b in found):
-                found.append((kind, x, y))
+            at = bisect_left(found, (x, y, kind))
+            if (not at or found[at - 1][1] <= x) and (at == len(found) or found[at][0] >= y):
+                found.insert(at, (x, y, kind))
 
     if "@" in text or "＠" in text or "(" in text or "[" in text or " at " in text or " AT " in text:
         low = text.lower()
@@ -126,15 +130,21 @@ def shapes(text: str) -> list[tuple[str, int, int]]:
         if _MAY_IDENTIFY.search(text):
             add("national_id", (m.span() for m in NATIONAL_ID.finditer(text)))
         add("address", _addresses(text))
-    return found
+    return [(kind, x, y) for x, y, kind in found]
 
 
 def words(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """(folded term, start, end) of the words outside ``taken``."""
+    """(folded term, start, end) of the words outside ``taken``, which is in order."""
     found = [(fold(m.group()), *m.span()) for m in TERM.finditer(text)]
-    if taken:
-        found = [x for x in found if all(x[2] <= a or x[1] >= b for _, a, b in taken)]
-    return found
+    if not taken:
+        return found
+    out, i = [], 0
+    for x in found:
+        while i < len(taken) and taken[i][2] <= x[1]:
+            i += 1
+        if i == len(taken) or taken[i][1] >= x[2]:
+            out.append(x)
+    return out
 
 
 class Names:
@@ -183,24 +193,21 @@ def _without_initials(items: list[tuple[str, int, int, int]], text: str) -> list
 def persons(text: str, items: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int]]:
     """Pairs of a given name, or its initial, and a family name, in either order."""
     found: list[tuple[str, int, int]] = []
-    initials = {a: b for _, a, b, _ in items if b - a == 1 and text[b : b + 1] == "."}
     names = _without_initials(items, text)
     used: set[int] = set()
-    for wanted in (((GIVEN, FAMILY, "space"),), ((FAMILY, GIVEN, "comma"),), ((FAMILY, GIVEN, "space"),)):
-        for left, right, how in wanted:
-            for i in range(len(names) - 1):
-                (_, a, b, p), (_, c, d, q) = names[i], names[i + 1]
-                if p & left and q & right and i not in used and i + 1 not in used and _gap(text, b, c) == how:
-                    used |= {i, i + 1}
-                    found.append(("person", a, d))
+    for left, right, how in ((GIVEN, FAMILY, "space"), (FAMILY, GIVEN, "comma"), (FAMILY, GIVEN, "space")):
+        for i in range(len(names) - 1):
+            (_, a, b, p), (_, c, d, q) = names[i], names[i + 1]
+            if p & left and q & right and i not in used and i + 1 not in used and _gap(text, b, c) == how:
+                used |= {i, i + 1}
+                found.append(("person", a, d))
     for i, (_, a, b, role) in enumerate(names):
         if role & FAMILY and i not in used:
-            before = [x for x in initials if x < a and re.fullmatch(r"\.[ \t ]*(?:[^\W\d_]\.[ \t ]*)*", text[initials[x] : a])]
-            after = [x for x in initials if x > b and _COMMA.fullmatch(text[b:x])]
+            before, after = _INITIALS_BEFORE.search(text, max(0, a - 24), a), _INITIAL_AFTER.match(text, b)
             if before:
-                found.append(("person", min(before), b))
+                found.append(("person", before.start(), b))
             elif after:
-                found.append(("person", a, initials[after[0]] + 1))
+                found.append(("person", a, after.end()))
     return found
 
 
@@ -310,21 +317,20 @@ def _with_own_terms(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     A name of several words is found by its first. A frequent word is joined to each text once, and the
     lexicon's side has one row per name, so no pair of texts ever meets.
     """
-    split = texts.withColumn("row", F.monotonically_increasing_id())
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
-            for row, text in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
-                own = {fold(m.group()) for m in TERM.finditer(text or "")}
-                ids += [row] * len(own)
-                found += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["row", "word"])
-
-    words_of = split.select("row", "text").mapInArrow(terms, "row long, word string")
+            rows = []
+            for key, path, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                rows += [(key, path, word) for word in {fold(m.group()) for m in TERM.finditer(text or "")}]
+            columns = zip(*rows) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["record_key", "field_path", "word"])
+
+    keys = ["record_key", "field_path"]
+    words_of = texts.select(*keys, "text").mapInArrow(terms, "record_key string, field_path string, word string")
     names = lexicon.select(F.substring_index("term", " ", 1).alias("word"), "term", "role")
-    own = words_of.join(names, "word").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("term", "role"))).alias("own"))
-    return split.join(own, "row", "left").drop("row")
+    own = words_of.join(names, "word").groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("term", "role"))).alias("own"))
+    return texts.join(own, keys, "left")
 
 
 def _lexicon_of(carried: Names | None, own: object) -> Names:
@@ -335,7 +341,7 @@ def disclosing_terms(texts: DataFrame, known: DataFrame, min_share: float = MIN_
     """(term, role, standing, total, share, bits) of the terms that the corpus shows to be names."""
     carried = _carried(known)
     names = Names(carried) if carried is not None else None
-    source = texts.select("text") if names else _with_own_terms(texts.select("text"), known).select("text", "own")
+    source = texts.select("text") if names else _with_own_terms(texts, known).select("text", "own")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
