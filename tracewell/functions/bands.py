@@ -159,8 +159,10 @@ def discontinuities(bands: DataFrame) -> DataFrame:
 
 
 def band_by_join(values: DataFrame, raw: str, bands: DataFrame) -> DataFrame:
-    """Bands by a range join, for tables that live in data; ``bands`` has at most MAX_BANDS rows per facet, so it is small."""
-    b = F.broadcast(bands.limit(MAX_BANDS).select(F.col("band"), F.col("lower"), F.col("upper")))
+    """Bands of one facet by a range join, for tables that live in data; more than MAX_BANDS rows are refused, so the broadcast is small."""
+    if bands.limit(MAX_BANDS + 1).count() > MAX_BANDS:
+        raise BandError(f"a table has 1 to {MAX_BANDS} bands")
+    b = F.broadcast(bands.select(F.col("band"), F.col("lower"), F.col("upper")))
     return values.join(b, (F.col(raw) >= F.col("lower")) & (F.col("upper").isNull() | (F.col(raw) < F.col("upper"))))
 
 
