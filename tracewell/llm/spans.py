@@ -24,7 +24,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.session import cut
@@ -366,18 +366,13 @@ def shared_parts(docs: DataFrame, found: DataFrame) -> DataFrame:
     ``spans`` has the start and end of each stretch that stands in other records, joined where they
     overlap or touch; a record without any has shared_chars 0 and a null or empty text n_chars 0.
     """
-    own = found.where("kind = 1").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.col("span_start").alias("start"), F.col("span_end").alias("end")))).alias("raw"))
+    own = found.where("kind = 1").select("doc_id", "span_start", "span_end").distinct()
+    order = Window.partitionBy("doc_id").orderBy("span_start", "span_end")  # a record's spans, as many as its length allows
+    reached = F.max("span_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = own.withColumn("begins", F.when(F.col("span_start") <= reached, 0).otherwise(1))
+    parts = begun.withColumn("part", F.sum("begins").over(order)).groupBy("doc_id", "part").agg(F.min("span_start").alias("start"), F.max("span_end").alias("end"))
+    spans = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-
-    def join_up(done, x):
-        last = F.element_at(done, -1)
-        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last.start.alias("start"), F.greatest(last.end, x.end).alias("end"))))
-        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1).end >= x.start), longer).otherwise(F.concat(done, F.array(F.struct(x.start.alias("start"), x.end.alias("end")))))
-
-    def safe(done, x):
-        return F.when(F.size(done) == 0, F.array(F.struct(x.start.alias("start"), x.end.alias("end")))).otherwise(join_up(done, x))
-
-    spans = own.select("doc_id", F.aggregate("raw", empty, safe).alias("spans"))
     all_docs = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.char_length("text"), F.lit(0))).alias("n_chars"))
     shared = F.aggregate("spans", F.lit(0), lambda n, s: n + s.end - s.start)
     joined = all_docs.join(spans, "doc_id", "left").withColumn("shared_chars", F.coalesce(shared, F.lit(0)))
