@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import random
 
-from tracewell.plans.ordered import with_neighbours
+from tracewell.plans.ordered import numbered, with_neighbours
+from tracewell.queries.ledger import claim_order
 
 
 def test_neighbours_across_partitions_with_a_hot_group(spark):
@@ -17,3 +18,18 @@ def test_neighbours_across_partitions_with_a_hot_group(spark):
 
 def test_empty(spark):
     assert with_neighbours(spark.createDataFrame([], "g string, i int"), ["g", "i"], ["i"]).count() == 0
+
+
+def test_numbers_go_on_over_partitions(spark):
+    rows = [(g, i) for g in "ab" for i in range(200)]
+    random.Random(5).shuffle(rows)
+    got = numbered(spark.createDataFrame(rows, "g string, i int").repartition(8), ["g", "i"], "place").collect()
+    assert {(r.g, r.i): r.place for r in got} == {r: k for k, r in enumerate(sorted(rows), 1)}
+    assert numbered(spark.createDataFrame([], "g string, i int"), ["g", "i"], "place").count() == 0
+
+
+def test_more_files_than_an_inbox_holds_are_all_claimed(spark, tmp_path):
+    files = [(i, f"f{i:05d}.json") for i in range(1, 10_501)]
+    spark.createDataFrame(files, "raw_id long, file_name string").write.parquet(str(tmp_path / "inbox_files.parquet"))
+    order = sorted(files, key=lambda f: (f[0] % 7 != 0, f[1]))
+    assert {(r.raw_id, r.file_name): r.claim_no for r in claim_order(spark, str(tmp_path)).collect()} == {f: k for k, f in enumerate(order, 1)}

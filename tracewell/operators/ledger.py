@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.digest import instant_text, persisted_payload, semantic_digest
@@ -15,6 +15,7 @@ from tracewell.functions.ids import make_ulid
 from tracewell.functions.strict_json import observation
 from tracewell.functions.text import escape_debug
 from tracewell.operators import quarantine
+from tracewell.plans.ordered import numbered
 from tracewell.session import cut
 
 IDENTITY = ("harness", "session_id", "source_event_id")
@@ -189,6 +190,6 @@ def sessions(events: DataFrame) -> DataFrame:
 
 
 def claim_order(entries: DataFrame) -> DataFrame:
-    """Claims in order: recovered ones before ready ones, each by name."""
+    """Claims in order: recovered ones before ready ones, each by name. Every entry has a number, however many there are."""
     rank = F.when(F.col("origin") == "processing", 0).otherwise(1)
-    return entries.withColumn("claim_no", F.row_number().over(Window.orderBy(rank, "file_name")))
+    return numbered(entries.withColumn("claim_rank", rank), ["claim_rank", "file_name"], "claim_no").drop("claim_rank")

@@ -9,10 +9,12 @@ across a partition's edge is passed through one small row per partition.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -102,3 +104,24 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], look: Sequence[str]) ->
             yield emit(held, prev, after.get(pid))
 
     return base.mapInArrow(add, schema)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Rows with ``name``: their place, from 1, in the global order of ``keys``.
+
+    Rows are counted per partition, and each partition numbers its own from the sum of those before it.
+    """
+    base = cut(range_sorted(df, keys))
+    counts = {r.pid: r.n for r in base.groupBy(F.spark_partition_id().alias("pid")).agg(F.count("*").alias("n")).collect()}  # one row per partition
+    before = dict(zip(sorted(counts), accumulate((counts[p] for p in sorted(counts)), initial=0)))
+    schema = T.StructType([*base.schema.fields, T.StructField(name, T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = before.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            places = pa.array(range(at + 1, at + batch.num_rows + 1), pa.int64())
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([*batch.columns, places], arrow)], schema=arrow)
+
+    return base.mapInArrow(add, schema)

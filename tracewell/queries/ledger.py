@@ -673,9 +673,9 @@ def physical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT raw_id, file_name, row_number() OVER (ORDER BY CASE WHEN raw_id % 7 = 0 THEN 0 ELSE 1 END, file_name) AS claim_no FROM (SELECT raw_id, file_name FROM inbox_files ORDER BY file_name LIMIT 10000)")
 def claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order of one run's claims; a run takes at most as many entries as the inbox allows, which is the feature."""
-    files = table(spark, sf_dir, "inbox_files").orderBy("file_name").limit(10_000)
-    return ledger.claim_order(files.withColumn("origin", F.when(F.col("raw_id") % 7 == 0, "processing").otherwise("inbox"))).select("raw_id", "file_name", F.col("claim_no").cast("long").alias("claim_no"))
+    """The order of all files' claims. The SQL stops at 10,000 files, so beyond that many it is no oracle; ``FileInbox`` refuses a fuller inbox as a whole."""
+    files = table(spark, sf_dir, "inbox_files").select("raw_id", "file_name", F.when(F.col("raw_id") % 7 == 0, "processing").otherwise("inbox").alias("origin"))
+    return ledger.claim_order(files).select("raw_id", "file_name", "claim_no")
 
 
 @query(
