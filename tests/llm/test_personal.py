@@ -62,6 +62,14 @@ def test_corpus_discloses_unknown_names_and_no_other_words(spark):
     assert found.where("record_key in ('202', 'n', 'e')").count() == 0
 
 
+def test_words_in_shapes_do_not_count_against_a_name(spark):
+    df, names = tables(spark)
+    inside = [(f"m{i}", "f", f"ask thessaly.nakovar+ci [at] corp [dot] test or come to {i} Old Thessaly Street") for i in range(100)]
+    counted = {r.term: (r.role, r.total) for r in p.disclosing_terms(df.unionByName(spark.createDataFrame(inside, df.schema)), p.known_names(names)).collect()}
+    alone = {r.term: (r.role, r.total) for r in p.disclosing_terms(df, p.known_names(names)).collect()}
+    assert counted == alone and counted["thessaly"] == (p.GIVEN, 42) and counted["nakovar"] == (p.FAMILY, 42)
+
+
 def test_the_join_for_long_lexica_finds_the_same(spark, monkeypatch):
     df, names = tables(spark)
     carried = sorted(p.find(df, p.lexicon(df, names)).collect())

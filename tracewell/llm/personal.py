@@ -349,7 +349,7 @@ def disclosing_terms(texts: DataFrame, known: DataFrame, min_share: float = MIN_
         for batch in batches:
             owns = batch.column(1).to_pylist() if names is None else [None] * batch.num_rows
             for text, own in zip(batch.column(0).to_pylist(), owns):
-                items = words(text or "", [])
+                items = words(text or "", shapes(text or ""))
                 terms = [x[0] for x in items]
                 total.update(terms)
                 here = _lexicon_of(names, own)
