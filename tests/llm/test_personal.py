@@ -42,6 +42,21 @@ def test_pieces_and_nothing_else(marked, kinds):
     assert p.pieces(None, NAMES) == []
 
 
+@pytest.mark.parametrize(
+    "text, piece",
+    [
+        ("I live at Wohnung 4, Lindenstraße 12 now", ("address", "Wohnung 4, Lindenstraße 12")),
+        ("at Flat 3, Am Alten Krug 47.", ("address", "Flat 3, Am Alten Krug 47")),
+        ("nino QQ 12 3456 C", ("national_id", "QQ 12 3456 C")),
+        ("nino QQ1234 56C", ("national_id", "QQ1234 56C")),
+        ("nino QQ 8363 70 A", ("national_id", "QQ 8363 70 A")),
+        ("write to a_b At post Dot example soon", ("email", "a_b At post Dot example")),
+    ],
+)
+def test_forms_that_no_cheap_test_may_drop(text, piece):
+    assert [(kind, text[a:b]) for kind, a, b in p.pieces(text, NAMES)] == [piece]
+
+
 def tables(spark):
     texts = []
     for i in range(40):

@@ -62,7 +62,7 @@ NATIONAL_ID = re.compile(
 )
 _NOT_NAME = r"(?!(?:of|the|in|to|at|on|is|was|are|were|and|or|for|by|with|after|before|from|than|per)\b)"
 _WORD = rf"{_NOT_NAME}[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*"
-#: Forms that begin with the house number; a unit before it is looked for afterwards.
+#: Forms that begin with the house number; for these and the next, a unit before them is looked for afterwards.
 NUMBER_FIRST = re.compile(
     rf"""(?<![\w.:/+-])\d{{1,4}}(?:
     [a-z]?[ ](?:{_WORD}[ ]){{1,3}}(?:street|st\.?|road|rd\.?|avenue|ave\.?|lane|ln\.?|drive|dr(?!\.?[ ][^\W\d_])\.?|close|terrace|row|court|crescent|boulevard|blvd\.?|square|way|place|gardens|grove|mews|hill)(?![\w'’-])(?![ ]\d)
@@ -87,8 +87,8 @@ _GAP = re.compile(r"[ \t\u00a0]+(?:[^\W\d_]\.[ \t]*)*")
 _COMMA = re.compile(r",[ \t]*")
 _INITIALS_BEFORE = re.compile(r"(?<![\w@＠/\\#])(?:[^\W\d_]\.[ \t]*)+$")
 _INITIAL_AFTER = re.compile(r",[ \t]*[^\W\d_]\.")
-#: Five digits, or digits in the groups that identity numbers have.
-_MAY_IDENTIFY = re.compile(r"\d{5}|\d[ -]\d\d[ -]\d")
+#: Twice two digits, with one separator at most: every form of identity number has them.
+_MAY_IDENTIFY = re.compile(r"\d\d[ -]?\d\d")
 _DIGIT = re.compile(r"\d")
 
 
@@ -99,13 +99,17 @@ def fold(term: str) -> str:
     return "".join(c for c in plain if not unicodedata.combining(c))
 
 
+def _with_unit(text: str, m: re.Match) -> tuple[int, int]:
+    unit = _UNIT_BEFORE.search(text, max(0, m.start() - 24), m.start())
+    return (unit.start() if unit else m.start()), m.end()
+
+
 def _addresses(text: str) -> Iterator[tuple[int, int]]:
     for m in NUMBER_FIRST.finditer(text):
-        unit = _UNIT_BEFORE.search(text, max(0, m.start() - 24), m.start())
-        yield (unit.start() if unit else m.start()), m.end()
+        yield _with_unit(text, m)
     if any(x in text for x in _MAY_END_IN_NUMBER):
         for m in NUMBER_LAST.finditer(text):
-            yield m.span()
+            yield _with_unit(text, m)
 
 
 def shapes(text: str) -> list[tuple[str, int, int]]:
@@ -121,10 +125,9 @@ def shapes(text: str) -> list[tuple[str, int, int]]:
             if (not at or found[at - 1][1] <= x) and (at == len(found) or found[at][0] >= y):
                 found.insert(at, (x, y, kind))
 
-    if "@" in text or "＠" in text or "(" in text or "[" in text or " at " in text or " AT " in text:
-        low = text.lower()
-        if "@" in text or "＠" in text or "(at)" in low or "[at]" in low or (" at " in low and " dot " in low):
-            add("email", (m.span() for m in EMAIL.finditer(text)))
+    low = text.lower()
+    if "@" in text or "＠" in text or "(at)" in low or "[at]" in low or (" at " in low and " dot " in low):
+        add("email", (m.span() for m in EMAIL.finditer(text)))
     if _DIGIT.search(text):
         add("phone", (m.span() for m in PHONE.finditer(text)))
         if _MAY_IDENTIFY.search(text):
