@@ -47,3 +47,9 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_events_with_fewer_transformations_than_the_house_rule_fall_under_it(spark):
+    rows = ledger.queries()["strictest_of_all"](spark, str(SF))
+    assert rows.count() == spark.read.parquet(f"{SF}/wire_events.parquet").count()
+    assert rows.where("policy = 'house'").count() > 0 < rows.where("policy <> 'house'").count()

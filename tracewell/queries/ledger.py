@@ -633,11 +633,24 @@ def redaction_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM wire_events WHERE coalesce(len(redaction.transformations), 0) >= 2"""
 )
 def strictest_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An event's redaction against a house rule of two transformations: the event's wins if it has at least as many, being first."""
+    """An event's redaction against a house rule of two transformations, where the event's wins, having at least as many and being first."""
+    return _against_house(table(spark, sf_dir, "wire_events").where("size(redaction.transformations) >= 2"))
+
+
+@query(
+    """SELECT wire_id, CASE WHEN coalesce(len(redaction.transformations), 0) >= 2 THEN redaction.policy ELSE 'house' END AS policy, CASE WHEN coalesce(len(redaction.transformations), 0) >= 2 THEN redaction.version ELSE '1' END AS version,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(redaction.transformations, []), ['number-rounding', 'audit-mark']))), ',') AS transformations FROM wire_events"""
+)
+def strictest_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all events: the house rule wins over events with fewer transformations than its two."""
+    return _against_house(table(spark, sf_dir, "wire_events"))
+
+
+def _against_house(events: DataFrame) -> DataFrame:
     house = F.struct(F.lit("house").alias("policy"), F.lit("1").alias("version"), F.array(F.lit("number-rounding"), F.lit("audit-mark")).alias("transformations"))
     own = F.struct(F.col("redaction.policy").alias("policy"), F.col("redaction.version").alias("version"), F.col("redaction.transformations").alias("transformations"))
     strictest = strictest_redaction(F.array(own, house))
-    return table(spark, sf_dir, "wire_events").where("size(redaction.transformations) >= 2").select("wire_id", strictest["policy"].alias("policy"), strictest["version"].alias("version"), F.concat_ws(",", strictest["transformations"]).alias("transformations"))
+    return events.select("wire_id", strictest["policy"].alias("policy"), strictest["version"].alias("version"), F.concat_ws(",", strictest["transformations"]).alias("transformations"))
 
 
 @query("SELECT observation_id, regexp_full_match(event_digest, '[0-9a-f]{64}') AS good FROM receipts")
