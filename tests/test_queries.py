@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.compare import plain
+from tracewell.operators import shred
 from tracewell.queries import data, ledger
 
 SF = Path("/root/testdata/sf0.001")
@@ -53,3 +54,18 @@ def test_events_with_fewer_transformations_than_the_house_rule_fall_under_it(spa
     rows = ledger.queries()["strictest_of_all"](spark, str(SF))
     assert rows.count() == spark.read.parquet(f"{SF}/wire_events.parquet").count()
     assert rows.where("policy = 'house'").count() > 0 < rows.where("policy <> 'house'").count()
+
+
+def test_every_table_of_the_documents_is_a_query_with_all_columns(spark):
+    observations = spark.read.parquet(f"{SF}/observations.parquet")
+    graph = shred.schema_graph(observations)
+    assert set(data.P3_TABLES.values()) == graph.tables() | {shred.ROOT}
+    rows = shred.shred(observations, graph).groupBy("element").count().collect()
+    counts, parents = {r.element: r["count"] for r in rows}, {}
+    for name, element in data.P3_TABLES.items():
+        df = QUERIES[name](spark, str(SF))
+        assert df.columns == ["observation_id", "node_path", "parent_element", "parent_node", "position", *graph.columns(element)]
+        keys = [tuple(r) for r in df.select("observation_id", "node_path", "parent_element", "parent_node").collect()]
+        assert len(keys) == counts[element] > 0
+        parents[element] = {(k[0], k[1]) for k in keys}, {(k[2], k[0], k[3]) for k in keys if k[2] is not None}
+    assert all((ident, node) in parents[above][0] for _, (_, named) in parents.items() for above, ident, node in named)

@@ -51,6 +51,18 @@ def p3_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.flat_table(rows, graph, "facets").select("observation_id", "node_path", "position", "name", "value")
 
 
+#: Query -> table of the schema graph, each with all its columns and its parent's key.
+P3_TABLES = {"p3_all_observations": shred.ROOT, "p3_all_facets": "facets"} | {f"p3_{t}": t for t in ("excerpts", "transformations", "steps", "commands", "argv", "outputs", "lines", "files", "hunks", "links")}
+
+
+def _whole_table(element: str) -> Callable[[SparkSession, str], DataFrame]:
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, graph = _shredded(spark, sf_dir)
+        return shred.flat_table(rows, graph, element)
+
+    return whole
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root and depth of every derivation; cycles told apart."""
     tree = hierarchy.hierarchy(table(spark, sf_dir, "derivations"), prefix="derivation:")
@@ -81,7 +93,7 @@ def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_loaded, p2_reasons, p3_found, p3_observations, p3_facets, p4_found, p4_paths, p4_descendants, p6_found, p6_totals)}
+    return {f.__name__: f for f in (p2_found, p2_loaded, p2_reasons, p3_found, p3_observations, p3_facets, p4_found, p4_paths, p4_descendants, p6_found, p6_totals)} | {name: _whole_table(element) for name, element in P3_TABLES.items()}
 
 
 #: Readable documents, each id once, their payload taken as an object also where it is stored as a string.
