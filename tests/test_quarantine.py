@@ -6,6 +6,7 @@ import pytest
 
 from tracewell.functions.fixed import EVENT_SCHEMA
 from tracewell.operators import quarantine as q
+from tracewell.queries.ledger import quarantine_errors
 
 
 def event(**changes) -> dict:
@@ -125,3 +126,10 @@ def test_valid_rows_are_typed_and_the_rest_kept_with_reasons(spark):
 
 def test_empty_table(spark):
     assert q.classify(spark.createDataFrame([], "raw_id long, body string")).count() == 0
+
+
+def test_reasons_of_all_lines_are_given(spark, tmp_path):
+    bodies = ["\n".join([text(), text(), text(schema="other"), text(session_id=" ")]), "\n".join([text(schema="other"), text(), "{"]), text()]
+    spark.createDataFrame(list(enumerate(bodies)), "raw_id long, body string").write.parquet(str(tmp_path / "inbox_files.parquet"))
+    got = {r.raw_id: (r.reason, r.errors) for r in quarantine_errors(spark, str(tmp_path)).collect()}
+    assert got == {0: ("multiple-events", "invalid-event,unsupported-schema"), 1: ("unsupported-schema", "invalid-json,unsupported-schema")}

@@ -48,14 +48,15 @@ def errors(r: Column) -> Column:
     return F.filter(F.array(*fired), lambda x: x.isNotNull())
 
 
-def classify(files: DataFrame, key: str = "raw_id", body: str = "body") -> DataFrame:
+def classify(files: DataFrame, key: str = "raw_id", body: str = "body", limit: int | None = 2) -> DataFrame:
     """One row per file: (key, records, errors, reason); reason is null for a file with exactly one valid event.
 
     The first record's error wins, then the second's, then ``multiple-events``; a file without a record is
-    ``empty-event``, a null body is an empty file. Rows that share a key are judged one by one. An empty
+    ``empty-event``, a null body is an empty file. ``limit`` is how many records of a file are read: the two
+    that decide its reason, or, with None, all, so that ``errors`` is whole. Rows that share a key are judged one by one. An empty
     table gives no rows.
     """
-    judged = read_records(files, key, body).withColumn("errors", F.transform("records", errors))
+    judged = read_records(files, key, body, limit).withColumn("errors", F.transform("records", errors))
     first, second = F.get(F.get("errors", F.lit(0)), F.lit(0)), F.get(F.get("errors", F.lit(1)), F.lit(0))
     reason = F.when(F.size("records") == 0, "empty-event").otherwise(F.coalesce(first, second, F.when(F.size("records") > 1, "multiple-events")))
     return judged.withColumn("reason", reason)
@@ -91,7 +92,7 @@ def valid_events(classified: DataFrame, key: str = "raw_id") -> DataFrame:
 
 
 def quarantined(classified: DataFrame, key: str = "raw_id") -> DataFrame:
-    """(key, reason, errors) of the files that aren't loaded."""
+    """(key, reason, errors) of the files that aren't loaded; ``errors`` are of the records that ``classify`` read."""
     return classified.where("reason is not null").select(key, "reason", F.array_distinct(F.flatten("errors")).alias("errors"))
 
 

@@ -723,7 +723,7 @@ def inbox_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def quarantine_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All reasons against each refused file, not only the one that counts."""
-    return quarantine.quarantined(quarantine.classify(table(spark, sf_dir, "inbox_files"))).select("raw_id", "reason", F.concat_ws(",", F.array_sort("errors")).alias("errors"))
+    return quarantine.quarantined(quarantine.classify(table(spark, sf_dir, "inbox_files"), limit=None)).select("raw_id", "reason", F.concat_ws(",", F.array_sort("errors")).alias("errors"))
 
 
 # Bands.

@@ -59,8 +59,8 @@ RECORD = T.StructType(
 )
 
 
-def physical_records(body: str, limit: int = 2) -> list[tuple[int, str | None, str | None]]:
-    """Up to ``limit`` records of ``body`` as (line, problem, text); a problem ends the file.
+def physical_records(body: str, limit: int | None = 2) -> list[tuple[int, str | None, str | None]]:
+    """Up to ``limit`` records of ``body``, or all, as (line, problem, text); a problem ends the file.
 
     Lines end in LF. Lines of ASCII white space are skipped, within a budget of skipped bytes that starts
     anew after each record. A record of more bytes than allowed, and a blank stretch beyond the budget, are
@@ -69,7 +69,7 @@ def physical_records(body: str, limit: int = 2) -> list[tuple[int, str | None, s
     data = body.encode("utf-8", "surrogatepass")
     found: list[tuple[int, str | None, str | None]] = []
     at = line = skipped = 0
-    while at < len(data) and len(found) < limit:
+    while at < len(data) and (limit is None or len(found) < limit):
         line += 1
         if skipped == MAX_BLANK_BYTES:
             return [*found, (line, "blank-input-limit", None)]
@@ -166,8 +166,8 @@ def _plain(value: Any) -> str | None:
     return ("true" if value else "false") if isinstance(value, bool) else None
 
 
-def read_records(files: DataFrame, key: str = "raw_id", body: str = "body") -> DataFrame:
-    """(key, body_bytes, records): the first two records of each file, all that decides its fate.
+def read_records(files: DataFrame, key: str = "raw_id", body: str = "body", limit: int | None = 2) -> DataFrame:
+    """(key, records): the first ``limit`` records of each file, or all; two are all that decides its fate.
 
     A null body is read as an empty file. Files are kept whole in one row, as they come from the inbox;
     this is a narrow step.
@@ -179,7 +179,7 @@ def read_records(files: DataFrame, key: str = "raw_id", body: str = "body") -> D
 
         kind = to_arrow_type(T.ArrayType(RECORD))
         for batch in batches:
-            rows = [[{n: None for n in names} | as_texts(*r) for r in physical_records(b or "")] for b in batch.column(1).to_pylist()]
+            rows = [[{n: None for n in names} | as_texts(*r) for r in physical_records(b or "", limit)] for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["key", "records"])
 
     kind = files.schema[key].dataType
