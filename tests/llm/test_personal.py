@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import re
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tracewell.llm import personal as p
 
@@ -105,12 +109,77 @@ def test_sources_and_empty_tables(spark):
     events = spark.createDataFrame([(1, [("k", "a@b.example"), ("k", None)]), (2, None), (3, []), (None, [("k", "x")])], "wire_id long, excerpts array<struct<kind:string,text:string>>")
     assert [tuple(r) for r in p.excerpt_texts(events).collect()] == [("1", "excerpts[0].text", "a@b.example")]
     docs = spark.createDataFrame([("A", '{"payload":{"summary":"s","steps":[{"note":"n"},{"note":null}],"id":"x"}}'), ("B", "{"), ("C", None), (None, "{}"), ("D", '{"payload":"{\\"text\\":\\"t\\"}"}')], "id string, document string")
-    assert sorted(tuple(r) for r in p.document_texts(docs).collect()) == [("A", "payload.steps[0].note", "n"), ("A", "payload.summary", "s"), ("D", "payload.text", "t")]
+    assert sorted(tuple(r) for r in p.document_texts(docs).collect()) == [("A", "payload.id", "x"), ("A", "payload.steps[0].note", "n"), ("A", "payload.summary", "s"), ("D", "payload.text", "t")]
+    assert p.document_texts(docs, holding=True).count() == 0
     df, names = tables(spark)
     empty = df.limit(0)
     assert p.find(empty, p.lexicon(empty, names)).count() == 0 and p.sanitise(empty, p.lexicon(empty, names.limit(0))).count() == 0
 
 
+def corpus(spark, *lines):
+    texts = [t.format(i=i) for t, n in lines for i in range(n)]
+    return spark.createDataFrame([(str(i), "f", t) for i, t in enumerate(texts)], "record_key string, field_path string, text string")
+
+
+IDS = [("took passport YM41807{i:02d} of {i}", 60), ("passport 979-43-31{i:02d} seen", 60), ("warm buffer {i} was sealed by the planner", 400)]
+
+
+def test_a_form_that_stands_where_no_other_of_its_type_does_is_refused(spark):
+    names = spark.createDataFrame([], "name string, name_part string")
+    orders = corpus(spark, *IDS, ("the order 9121670{i:02d} shipped", 99), ("a later order 9121690{i:02d} shipped", 99))
+    terms, refused = p.learn(orders, names)
+    assert refused == {"national_id:nine"}
+    assert p.find(orders, terms, refused).groupBy("pii_type").count().collect() == [("national_id", 120)]
+    assert [r.n_replaced for r in p.sanitise(orders, terms, refused).where("clean_text like '%order 912%'").collect()] == [0] * 198
+    passports = corpus(spark, *IDS, ("passport 9121670{i:02d} shipped", 99), ("the order {i} shipped", 99))
+    terms, refused = p.learn(passports, names)
+    assert refused == frozenset() and p.find(passports, terms, refused).count() == 219
+
+
+def test_forms_hardly_seen_are_decided_by_their_shape(spark):
+    one = corpus(spark, ("the order 912167064 shipped", 1), ("call +1 737 555 0148 or mail a@b.example at 63 Osmund Drive", 1))
+    terms, refused = p.learn(one, spark.createDataFrame([], "name string, name_part string"))
+    assert refused == frozenset()
+    assert {r.pii_type for r in p.find(one, terms, refused).collect()} == {"national_id", "phone", "email", "address"}
+    assert {(r.form, r.n) for r in p.form_scores(one).collect()} == {("national_id:nine", 1), ("phone:plus", 1), ("email:sign", 1), ("address:drive", 1)}
+    assert p.form_scores(one.limit(0)).count() == 0
+
+
+PARTS = ["a_b", "x.y+c", "@", " At ", " at ", " dot ", "(AT)", "[dot]", ".", "example", "corp.test", " ", ", ", "+1", " 555", "-0148", "(671)", "7375550148", "QQ", " 12 34 56 C", "979-43-3105", "9", "12167064", "id no. ", "ssn=", "63 ", "Osmund ", "Drive", "Flat 2, ", "14c", "bis", " rue", " de la ", "Lindenstraße", " 12", "Am ", "Krug", " 47", "A.", "Averil", " Tavosh", "Tavosh,", "é", "\u00a0", "\n"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
+def test_no_cheap_test_drops_what_its_pattern_matches(text):
+    every = re.compile("")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(p, "_MAY_HOLD", every)
+        patch.setattr(p, "_MAY_CALL", every)
+        patch.setattr(p, "_MAY_IDENTIFY", every)
+        patch.setattr(p, "_DIGIT", every)
+        patch.setattr(p, "_MAY_END_IN_NUMBER", ("",))
+        whole = p.pieces(text, NAMES)
+        mails = [m.span() for m in p.EMAIL.finditer(text)]
+    assert p.pieces(text, NAMES) == whole
+    assert [(a, b) for kind, a, b in p.shapes(text) if kind == "email"] == mails
+
+
+def test_documents_of_any_depth_are_read(spark):
+    deep = '{"payload":{"a":' + '[{"b":' * 300 + '"mail m@example.org"' + "}]" * 300 + "}}"
+    (row,) = p.document_texts(spark.createDataFrame([("A", deep)], "id string, document string"), holding=True).collect()
+    assert row.text == "mail m@example.org" and row.field_path == "payload.a" + "[0].b" * 300
+
+
+def test_hot_and_unknown_words_in_the_join_for_long_lexica(spark, monkeypatch):
+    df = corpus(spark, ("the Averil Tavosh met the planner {i}", 90), ("the the the {i}", 90))
+    names = spark.createDataFrame([("Averil", "given"), ("Tavosh", "family"), ("van der Wielke", "family")], "name string, name_part string")
+    monkeypatch.setattr(p, "MAX_CARRIED_TERMS", 1)
+    monkeypatch.setattr(p, "_MAP_BITS", 6)
+    assert p.find(df, p.lexicon(df, names)).count() == 90
+    monkeypatch.setattr(p, "_MAP_BITS", 22)
+    assert p.find(df, p.lexicon(df, names)).count() == 90
+
+
 def test_very_long_text():
     text = "cold buffer " * 50_000 + "Averil Tavosh"
     assert p.pieces(text, NAMES) == [("person", 600_000, 600_013)]

@@ -1,12 +1,19 @@
 """Personal information in free text: where it is, and the text with typed placeholders instead.
 
-Method: information-theoretic sanitisation. What has a shape of its own (addresses of mail and houses,
-phone and identity numbers) is found by its shape. Persons have none, so the corpus tells which terms
-give them away: for every term, how often does it stand in a name's other half, beside a known given or
-family name that has no known partner, out of all the times it occurs? A term whose occurrences say
-"person" with enough certainty, and with enough more than chance (its pointwise information), is
-disclosing and joins the names; pairs of names are then replaced by a placeholder, which generalises
-them, and the rest of the text stays as it is.
+Method: information-theoretic sanitisation. The corpus tells how strongly a term gives a protected entity
+away, and what exceeds a threshold is generalised to its type's placeholder.
+
+* Persons. For every term, how often does it stand in a name's other half, beside a known given or family
+  name that has no known partner, out of all the times it occurs? A term whose occurrences say "person"
+  with enough certainty, and with enough more than chance (its pointwise information), is disclosing and
+  joins the names; pairs of names are pieces.
+* Addresses of mail and houses, phone and identity numbers. A pattern only proposes candidates, each of a
+  form (nine digits, digits in groups of three, two and four, a number before "lane" ...). The word before
+  a candidate is its cue. A cue's information about a type is how much more often it stands before the
+  type's *other* forms than chance has it, so no form testifies for itself; a form discloses its type if
+  its cues tell enough bits on average. Nine digits that stand after "order" where other identity numbers
+  stand after "passport" are thus no identity numbers, without a list of labels. A form's own shape counts
+  as a few cues beforehand, so a form that is hardly ever seen is decided by its shape.
 
 Counts cover all texts. They are combined within a task before the shuffle, so frequent words cost one
 row per task. Texts are taken whole and one by one, so no group is ever gathered.
@@ -21,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +42,10 @@ MAX_CARRIED_TERMS = 200_000
 MIN_SHARE = 0.3
 #: and if that tells at least so many bits more than the average term does.
 MIN_BITS = 3.0
+#: A form is refused if its cues tell fewer bits than this on average (below zero, chance explains them better than the type does),
+MIN_FORM_BITS = 0.0
+#: where its shape counts as so many cues of so many bits.
+SHAPE_CUES, SHAPE_BITS = 8, 3.0
 
 GIVEN, FAMILY = 1, 2
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "national_id": "[NATIONAL_ID]", "address": "[ADDRESS]", "person": "[PERSON]"}
@@ -48,33 +60,33 @@ EMAIL = re.compile(
 _SEP = r"[ .\-]"
 PHONE = re.compile(
     rf"""(?<![\w+(])(?<!\d[.\-])(?:
-    \+\d{{1,3}}(?:{_SEP}?\(\d{{1,4}}\))?(?:{_SEP}?\d{{1,5}}){{2,6}}        # international
-    |00\d{{2}}(?:{_SEP}\d{{1,5}}){{3,4}}
-    |\(\d{{2,5}}\){_SEP}?\d{{3,5}}{_SEP}\d{{3,5}}                          # area code in parentheses
-    |\d{{3}}([.\- ])\d{{3}}\1\d{{4}}                                       # three, three, four
-    |0\d{{2,3}}[ ]\d{{3,4}}[ ]\d{{3,4}}|0\d{{4}}[ ]\d{{5,6}}               # with a trunk zero
+    (?P<plus>\+(?=(?:\d\D{{0,3}}){{7}})\d{{1,3}}(?:{_SEP}?\(\d{{1,4}}\))?(?:{_SEP}?\d{{1,5}}){{2,6}})
+    |(?P<zeros>00\d{{2}}(?:{_SEP}\d{{1,5}}){{3,4}})
+    |(?P<area>\(\d{{2,5}}\){_SEP}?\d{{3,5}}{_SEP}\d{{3,5}})                 # area code in parentheses
+    |(?P<three_three_four>\d{{3}}(?P<sep>[.\- ])\d{{3}}(?P=sep)\d{{4}})
+    |(?P<trunk>0\d{{2,3}}[ ]\d{{3,4}}[ ]\d{{3,4}})|(?P<long_trunk>0\d{{4}}[ ]\d{{5,6}})
     )(?![\w])(?![.\-]\d)""",
     re.VERBOSE,
 )
 NATIONAL_ID = re.compile(
-    r"(?<![\w.+-])(?:\d{3}([- ])\d{2}\1\d{4}|\d{6}[-+]\d{4,5}|(?i:[a-z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[a-d])|[A-Z]{1,2}\d{7}|9\d{8})(?![\w-])(?!\.\d)"
-    r"|(?i:(?<=\bssn=)|(?<=\bid: )|(?<=\bid no\. )|(?<=\bpassport ))\d{8,10}(?![\w-])"
+    r"(?<![\w.+-])(?:(?P<three_two_four>\d{3}(?P<sep>[- ])\d{2}(?P=sep)\d{4})|(?P<six_five>\d{6}[-+]\d{4,5})|(?P<letters_six>(?i:[a-z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[a-d]))|(?P<letters_seven>[A-Z]{1,2}\d{7})|(?P<nine>9\d{8}))(?![\w-])(?!\.\d)"
+    r"|(?P<labelled>(?i:(?<=\bssn=)|(?<=\bid: )|(?<=\bid no\. )|(?<=\bpassport ))\d{8,10})(?![\w-])"
 )
 _NOT_NAME = r"(?!(?:of|the|in|to|at|on|is|was|are|were|and|or|for|by|with|after|before|from|than|per)\b)"
 _WORD = rf"{_NOT_NAME}[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*"
 #: Forms that begin with the house number; for these and the next, a unit before them is looked for afterwards.
 NUMBER_FIRST = re.compile(
     rf"""(?<![\w.:/+-])\d{{1,4}}(?:
-    [a-z]?[ ](?:{_WORD}[ ]){{1,3}}(?:street|st\.?|road|rd\.?|avenue|ave\.?|lane|ln\.?|drive|dr(?!\.?[ ][^\W\d_])\.?|close|terrace|row|court|crescent|boulevard|blvd\.?|square|way|place|gardens|grove|mews|hill)(?![\w'’-])(?![ ]\d)
-    |(?:[ ]?(?:bis|ter))?,?[ ](?:rue|avenue|chemin|impasse|boulevard|allée|place|quai|route|cours|sentier)[ ](?:(?:de[ ]la|de[ ]l['’]|des|du|de|d['’])[ ]?){_WORD}(?:[ ](?-i:[A-ZÀ-Þ]){_WORD})*
+    [a-z]?[ ](?:{_WORD}[ ]){{1,3}}(?P<street>street|st\.?|road|rd\.?|avenue|ave\.?|lane|ln\.?|drive|dr(?!\.?[ ][^\W\d_])\.?|close|terrace|row|court|crescent|boulevard|blvd\.?|square|way|place|gardens|grove|mews|hill)(?![\w'’-])(?![ ]\d)
+    |(?:[ ]?(?:bis|ter))?,?[ ](?P<rue>rue|avenue|chemin|impasse|boulevard|allée|place|quai|route|cours|sentier)[ ](?:(?:de[ ]la|de[ ]l['’]|des|du|de|d['’])[ ]?){_WORD}(?:[ ](?-i:[A-ZÀ-Þ]){_WORD})*
     )""",
     re.VERBOSE | re.IGNORECASE,
 )
 #: Forms that end with it.
 NUMBER_LAST = re.compile(
     r"""(?<![\w.:/+-])(?:
-    (?:(?:Obere|Untere|Alte|Neue|Kleine|Große|Lange|Hintere|Vordere)[ ])?[A-ZÄÖÜ][\w-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer|ring|damm|steig|graben)
-    |(?:Am|An[ ]der|An[ ]den|Im|In[ ]der|Zum|Zur|Auf[ ]der|Auf[ ]dem|Unter[ ]den|Hinter[ ]der|Vor[ ]dem)(?:[ ][A-ZÄÖÜ][\w-]+){1,3}
+    (?:(?:Obere|Untere|Alte|Neue|Kleine|Große|Lange|Hintere|Vordere)[ ])?[A-ZÄÖÜ][\w-]*(?P<strasse>straße|strasse|str\.|weg|gasse|allee|platz|ufer|ring|damm|steig|graben)
+    |(?P<am>Am|An[ ]der|An[ ]den|Im|In[ ]der|Zum|Zur|Auf[ ]der|Auf[ ]dem|Unter[ ]den|Hinter[ ]der|Vor[ ]dem)(?:[ ][A-ZÄÖÜ][\w-]+){1,3}
     )[ ]\d{1,4}[a-z]?(?![\w-])(?!\.\d)""",
     re.VERBOSE,
 )
@@ -90,6 +102,12 @@ _INITIAL_AFTER = re.compile(r",[ \t]*[^\W\d_]\.")
 #: Twice two digits, with one separator at most: every form of identity number has them.
 _MAY_IDENTIFY = re.compile(r"\d\d[ -]?\d\d")
 _DIGIT = re.compile(r"\d")
+#: The word before a candidate.
+_CUE = re.compile(r"([^\W\d_]+)\W*$")
+#: Every phone number has seven digits, not far apart.
+_MAY_CALL = re.compile(r"(?:\d\D{0,3}){7}")
+#: A text without any of these holds no piece: mail needs an at sign, bracket or space, names a gap or an initial, houses a space, numbers six digits.
+_MAY_HOLD = re.compile(r"[\s,@＠(\[]|(?<![^\W\d_])[^\W\d_]\.|(?:\d\D{0,3}){6}")
 
 
 @lru_cache(maxsize=200_000)
@@ -99,41 +117,65 @@ def fold(term: str) -> str:
     return "".join(c for c in plain if not unicodedata.combining(c))
 
 
-def _with_unit(text: str, m: re.Match) -> tuple[int, int]:
-    unit = _UNIT_BEFORE.search(text, max(0, m.start() - 24), m.start())
-    return (unit.start() if unit else m.start()), m.end()
+def may_hold(text: str) -> bool:
+    """False for what can't hold a piece, as most identifiers and vocabulary terms can't."""
+    return _MAY_HOLD.search(text) is not None
 
 
-def _addresses(text: str) -> Iterator[tuple[int, int]]:
-    for m in NUMBER_FIRST.finditer(text):
-        yield _with_unit(text, m)
-    if any(x in text for x in _MAY_END_IN_NUMBER):
-        for m in NUMBER_LAST.finditer(text):
-            yield _with_unit(text, m)
+def _addresses(text: str) -> Iterator[tuple[str, int, int]]:
+    for pattern in (NUMBER_FIRST, NUMBER_LAST) if any(x in text for x in _MAY_END_IN_NUMBER) else (NUMBER_FIRST,):
+        for m in pattern.finditer(text):
+            unit = _UNIT_BEFORE.search(text, max(0, m.start() - 24), m.start())
+            yield fold(m.group(m.lastgroup)).rstrip("."), unit.start() if unit else m.start(), m.end()
 
 
-def shapes(text: str) -> list[tuple[str, int, int]]:
-    """(type, start, end) of what is found by its shape, without overlaps; the earlier kind wins.
+def _mails(text: str) -> Iterator[tuple[str, int, int]]:
+    for m in EMAIL.finditer(text):
+        own = m.group()
+        yield "sign" if "@" in own or "＠" in own else "bracket" if "(" in own or "[" in own else "word", *m.span()
 
-    The tests before each pattern are necessary for it to match, and cheap.
+
+def _named(pattern: re.Pattern, text: str) -> Iterator[tuple[str, int, int]]:
+    return ((m.lastgroup, *m.span()) for m in pattern.finditer(text))
+
+
+def candidates(text: str, refused: frozenset[str] = frozenset()) -> list[tuple[str, str, int, int]]:
+    """(type, form, start, end) of what patterns propose, in order and without overlaps; the earlier type wins.
+
+    Forms, as ``type:form``, that are ``refused`` take no part. The tests before each pattern are necessary
+    for it to match, and cheap.
     """
-    found: list[tuple[int, int, str]] = []  # in order, without overlaps
+    found: list[tuple[int, int, str, str]] = []  # in order, without overlaps
 
-    def add(kind: str, spans: Iterator[tuple[int, int]]) -> None:
-        for x, y in spans:
-            at = bisect_left(found, (x, y, kind))
+    def add(kind: str, spans: Iterator[tuple[str, int, int]]) -> None:
+        for form, x, y in spans:
+            if refused and f"{kind}:{form}" in refused:
+                continue
+            at = bisect_left(found, (x, y, kind, form))
             if (not at or found[at - 1][1] <= x) and (at == len(found) or found[at][0] >= y):
-                found.insert(at, (x, y, kind))
+                found.insert(at, (x, y, kind, form))
 
     low = text.lower()
     if "@" in text or "＠" in text or "(at)" in low or "[at]" in low or (" at " in low and " dot " in low):
-        add("email", (m.span() for m in EMAIL.finditer(text)))
+        add("email", _mails(text))
     if _DIGIT.search(text):
-        add("phone", (m.span() for m in PHONE.finditer(text)))
+        if _MAY_CALL.search(text):
+            add("phone", _named(PHONE, text))
         if _MAY_IDENTIFY.search(text):
-            add("national_id", (m.span() for m in NATIONAL_ID.finditer(text)))
+            add("national_id", _named(NATIONAL_ID, text))
         add("address", _addresses(text))
-    return [(kind, x, y) for x, y, kind in found]
+    return [(kind, form, x, y) for x, y, kind, form in found]
+
+
+def shapes(text: str, refused: frozenset[str] = frozenset()) -> list[tuple[str, int, int]]:
+    """(type, start, end) of the candidates whose form isn't ``refused``."""
+    return [(kind, x, y) for kind, _, x, y in candidates(text, refused)]
+
+
+def cue(text: str, start: int) -> str | None:
+    """The folded word before ``start``, at most 40 characters away with nothing but signs between; None if there is none."""
+    m = _CUE.search(text, max(0, start - 40), start)
+    return fold(m.group(1)) if m else None
 
 
 def words(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -214,11 +256,11 @@ def persons(text: str, items: list[tuple[str, int, int, int]]) -> list[tuple[str
     return found
 
 
-def pieces(text: str | None, names: Names) -> list[tuple[str, int, int]]:
-    """(type, start, end) of every piece of personal information in ``text``, in order."""
-    if not text:
+def pieces(text: str | None, names: Names, refused: frozenset[str] = frozenset()) -> list[tuple[str, int, int]]:
+    """(type, start, end) of every piece of personal information in ``text``, in order; forms that are ``refused`` are none."""
+    if not text or not may_hold(text):
         return []
-    found = shapes(text)
+    found = shapes(text, refused)
     own = words(text, found)
     if not names.begin.isdisjoint([x[0] for x in own]):
         found = found + persons(text, names.merged(own))
@@ -258,36 +300,28 @@ def excerpt_texts(wire_events: DataFrame) -> DataFrame:
     return each.select("record_key", F.concat(F.lit("excerpts["), F.col("i").cast("string"), F.lit("].text")).alias("field_path"), F.col("excerpt.text").alias("text")).where("text is not null")
 
 
-#: Names of fields that hold running text; other strings of a payload are identifiers, paths and closed vocabularies.
-TEXT_FIELDS = ("text", "summary", "note", "description", "comment", "message", "body", "title", "line", "output")
-
+def document_texts(observations: DataFrame, holding: bool = False) -> DataFrame:
+    """(record_key, field_path, text) of every string that isn't empty in the payloads of readable documents, under whatever key.
 
-def document_texts(observations: DataFrame, fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
-    """(record_key, field_path, text) of the running texts in the payloads of readable documents.
-
-    Repeated rows give repeated texts; what is found in them is made distinct by ``find``.
+    With ``holding`` strings that can't hold a piece (see ``may_hold``) are left out, which changes nothing that
+    is found. Repeated rows give repeated texts; what is found in them is made distinct by ``find``.
     """
-    wanted = frozenset(fields)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple[str, str, str]] = []
-
-            def down(ident: str, value: object, path: str, key: str) -> None:
-                if isinstance(value, str):
-                    if key in wanted and value:
-                        rows.append((ident, path, value))
-                elif isinstance(value, dict):
-                    for k, x in value.items():
-                        down(ident, x, f"{path}.{k}", k)
-                elif isinstance(value, list):
-                    for i, x in enumerate(value):
-                        down(ident, x, f"{path}[{i}]", key)
-
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 value = observation(text)
-                if isinstance(value, dict):
-                    down(ident, value.get("payload"), "payload", "payload")
+                todo = [(value.get("payload"), "payload")] if isinstance(value, dict) else []
+                while todo:
+                    x, path = todo.pop()
+                    if isinstance(x, str):
+                        if x and (not holding or may_hold(x)):
+                            rows.append((ident, path, x))
+                    elif isinstance(x, dict):
+                        todo += [(y, f"{path}.{k}") for k, y in x.items()]
+                    elif isinstance(x, list):
+                        todo += [(y, f"{path}[{i}]") for i, y in enumerate(x)]
             columns = zip(*rows) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["record_key", "field_path", "text"])
 
@@ -314,11 +348,29 @@ def _carried(lexicon: DataFrame) -> dict[str, int] | None:
     return {r.term: r.role for r in rows} if len(rows) <= MAX_CARRIED_TERMS else None
 
 
+#: Bits of the map that tells which words may be in a long lexicon; 2 ** 16 longs at most come to the driver.
+_MAP_BITS = 22
+#: A word's texts are spread over so many keys in the join with a long lexicon.
+_SALTS = 16
+
+
+def _word_map(lexicon: DataFrame) -> np.ndarray:
+    """A bit for each hash of a name's first word."""
+    place = F.pmod(F.xxhash64(F.substring_index("term", " ", 1)), F.lit(1 << _MAP_BITS))
+    bits = lexicon.select(F.shiftrightunsigned(place, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(pmod(xxhash64(substring_index(term, ' ', 1)), 64) as int))").alias("bit"))
+    rows = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()  # as many as the map has longs
+    out = np.zeros(1 << (_MAP_BITS - 6), np.uint64)
+    for r in rows:
+        out[r["at"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+    return out
+
+
 def _with_own_terms(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``texts`` with the part of ``lexicon`` that may occur in each, by a join on words: the way for a long lexicon.
 
-    A name of several words is found by its first. A frequent word is joined to each text once, and the
-    lexicon's side has one row per name, so no pair of texts ever meets.
+    A name of several words is found by its first. Only words that a map of the lexicon's hashes lets pass are
+    shuffled, so "the" isn't; a word that does stand in a third of all texts is spread over several keys, and
+    the lexicon's side has one row per name and key, so no pair of texts ever meets.
     """
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,10 +381,21 @@ def _with_own_terms(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
             columns = zip(*rows) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["record_key", "field_path", "word"])
 
+    known = _word_map(lexicon)
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            place = np.mod(h, 1 << _MAP_BITS)
+            hit = (known[place >> 6] >> (np.mod(h, 64)).astype(np.uint64)) & np.uint64(1) == 1
+            yield batch.select(["record_key", "field_path", "word", "salt"]).filter(pa.array(hit))
+
     keys = ["record_key", "field_path"]
     words_of = texts.select(*keys, "text").mapInArrow(terms, "record_key string, field_path string, word string")
-    names = lexicon.select(F.substring_index("term", " ", 1).alias("word"), "term", "role")
-    own = words_of.join(names, "word").groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("term", "role"))).alias("own"))
+    hashed = words_of.withColumns({"h": F.xxhash64("word"), "salt": F.pmod(F.xxhash64(*keys), F.lit(_SALTS)).cast("int")})
+    words_of = hashed.mapInArrow(possible, "record_key string, field_path string, word string, salt int")
+    names = lexicon.select(F.substring_index("term", " ", 1).alias("word"), "term", "role", F.explode(F.array(*map(F.lit, range(_SALTS)))).alias("salt"))
+    own = words_of.join(names, ["word", "salt"]).groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("term", "role"))).alias("own"))
     return texts.join(own, keys, "left")
 
 
@@ -340,35 +403,64 @@ def _lexicon_of(carried: Names | None, own: object) -> Names:
     return carried if carried is not None else Names(dict(own or ()))
 
 
-def disclosing_terms(texts: DataFrame, known: DataFrame, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
-    """(term, role, standing, total, share, bits) of the terms that the corpus shows to be names."""
+#: Rows that a task counts before it hands them on; they are summed after the shuffle.
+_COUNTED = 500_000
+
+
+def _counts(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(term, form, given, family, standing, total): of each word how often it stands in a name's other half and in all,
+
+    where ``form`` is null; and how often it is the cue of a candidate of ``form`` (``total``). Words inside
+    candidates don't count.
+    """
     carried = _carried(known)
     names = Names(carried) if carried is not None else None
     source = texts.select("text") if names else _with_own_terms(texts, known).select("text", "own")
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         standing: Counter = Counter()
+        cues: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            rows = [(t, None, 0, 0, n) for t, n in total.items()] + [(t, None, r, n, 0) for (t, r), n in standing.items()] + [(t, f, 0, 0, n) for (t, f), n in cues.items()]
+            for counter in (total, standing, cues):
+                counter.clear()
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["term", "form", "role", "standing", "total"])
+
         for batch in batches:
             owns = batch.column(1).to_pylist() if names is None else [None] * batch.num_rows
             for text, own in zip(batch.column(0).to_pylist(), owns):
-                items = words(text or "", shapes(text or ""))
+                if not text or not may_hold(text):
+                    continue
+                proposed = candidates(text)
+                for kind, form, a, _ in proposed:
+                    before = cue(text, a)
+                    if before is not None:
+                        cues[before, f"{kind}:{form}"] += 1
+                items = words(text, [(kind, a, b) for kind, _, a, b in proposed])
                 terms = [x[0] for x in items]
                 total.update(terms)
                 here = _lexicon_of(names, own)
                 if not here.begin.isdisjoint(terms):
                     standing.update(halves(text, here.merged(items)))
-        rows = [(t, 0, 0, n) for t, n in total.items()] + [(t, r, n, 0) for (t, r), n in standing.items()]
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["term", "role", "standing", "total"])
+            if len(total) + len(standing) + len(cues) > _COUNTED:
+                yield out()
+        yield out()
 
-    counts = source.mapInArrow(count, "term string, role int, standing long, total long")
-    by_term = counts.groupBy("term").agg(
+    counts = source.mapInArrow(count, "term string, form string, role int, standing long, total long")
+    by_term = counts.groupBy("term", "form").agg(
         F.sum(F.when(F.col("role") == GIVEN, F.col("standing"))).alias("given"),
         F.sum(F.when(F.col("role") == FAMILY, F.col("standing"))).alias("family"),
         F.sum("total").alias("total"),
     )
-    by_term = cut(by_term.fillna(0, subset=["given", "family"]).withColumn("standing", F.col("given") + F.col("family")))
+    return cut(by_term.fillna(0, subset=["given", "family"]).withColumn("standing", F.col("given") + F.col("family")))
+
+
+def _scored_terms(counts: DataFrame, min_share: float, min_bits: float) -> DataFrame:
+    by_term = counts.where("form is null")
     (sums,) = by_term.agg(F.sum("standing").alias("standing"), F.sum("total").alias("total")).collect()  # two numbers
     chance = (sums.standing or 0) / (sums.total or 1)
     scored = by_term.where("standing > 0 and char_length(term) > 1").withColumn("share", F.col("standing") / (F.col("total") + 1))
@@ -377,6 +469,45 @@ def disclosing_terms(texts: DataFrame, known: DataFrame, min_share: float = MIN_
     return scored.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).select("term", role.alias("role"), "standing", "total", "share", "bits")
 
 
+def _scored_forms(counts: DataFrame) -> DataFrame:
+    """(form, n, bits): how many cues a form has, and what they tell about its type on average, the shape's own included.
+
+    A cue tells log2((seen + 1) / (expected + 1)) bits: how often it stands before the type's other forms, against
+    what its share of all words would give. One row per form comes out; forms are as many as the patterns name.
+    """
+    words_total = counts.where("form is null").agg(F.sum("total").alias("n")).collect()[0].n or 0  # one number
+    kind = F.substring_index("form", ":", 1)
+    cues = counts.where("form is not null").select("form", kind.alias("kind"), F.col("term").alias("cue"), F.col("total").alias("n"))
+    sizes = cues.groupBy("kind", "form").agg(F.sum("n").alias("own"))  # a row per form
+    whole = sizes.groupBy("kind").agg(F.sum("own").alias("whole"))
+    others = sizes.join(F.broadcast(whole), "kind").select("form", (F.col("whole") - F.col("own")).alias("others"))
+    seen = cues.groupBy("kind", "cue").agg(F.sum("n").alias("seen"))
+    usual = counts.where("form is null").select(F.col("term").alias("cue"), F.col("total").alias("usual"))
+    each = cues.join(seen, ["kind", "cue"]).join(usual, "cue", "left").join(F.broadcast(others), "form")
+    expected = F.col("others") * F.coalesce("usual", F.lit(0)) / F.lit(max(words_total, 1))
+    bits = F.log2((F.col("seen") - F.col("n") + 1) / (expected + 1))
+    return each.groupBy("form").agg(F.sum("n").alias("n"), ((F.sum(F.col("n") * bits) + SHAPE_CUES * SHAPE_BITS) / (F.sum("n") + SHAPE_CUES)).alias("bits"))
+
+
+def disclosing_terms(texts: DataFrame, known: DataFrame, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
+    """(term, role, standing, total, share, bits) of the terms that the corpus shows to be names."""
+    return _scored_terms(_counts(texts, known), min_share, min_bits)
+
+
+def form_scores(texts: DataFrame) -> DataFrame:
+    """(form, n, bits) of every form that the patterns propose in ``texts`` after a word; see ``_scored_forms``."""
+    return _scored_forms(_counts(texts, texts.sparkSession.createDataFrame([], "term string, role int")))
+
+
+def learn(texts: DataFrame, person_names: DataFrame, min_form_bits: float = MIN_FORM_BITS) -> tuple[DataFrame, frozenset[str]]:
+    """(lexicon, refused forms) from one count of the corpus: the names known and learned, and the forms that don't disclose their type."""
+    known = known_names(person_names)
+    counts = _counts(texts, known)
+    names = known.unionByName(_scored_terms(counts, MIN_SHARE, MIN_BITS).select("term", "role")).groupBy("term").agg(F.bit_or("role").cast("int").alias("role"))
+    refused = _scored_forms(counts).where(F.col("bits") < min_form_bits).select("form").collect()  # at most a row per form of the patterns
+    return cut(names), frozenset(r.form for r in refused)
+
+
 def lexicon(texts: DataFrame, person_names: DataFrame) -> DataFrame:
     """(term, role): the known names and those that the corpus shows."""
     known = known_names(person_names)
@@ -391,10 +522,11 @@ def _detect(texts: DataFrame, terms: DataFrame) -> tuple[DataFrame, Names | None
     return _with_own_terms(texts, terms).select("record_key", "field_path", "text", "own"), None
 
 
-def find(texts: DataFrame, terms: DataFrame) -> DataFrame:
+def find(texts: DataFrame, terms: DataFrame, refused: frozenset[str] = frozenset()) -> DataFrame:
     """(record_key, field_path, pii_type, start_pos, end_pos), one row per piece, positions in code points.
 
-    Null and empty texts have none; repeated rows count once; an empty table gives no rows.
+    ``terms`` and ``refused`` come from ``learn``. Null and empty texts have none; repeated rows count once; an
+    empty table gives no rows.
     """
     source, names = _detect(texts, terms)
 
@@ -402,7 +534,7 @@ def find(texts: DataFrame, terms: DataFrame) -> DataFrame:
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
             owns = columns[3] if names is None else [None] * batch.num_rows
-            rows = [(k, p, kind, a, b) for k, p, text, own in zip(columns[0], columns[1], columns[2], owns) for kind, a, b in pieces(text, _lexicon_of(names, own))]
+            rows = [(k, p, kind, a, b) for k, p, text, own in zip(columns[0], columns[1], columns[2], owns) for kind, a, b in pieces(text, _lexicon_of(names, own), refused)]
             out = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))],
@@ -412,7 +544,7 @@ def find(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return source.mapInArrow(look, "record_key string, field_path string, pii_type string, start_pos long, end_pos long").distinct()
 
 
-def sanitise(texts: DataFrame, terms: DataFrame) -> DataFrame:
+def sanitise(texts: DataFrame, terms: DataFrame, refused: frozenset[str] = frozenset()) -> DataFrame:
     """(record_key, field_path, clean_text, n_replaced): every text, each piece replaced by its type's placeholder.
 
     A text without personal information comes out as it is, a null one as null.
@@ -425,7 +557,7 @@ def sanitise(texts: DataFrame, terms: DataFrame) -> DataFrame:
             owns = columns[3] if names is None else [None] * batch.num_rows
             texts_out, counts = [], []
             for text, own in zip(columns[2], owns):
-                found = pieces(text, _lexicon_of(names, own))
+                found = pieces(text, _lexicon_of(names, own), refused)
                 parts, at = [], 0
                 for kind, a, b in found:
                     parts += [text[at:a], PLACEHOLDERS[kind]]

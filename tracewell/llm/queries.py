@@ -24,23 +24,21 @@ def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("session_id", "run_key", "first_wire_id", "last_wire_id", "n_events", F.round("duration_seconds", 3).alias("duration_seconds"))
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _texts(spark: SparkSession, sf_dir: str, holding: bool = True) -> DataFrame:
     excerpts = personal.excerpt_texts(table(spark, sf_dir, "wire_events"))
-    return excerpts.unionByName(personal.document_texts(table(spark, sf_dir, "observations")))
+    return excerpts.unionByName(personal.document_texts(table(spark, sf_dir, "observations"), holding))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where personal information stands."""
     texts = _texts(spark, sf_dir)
-    terms = cut(personal.lexicon(texts, table(spark, sf_dir, "person_names")))
-    return personal.find(texts, terms).select("record_key", "field_path", "pii_type", "start_pos")
+    return personal.find(texts, *personal.learn(texts, table(spark, sf_dir, "person_names"))).select("record_key", "field_path", "pii_type", "start_pos")
 
 
 def p5_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts with placeholders."""
-    texts = _texts(spark, sf_dir)
-    terms = cut(personal.lexicon(texts, table(spark, sf_dir, "person_names")))
-    return personal.sanitise(texts, terms)
+    learned = personal.learn(_texts(spark, sf_dir), table(spark, sf_dir, "person_names"))
+    return personal.sanitise(_texts(spark, sf_dir, holding=False), *learned)
 
 
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
