@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracewell.functions import bands, derived, ids, redaction, text
+from tracewell.functions import bands, derived, ids, redaction, strict_json, text
 from tracewell.functions.digest import canonical_json, instant_text, semantic_digest, sha256_raw
 from tracewell.functions.fixed import DIGEST_SCHEMA, OBSERVATION_SCHEMA
 from tracewell.queries import sqlfn
@@ -177,3 +177,38 @@ def test_band_tables_held_as_data(spark):
 def test_paths(spark):
     rows = [("src/a/b.rs",), ("/x",), ("",), (None,), ("a//b",)]
     assert values(spark, rows, "p string", text.path_depth(F.col("p")), text.path_area(F.col("p"))) == [(3, "a"), (1, None), (0, None), (None, None), (2, "a")]
+
+
+JSON = st.recursive(st.one_of(st.none(), st.booleans(), st.integers(), st.floats(allow_nan=False, allow_infinity=False), st.text()), lambda x: st.one_of(st.lists(x, max_size=4), st.dictionaries(st.text(max_size=3), x, max_size=4)), max_leaves=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(JSON, st.booleans(), st.sampled_from(["", "}", "]", ",", '"', "x", " 1"]), st.integers(0, 40))
+def test_the_reader_with_a_stack_equals_the_library(value, ascii_only, junk, at):
+    text = json.dumps(value, ensure_ascii=ascii_only)
+    for t in (text, json.dumps(value, indent=1), text[: at % (len(text) + 1)] + junk + text[at % (len(text) + 1) :]):
+        try:
+            expected = strict_json.loads(t)
+        except ValueError:
+            with pytest.raises(ValueError):
+                strict_json._deep(t, False)
+        else:
+            assert strict_json._deep(t, False) == expected
+
+
+@pytest.mark.parametrize("text", ['{"a":1,"a":2}', '"\\ud800"', "[1,]", "[,1]", '{"a":}', "{,}", "01", "+1", "1.", ".5", "NaN", "-", "tru", "", " ", '"\t"', "[1 2]", '{"a" 1}', "1 1", '{"a":1 "b":2}', "[1}", '{"a":1]'])
+def test_neither_reader_takes_what_is_no_json(text):
+    for read in (strict_json.loads, lambda t: strict_json._deep(t, True)):
+        with pytest.raises(ValueError):
+            read(text)
+
+
+def test_any_depth_is_read_and_written():
+    for n in (500, 20_000, 200_000):
+        text = '{"a":[' * n + '"\\n"' + "]}" * n
+        value = strict_json.loads(text)
+        assert strict_json.compact(value) == text
+        while isinstance(value, (dict, list)):
+            value = value["a"] if isinstance(value, dict) else value[0]
+        assert value == "\n"
+    assert strict_json.loads_or_none("[" * 100_000) is None

@@ -27,15 +27,15 @@ def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quarantine.reason_counts(quarantine.classify(table(spark, sf_dir, "inbox_files")))
 
 
-def _shredded(spark: SparkSession, sf_dir: str, **options: bool) -> tuple[DataFrame, shred.SchemaGraph]:
+def _shredded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, shred.SchemaGraph]:
     observations = table(spark, sf_dir, "observations")
     graph = shred.schema_graph(observations)
-    return shred.shred(observations, graph, **options), graph
+    return shred.shred(observations, graph), graph
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The objects in arrays of readable documents, each naming the one around it."""
-    rows, _ = _shredded(spark, sf_dir, with_fields=False, with_root=False)
+    rows, _ = _shredded(spark, sf_dir)
     return rows.where("is_object and position is not null").select("observation_id", "parent_path", "node_path")
 
 
