@@ -212,3 +212,31 @@ def test_any_depth_is_read_and_written():
             value = value["a"] if isinstance(value, dict) else value[0]
         assert value == "\n"
     assert strict_json.loads_or_none("[" * 100_000) is None
+
+
+STRICT = ['{"a":1}', ' [1, {"b": null}] ', '"x"', "1", "null", '{"a":{"b":1,"b":2}}', '{"a":1,"a":1}', '{"a":1} x', '{"a":1},{"b":2}', "", " ", "[1,]", '{"a":NaN}', '{"a":Infinity}', "{'a':1}", "01", "-0", "1e400", '"\\ud83d\\ude00"', '"\\ud83d"', '"\\\\ud83d"', '"\\udc00"', '"\t"', "//x\n1", "\ufeff{}", "]1[", "1]", "[1", "1],[2", '{"a":1}//', None]
+
+
+def test_strict_json_as_a_column_equals_the_reader(spark):
+    got = values(spark, [(x,) for x in STRICT], "x string", text.is_strict_json(F.col("x")))
+    expected = []
+    for x in STRICT:
+        try:
+            strict_json.loads(x) if x is not None else None
+            expected.append((None if x is None else True,))
+        except ValueError:
+            expected.append((False,))
+    assert got == expected
+
+
+def test_whatever_is_not_printable_is_escaped(spark):
+    shown = {"a\tb": "a\\tb", "\x1b[31mred": "\\u{1b}[31mred", "\x00\x7f": "\\0\\u{7f}", "caf\u00e9 \U0001f600": "caf\u00e9 \U0001f600", "\u2028\u00a0\u200b": "\\u{2028}\\u{a0}\\u{200b}", "\u0301e\u0301": "\\u{301}e\u0301", "\U000e0001'\"\\": "\\u{e0001}\\'\\\"\\\\", "": "", "plain": "plain"}
+    assert values(spark, [(x,) for x in shown], "x string", text.escape_debug(F.col("x"))) == [(x,) for x in shown.values()]
+
+
+def test_every_planned_facet_is_registered():
+    registry = bands.default_registry()
+    planned = "subject.crate subject.path.depth session.duration.bucket session.turns.bucket session.tool.errors.bucket session.delegation.depth outcome.class outcome.verification.gate friction.category friction.interruptions.bucket cost.input.tokens.bucket cost.wall.bucket".split()
+    assert {tuple(p.split(".", 1)) for p in planned} <= {*registry.tables, *registry.categories}
+    duration = registry.lookup("session", "duration.bucket")
+    assert [(b.name, b.upper) for b in duration.bands] == [("xs", 300), ("s", 900), ("m", 3600), ("l", 14400), ("xl", None)]

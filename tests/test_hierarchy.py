@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+from pathlib import Path
+
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from tracewell import session
 from tracewell.operators import hierarchy as h
+from tracewell.plans import lookup
 
 ROW = "id string, supersedes string"
 
@@ -34,6 +39,33 @@ def test_any_forest_and_any_cycles(spark, parents):
     check(spark, list(links.items()), brute(links))
 
 
+@pytest.fixture
+def by_rounds(monkeypatch):
+    """Tables go round by round, and hot keys are split off, at any size."""
+    monkeypatch.setattr(h, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(lookup, "HOT_ROWS", 20)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.none(), st.integers(0, 14)), min_size=1, max_size=12))
+def test_any_forest_and_any_cycles_by_rounds(spark, by_rounds, parents):
+    links = {f"N{i}": None if p is None else f"N{p}" for i, p in enumerate(parents)}
+    check(spark, list(links.items()), brute(links))
+
+
+def test_hot_parents_roots_and_many_roots_by_rounds(spark, by_rounds):
+    links = {f"R{i}": None for i in range(300)} | {"HOT": "R0"} | {f"H{i}": "HOT" for i in range(100)} | {f"I{i}": f"H{i}" for i in range(100)} | {f"L{i}": f"L{(i + 1) % 30}" for i in range(30)} | {f"M{i}": "L0" for i in range(40)}
+    check(spark, list(links.items()), brute(links))
+
+
+def test_nothing_stays_behind(spark):
+    session.ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(folder.glob("stored-*"))
+    h.hierarchy(spark.createDataFrame([("A", None), ("B", "A"), ("C", "C")], ROW)).collect()
+    assert folder.is_dir() and set(folder.glob("stored-*")) == before
+
+
 def test_deep_chain_and_wide_parent(spark):
     links = {"C000": None} | {f"C{i:03d}": f"C{i - 1:03d}" for i in range(1, 200)} | {f"W{i}": "C000" for i in range(150)}
     check(spark, list(links.items()), brute(links))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import late
 from tracewell.streaming.late import PartialStore, run_available
 
+SF = Path("/root/testdata/sf0.001")
 ROW = "id string, observed_at string, document string"
 
 
@@ -62,9 +64,42 @@ def test_a_stream_of_arrivals_corrects_and_a_repeated_batch_changes_nothing(spar
     (total,) = store.totals().collect()
     assert (total.first_count, total.corrected_count, total.refused_count) == (1, 3, 1)
     store.put("000000000", late.harness_observations(spark.createDataFrame(good[:1], ROW)))
-    store.compact(str(tmp_path / "merged"))
-    merged = PartialStore(spark, str(tmp_path / "merged"))
-    assert merged.totals().select("corrected_count").collect() == store.totals().select("corrected_count").collect()
+    before = store.totals().collect()
+    assert store.merge() == 1 and store.totals().collect() == before and store.merge() == 0
+    assert store.refused().count() == 1 and store.parts().where("n_events <> 1").count() == 0
+
+
+def totals(df):
+    return sorted((r.harness, r.period_start, r.first_count, r.corrected_count, r.refused_count) for r in df.collect())
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_redelivered_batches_and_merges_between_them_equal_the_batch_way(spark, tmp_path):
+    events = late.harness_observations(spark.read.parquet(str(SF / "observations.parquet")))
+    parts = events.withColumn("n", F.abs(F.xxhash64("id")) % 3)
+    store = PartialStore(spark, str(tmp_path / "parts"))
+    for name, keep in (("a", "n = 0"), ("b", "n <= 1"), ("c", "n >= 0"), ("b", "n <= 1"), ("d", "n >= 1")):
+        store.put(name, parts.where(keep).drop("n"))
+        if name in ("b", "d"):
+            before = totals(store.totals())
+            store.merge()
+            assert totals(store.totals()) == before
+    assert totals(store.totals()) == totals(late.totals(late.partials(events)))
+
+
+def test_only_days_that_changed_are_written_anew_and_a_dead_merge_is_invisible(spark, tmp_path):
+    store = PartialStore(spark, str(tmp_path / "parts"))
+    on = lambda i, day: row(str(i), f"2024-01-0{day}T10:00:00Z", f"2024-01-0{day}T10:30:00Z")
+    put = lambda name, *rows: store.put(name, late.harness_observations(spark.createDataFrame(list(rows), ROW)))
+    put("a", on(1, 1), on(2, 2))
+    assert store.merge() == 2
+    put("b", on(3, 2), on(1, 1))
+    (tmp_path / "parts" / "merged" / "generation=2-dead" / "day=2024-01-02").mkdir(parents=True)
+    assert store.merge() == 1
+    assert {d: g.split("-")[0] for d, g in store._manifest()["days"].items()} == {"2024-01-01": "1", "2024-01-02": "2"}
+    assert [x[3] for x in totals(store.totals())] == [1, 2]
+    put("c")
+    assert store.merge() == 0 and [x[3] for x in totals(store.totals())] == [1, 2]
 
 
 @pytest.mark.parametrize("column", ["harness", "occurred_at", "observed_at"])

@@ -1,15 +1,18 @@
 from __future__ import annotations
 
+import io
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import audit, derived, graph, ledger, quarantine
+from tracewell import cli
 from tracewell.sources import render
+from tracewell.sources.files import FileThere, Folder
 from tracewell.sources.inbox import FileInbox, InboxError
 from tracewell.sources.store import TABLES, Store, StoreError
-from tracewell.streaming.ingest import ingest_batch, run_available
+from tracewell.streaming.ingest import ingest_batch, ingest_inbox, run_available
 from tests.test_quarantine import text
 
 OBS = TABLES["observations"][0]
@@ -249,3 +252,195 @@ def test_documents_as_events_again(spark, store):
     broken = o.withColumn("document", F.replace("document", F.lit('"version":null'), F.lit('"edition":null')))
     assert [r.reason for r in ledger.reconstructed_events(broken).collect()] == ["invalid-json"]
     assert ledger.reconstructed_events(o.limit(0)).count() == 0
+
+
+FILE = "raw_id long, file_name string, body string"
+
+
+def one_file(spark, **changes):
+    return spark.createDataFrame([(1, "a.json", text(**changes))], FILE)
+
+
+def test_a_tampered_row_is_found_beside_the_good_one(spark, store):
+    ingest_batch(store, one_file(spark), "b1", AT)
+    good = store.read("observations")
+    bad = good.withColumn("document", F.replace("document", F.lit('"event_type":"t"'), F.lit('"event_type":"u"')))
+    for rows in (good.unionByName(bad), bad.unionByName(good), good.unionByName(good).unionByName(bad)):
+        assert [r.detail for r in audit.observation_rows(audit.checked_documents(rows)).collect()] == ["digest"]
+        assert [r.detail for r in audit.receipt_rows(store.read("receipts"), audit.checked_documents(rows)).collect()] == ["digest"]
+    d = derivations(spark, derivation(1), derivation(1, kind="cluster"))
+    assert [r.rule for r in derived.refusals(d).collect()] == ["facet-kind-mismatch"]
+
+
+def test_clusters_tell_types_and_separators_apart(spark):
+    facet = lambda *values: [{"namespace": "s", "name": f"n{i}", "value": v} for i, v in enumerate(values)]
+    d = derivations(spark, derivation(1, facets=facet("1")), derivation(2, facets=facet(1)), derivation(3, facets=facet(True)), derivation(4, facets=facet("true")), derivation(5, facets=facet("a;s.n1=b")), derivation(6, facets=facet("a", "b")), derivation(7, facets=facet(1)))
+    got = sorted((r.n, r.first_id[-1]) for r in derived.clusters(d).collect())
+    assert got == [(1, "1"), (1, "3"), (1, "4"), (1, "5"), (1, "6"), (2, "2")]
+
+
+def test_documents_that_are_no_strict_json_are_unreadable_everywhere(spark):
+    row = derivation(1)
+    twice, after = row[4].replace('"kind"', '"kind":"facet","kind"', 1), row[4] + " x"
+    d = derivations(spark, (*row[:4], twice), (ulid(2), *row[1:4], after))
+    assert {r.rule for r in derived.refusals(d).collect()} == {"unreadable"} and derived.project_facets(d).count() == 0
+    o = spark.createDataFrame([("A", AT, '{"kind":"k","kind":"k"}'), ("B", AT, '{"kind":"k"} x'), ("C", AT, '{"kind":"k"}')], OBS)
+    assert {r.id: r.kind for r in ledger.list_view(o).collect()} == {"A": None, "B": None, "C": "k"}
+
+
+def test_of_rows_that_differ_under_one_key_the_same_one_is_taken(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", None, None)], "k string, n int, s string")
+    for rows in (df, df.orderBy("n"), df.orderBy(F.desc("n"))):
+        assert sorted(tuple(r) for r in derived.once(rows, "k").collect()) == [("a", 1, "y"), ("b", None, None)]
+
+
+def test_stale_needs_a_reason(spark):
+    stale = {"confidence": "weak", "freshness": "stale", "contradiction": "contested", "scope": "exact"}
+    d = derivations(spark, derivation(1, profile=stale), derivation(2, profile=stale), derivation(3, supersedes=2), derivation(4, profile=stale))
+    links = derived.evidence_of(edges(spark, edge(10, f"derivation:{ulid(4)}", f"derivation:{ulid(3)}", "refutes")))
+    assert [r.id[-1] for r in derived.evidence_warnings(d, links).where("warning = 'stale-without-reason'").collect()] == ["1"]
+
+
+def test_appends_verify_what_they_take(spark, store):
+    note = render.note(spark, "a note", "/w", AT)
+    forged = note.withColumn("document", F.replace("document", F.lit("a note"), F.lit("another")))
+    other_instant = note.withColumn("observed_at", F.lit("2025-01-01T00:00:00+00:00"))
+    for bad in (forged, other_instant, note.withColumn("id", F.lit("X")), note.withColumn("document", F.concat("document", F.lit(" x"))), note.withColumn("document", F.lit(None).cast("string"))):
+        with pytest.raises(StoreError, match="integrity"):
+            store.append_observations("n", bad)
+    assert store.append_observations("n", note)
+    fated = cut_rows(spark, text(), text(source_event_id="e2"))
+    for bad in (fated.withColumn("session_id", F.lit("x")), fated.withColumn("event_digest", F.sha2("event_digest", 256)), fated.withColumn("event_digest", F.lit("?"))):
+        with pytest.raises(StoreError, match="receipt"):
+            store.append_harness("h", bad)
+    with pytest.raises(StoreError, match="receipt|needs"):
+        store.append_observations("h", fated.select("id", "observed_at", "document"))
+    assert {r.outcome for r in store.record_harness("h", fated.limit(1)).collect()} == {"recorded"}
+    again = cut_rows(spark, text(), text(source_event_id="e2"), at="2024-02-01 00:00:00")
+    assert sorted(r.outcome for r in store.record_harness("h2", again).collect()) == ["duplicate", "recorded"]
+    changed = cut_rows(spark, text(event_type="u"), at="2024-03-01 00:00:00")
+    assert [r.outcome for r in store.record_harness("h3", changed).collect()] == ["identity-conflict"]
+    assert store.read("receipts").count() == 2 and store.violations().count() == 0
+
+
+def cut_rows(spark, *bodies, at=AT):
+    judged = quarantine.classify(spark.createDataFrame([(i, f"{i}.json", b) for i, b in enumerate(bodies)], FILE))
+    return ledger.harness_observations(ledger.identified(quarantine.valid_events(judged)), F.lit(at).cast("timestamp"), "c").orderBy("id")
+
+
+def test_opening_verifies_and_migration_adds_tables(spark, tmp_path):
+    old = Store(spark, str(tmp_path / "old")).initialize(1)
+    with pytest.raises(StoreError, match="migration"):
+        old.open()
+    assert old.append_observations("n", render.note(spark, "a note", "/w", AT))
+    with pytest.raises(StoreError, match="migration"):
+        old.append_derivations("d", derivations(spark, derivation(1)))
+    assert old.initialize().open().version() == 3 and old.append_derivations("d", derivations(spark, derivation(1)))
+    with pytest.raises(StoreError):
+        old.migrate()
+    with pytest.raises(StoreError):
+        old.initialize(2)
+    forged = old.read("observations").withColumn("document", F.replace("document", F.lit("a note"), F.lit("x")))
+    forged.write.mode("append").parquet(f"{old.root}/observations/batch=n")
+    assert old.open(verify=False)
+    with pytest.raises(StoreError, match="digest"):
+        old.open()
+    (tmp_path / "old" / "schemas" / "receipts.ddl").write_text("harness string")
+    assert old.schema_faults() == ["columns of receipts"]
+    (tmp_path / "old" / "schemas" / "receipts.ddl").unlink()
+    assert old.schema_faults() == ["missing receipts"]
+    (tmp_path / "old" / "version-3").chmod(0o666)
+    assert len(old.unsafe_files()) == 1
+    (tmp_path / "link").symlink_to(tmp_path / "old")
+    with pytest.raises(StoreError, match="unsafe"):
+        Store(spark, str(tmp_path / "link")).open(verify=False)
+
+
+def test_every_guard_refuses_its_probe(spark, store):
+    assert store.probes() == []
+    ingest_batch(store, one_file(spark), "b1", AT)
+    assert store.probes() == [] and store.read("receipts").count() == 1
+
+
+def test_a_file_is_created_once(spark, tmp_path):
+    folder = Folder(spark, str(tmp_path / "x"))
+    folder.put("a/b.json", "1")
+    with pytest.raises(FileThere):
+        folder.put("a/b.json", "2")
+    assert folder.get("a/b.json") == "1" and folder.names("a") == ["b.json"] and folder.names("none") == [] and folder.get("none") is None
+
+
+def fill(box: FileInbox, files: dict[str, str]) -> None:
+    for name, body in files.items():
+        (box.inbox / name).write_text(body)
+        (box.inbox / name).chmod(0o600)
+
+
+class Killed(RuntimeError):
+    pass
+
+
+@pytest.mark.parametrize("step", ["append_harness", "commit", "complete", "refuse", "after the reason"])
+def test_a_run_that_is_killed_between_steps_loses_and_repeats_nothing(spark, store, tmp_path, monkeypatch, step):
+    files = {"b.json": text(), "a.json": text(excerpts=[{"kind": "k", "text": "other"}]), "c.json": text(source_event_id="e2"), "d.json": "{", "e.json": ""}
+    calls = []
+
+    def kill(*_: object, **__: object) -> None:
+        calls.append(1)
+        raise Killed
+
+    with pytest.raises(Killed), FileInbox(tmp_path / "state") as box:
+        fill(box, files)
+        with monkeypatch.context() as patch:
+            owner = Store if step in ("append_harness", "commit") else FileInbox
+            if step == "after the reason":
+                patch.setattr("tracewell.sources.inbox.os.rename", kill)
+            else:
+                patch.setattr(owner, step, kill)
+            ingest_inbox(store, box, AT)
+    assert calls
+    with FileInbox(tmp_path / "state") as box:
+        summary = ingest_inbox(store, box, "2024-01-02 00:00:00").collect()[0]
+        assert not list(box.inbox.iterdir()) and not list(box.processing.iterdir())
+        reasons = {p.read_text() for p in box.quarantine.iterdir() if p.suffix == ".reason"}
+        bodies = [p.read_text() for p in box.quarantine.iterdir() if p.suffix == ".json"]
+    assert reasons == {"identity-conflict", "invalid-json", "empty-event"} and sorted(bodies) == sorted([files["b.json"], files["d.json"], files["e.json"]])
+    assert store.read("observations").count() == 2 == store.read("receipts").count() and store.violations().count() == 0
+    assert summary.recorded + summary.duplicate + summary.quarantined <= len(files)
+
+
+def test_an_inbox_is_loaded_in_claim_order_and_found_empty_afterwards(spark, store, tmp_path):
+    with FileInbox(tmp_path / "state") as box:
+        assert tuple(ingest_inbox(store, box, AT).collect()[0])[:3] == (0, 0, 0)
+        fill(box, {"b.json": text(), "a.json": text(event_type="first"), "c.json": text(event_type="first")})
+        summary = ingest_inbox(store, box, AT).collect()[0]
+        assert (summary.recorded, summary.duplicate, summary.quarantined, summary.reasons) == (1, 1, 1, {"identity-conflict": 1})
+        assert tuple(ingest_inbox(store, box, AT).collect()[0])[:3] == (0, 0, 0)
+
+
+def test_commands(spark, tmp_path):
+    (tmp_path / ".git").mkdir()
+    (tmp_path / "deep").mkdir()
+
+    def run(*argv: str) -> str:
+        out = io.StringIO()
+        cli.run(list(argv), spark, tmp_path / "deep", out)
+        return out.getvalue()
+
+    with pytest.raises(StoreError):
+        run("note", "--summary", "x")
+    assert "Initialized" in run("init") and "Initialized" in run("init")
+    assert "Recorded" in run("note", "--summary", " by hand\tthen ")
+    state = tmp_path / cli.HOME / "state"
+    with FileInbox(state) as box:
+        fill(box, {"a.json": text(), "b.json": "{"})
+    assert json.loads(run("ingest", "--json")) == {"recorded": 1, "duplicate": 0, "quarantined": 1, "reasons": {"invalid-json": 1}}
+    assert run("ingest").startswith("Ingested 0 recorded, 0 duplicate, 0 quarantined")
+    lines = run("observation", "list", "--limit", "5").splitlines()
+    assert lines[0] == render.HEADER and len(lines) == 3 and any(x.endswith("by hand\\tthen") for x in lines)
+    assert len(json.loads(run("observation", "list", "--json", "--limit", "1"))) == 1
+    for bad in (["observation", "list", "--limit", "1001"], ["observation", "list", "--limit", "0"], ["fly"]):
+        with pytest.raises(SystemExit):
+            run(*bad)
+    with pytest.raises(StoreError):
+        cli.run(["init"], spark, "/", io.StringIO())

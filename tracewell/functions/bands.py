@@ -167,18 +167,30 @@ def band_by_join(values: DataFrame, raw: str, bands: DataFrame) -> DataFrame:
 
 
 def default_registry(version: str = "v1") -> Registry:
-    """The facets planned for sessions, tools and efforts."""
+    """The twelve planned facets of sessions, outcomes, friction and cost, and the tables that queries and tests use.
+
+    Bounds of durations, tool errors and tokens are the plan's; where it only says "banded" they are chosen here.
+    """
     registry = Registry()
     minute, hour, kilo = 60, 3600, 1000
+    spans = ("xs", (5 * minute, "s"), (15 * minute, "m"), (hour, "l"), (4 * hour, "xl"))
     tables: Mapping[tuple[str, str], tuple] = {
-        ("session", "duration"): ("xs", (5 * minute, "s"), (30 * minute, "m"), (hour, "l"), (4 * hour, "xl")),
-        ("session", "turns"): ("none", (1, "few"), (6, "some"), (21, "many")),
-        ("session", "tool_errors"): ("none", (1, "one_two"), (3, "three_five"), (6, "six_ten"), (11, "more")),
-        ("session", "tokens"): ("none", (1, "up_to_1k"), (kilo, "up_to_10k"), (10 * kilo, "up_to_100k"), (100 * kilo, "more")),
+        ("subject", "path.depth"): ("root", (2, "shallow"), (4, "middle"), (7, "deep")),
+        ("session", "duration.bucket"): spans,
+        ("session", "turns.bucket"): ("none", (1, "one"), (2, "few"), (6, "some"), (21, "many")),
+        ("session", "tool.errors.bucket"): ("none", (1, "one_two"), (3, "three_five"), (6, "six_ten"), (11, "more")),
+        ("session", "delegation.depth"): ("none", (1, "one"), (2, "two"), (3, "deeper")),
+        ("friction", "interruptions.bucket"): ("none", (1, "one"), (2, "few"), (6, "many")),
+        ("cost", "input.tokens.bucket"): ("0", (kilo, "1k_10k"), (10 * kilo, "10k_50k"), (50 * kilo, "50k_200k"), (200 * kilo, "200k_up")),
+        ("cost", "wall.bucket"): spans,
         ("event", "value"): ("tiny", (10, "small"), (50, "medium"), (120, "large")),
         ("latency", "duration"): ("instant", (100, "quick"), (1000, "slow"), (10000, "stalled")),
     }
     for (namespace, name), bands in tables.items():
         registry.register(BandTable.of(namespace, name, version, *bands))
+    registry.register_category("subject", "crate")
+    registry.register_category("outcome", "class", ("verified-pass", "verified-fail", "unverified", "blocked", "abandoned"))
+    registry.register_category("outcome", "verification.gate")
+    registry.register_category("friction", "category")
     registry.register_category("effort", "outcome", ("held", "reverted", "open"))
     return registry

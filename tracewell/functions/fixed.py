@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-# Schema tags of the wire format, of stored payloads and of digests.
-EVENT_SCHEMA = "evidra.agent-harness-event/v1"
-OBSERVATION_SCHEMA = "evidra.agent-harness-observation/v1"
-DIGEST_SCHEMA = "evidra.agent-harness-event-digest/v1"
+import json
+import os
+from pathlib import Path
+
+# Schema tags of the wire format, of stored payloads and of digests: those of the tool whose events are read, so
+# they come from a file, which TRACEWELL_WIRE_FORMAT may replace.
+_TAGS = json.loads(Path(os.environ.get("TRACEWELL_WIRE_FORMAT") or Path(__file__).parent.parent / "data" / "wire_format.json").read_text())
+EVENT_SCHEMA: str = _TAGS["event_schema"]
+OBSERVATION_SCHEMA: str = _TAGS["observation_schema"]
+DIGEST_SCHEMA: str = _TAGS["digest_schema"]
 
 # Kinds.
 HARNESS_SOURCE = "agent-harness"

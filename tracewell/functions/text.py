@@ -45,12 +45,39 @@ def snake_case(column: Column) -> Column:
     return column.rlike("^[a-z0-9]([a-z0-9_]*[a-z0-9])?$")
 
 
+#: What a terminal may not be shown: controls, formats, unassigned, private and separators other than a space.
+_UNSEEN = r"[\p{Cc}\p{Cf}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}&&[^ ]]"
+_MARK = r"^[\p{Mn}\p{Me}]"
+
+
 def escape_debug(column: Column) -> Column:
-    """Backslash, quotes and control characters as escapes, for one-line table output."""
+    """``column`` safe for one line of a table: backslash, quotes and whatever isn't printable as escapes.
+
+    Tab, return, line feed and NUL have short escapes; others come out as ``\\u{...}`` in hex. So does a
+    combining mark at the start, which would join what stands before it.
+    """
     out = F.replace(column, F.lit("\\"), F.lit("\\\\"))
     for raw, shown in (("\t", "\\t"), ("\r", "\\r"), ("\n", "\\n"), ('"', '\\"'), ("'", "\\'"), ("\0", "\\0")):
         out = F.replace(out, F.lit(raw), F.lit(shown))
-    return out
+    code = lambda c: F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(c))), F.lit("}"))
+    each = F.transform(F.regexp_extract_all(out, F.lit("(?s)(.)"), F.lit(1)), lambda c, i: F.when(c.rlike(_UNSEEN) | ((i == 0) & c.rlike(_MARK)), code(c)).otherwise(c))
+    return F.when(out.rlike(_UNSEEN) | out.rlike(_MARK), F.array_join(each, "")).otherwise(out)
+
+
+_PAIR = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+_LONE = r"(?<!\\)(?:\\\\)*\\u[dD][89a-fA-F]"
+
+
+def is_strict_json(column: Column) -> Column:
+    """True for JSON without duplicate keys, lone surrogates or anything after the value, null for null.
+
+    The same as ``strict_json.loads`` in JVM code, up to the depth that Spark's own reader goes to (1,000 levels);
+    what is deeper is false.
+    """
+    # As the first of two elements of an array, so that whatever follows the value is an error, ends the array early or makes a third.
+    wrapped = F.try_parse_json(F.concat(F.lit("["), column, F.lit(",0]")))
+    one = F.try_variant_get(wrapped, "$[1]", "variant").isNotNull() & F.try_variant_get(wrapped, "$[2]", "variant").isNull()
+    return F.when(column.isNotNull(), F.coalesce(one, F.lit(False)) & ~F.regexp_replace(column, _PAIR, "").rlike(_LONE))
 
 
 def target_key(kind: Column, ident: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.derived import VOCABULARIES, in_vocabulary, slot_ok
 from tracewell.functions.fixed import DIGEST_SCHEMA, HARNESS_KIND
-from tracewell.functions.strict_json import observation
-from tracewell.functions.text import is_digest, rfc3339
+from tracewell.functions.strict_json import compact, observation
+from tracewell.functions.text import is_digest, is_strict_json, rfc3339
 from tracewell.operators.derived import RELATIONSHIP, VALUES, once, parsed, project_facets, refusals
 from tracewell.operators.hierarchy import normal_key
 from tracewell.operators.ledger import differences
@@ -27,7 +26,7 @@ def _violation(check: str, key: Column, detail: Column) -> list[Column]:
 
 
 def _compact(value: object) -> bytes:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":")).encode()
+    return compact(value).encode()
 
 
 CHECKED = "id string, observed_at string, problem string, kind string, document_observed_at string, harness string, session_id string, source_event_id string, semantic_digest string"
@@ -36,7 +35,8 @@ CHECKED = "id string, observed_at string, problem string, kind string, document_
 def checked_documents(observations: DataFrame) -> DataFrame:
     """CHECKED rows: what each document says, digests made anew, ``problem`` if it can't be trusted.
 
-    Bytes must be those that were hashed, so documents are read in Arrow batches; the step is narrow.
+    Bytes must be those that were hashed, so documents are read in Arrow batches. Every row is checked; rows that
+    are alike then count once, so two documents under one id give two rows. What is shuffled are these narrow rows.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +47,7 @@ def checked_documents(observations: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) if rows else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=[x.split(" ")[0] for x in CHECKED.split(", ")])
 
-    return once(observations, "id").select("id", "observed_at", "document").mapInArrow(check, CHECKED)
+    return observations.select("id", "observed_at", "document").mapInArrow(check, CHECKED).distinct()
 
 
 def _check(ident: str, doc: object) -> tuple:
@@ -114,8 +114,8 @@ def repeated_keys(df: DataFrame, name: str, *keys: str) -> DataFrame:
 
 
 def derivation_rows(derivations: DataFrame) -> DataFrame:
-    """Derivations that break a rule, or whose columns differ from their document."""
-    d = parsed(once(derivations, "id"))
+    """Derivations that break a rule, or whose columns differ from their document; every distinct row is checked."""
+    d = parsed(derivations.distinct())
     same_instant = rfc3339(F.col("recorded_at")) == rfc3339(F.col("d.recorded_at"))
     found = F.array_compact(
         F.array(
@@ -126,7 +126,7 @@ def derivation_rows(derivations: DataFrame) -> DataFrame:
         )
     )
     drift = d.where("d.kind is not null").select("id", F.explode(found).alias("found"))
-    return drift.unionByName(refusals(derivations).withColumnRenamed("rule", "found")).select(*_violation("derivation", F.col("id"), F.col("found")))
+    return drift.unionByName(refusals(derivations).withColumnRenamed("rule", "found")).distinct().select(*_violation("derivation", F.col("id"), F.col("found")))
 
 
 def facet_rows(facets: DataFrame, derivations: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def facet_slots(facets: DataFrame) -> DataFrame:
 
 def relationship_rows(relationships: DataFrame) -> DataFrame:
     """Edges whose columns differ from their document, and edges of a key to itself."""
-    r = once(relationships, "id").withColumn("d", F.from_json("document", RELATIONSHIP))
+    r = relationships.distinct().withColumn("d", F.from_json(F.when(is_strict_json(F.col("document")), F.col("document")), RELATIONSHIP))
     key = lambda side: F.coalesce(F.concat(F.lit("observation:"), F.col(f"d.{side}.observation")), F.concat(F.lit("derivation:"), F.col(f"d.{side}.derivation")))
     found = F.array_compact(
         F.array(

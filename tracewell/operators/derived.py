@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.derived import confidence_rank, gate, kind_agrees, weakest_freshness
+from tracewell.functions.text import is_strict_json
 from tracewell.operators.hierarchy import normal_key
 
 DERIVATION = """struct<id:string,kind:string,
@@ -20,13 +21,16 @@ VALUES = ("slot", "text_value", "integer_value", "boolean_value")
 
 
 def once(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows made distinct by ``keys``: the ledger's tables may hold a row twice."""
-    return df.dropDuplicates(list(keys))
+    """Rows made distinct by ``keys``: the ledger's tables may hold a row twice. Of rows that differ the smallest stays."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("one row")).select(*[F.col(c) if c in keys else F.col("one row")[c].alias(c) for c in df.columns])
 
 
 def parsed(derivations: DataFrame) -> DataFrame:
-    """Derivations with their document as ``d``; null where it can't be read."""
-    return derivations.withColumn("d", F.from_json("document", DERIVATION))
+    """Derivations with their document as ``d``; null where it isn't strict JSON."""
+    return derivations.withColumn("d", F.from_json(F.when(is_strict_json(F.col("document")), F.col("document")), DERIVATION))
 
 
 def project_facets(derivations: DataFrame) -> DataFrame:
@@ -110,8 +114,8 @@ def aggregate_all(view: DataFrame) -> DataFrame:
 
 
 def refusals(derivations: DataFrame) -> DataFrame:
-    """(id, rule) for each rule of construction that a record breaks; ``unreadable`` if its document isn't one."""
-    d = parsed(once(derivations, "id"))
+    """(id, rule) for each rule of construction that one of the records of an id breaks; ``unreadable`` if a document isn't one."""
+    d = parsed(derivations.distinct())
     rules: list[tuple[str, Column]] = [
         ("unreadable", F.col("d.kind").isNull()),
         ("self-supersession", normal_key(F.col("d.supersedes"), "derivation:") == normal_key(F.col("id"))),
@@ -120,7 +124,7 @@ def refusals(derivations: DataFrame) -> DataFrame:
         ("inverted-window", F.col("d.scope.from_occurred_at").try_cast("timestamp") > F.col("d.scope.to_occurred_at").try_cast("timestamp")),
     ]
     broken = F.array_compact(F.array(*[F.when(test, name) for name, test in rules]))
-    return d.select("id", F.explode(broken).alias("rule"))
+    return d.select("id", F.explode(broken).alias("rule")).distinct()
 
 
 # Evidence and relationships.
@@ -160,20 +164,31 @@ def corroboration(links: DataFrame) -> DataFrame:
 
 
 def evidence_warnings(derivations: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, warning): uncontested with refuting evidence; moderate or stronger with fewer than two supports; no evidence at all."""
+    """(id, warning): uncontested with refuting evidence; moderate or stronger with fewer than two supports; no evidence at all;
+
+    stale although nothing refutes or supersedes it.
+    """
     d = parsed(once(derivations, "id")).select(F.concat(F.lit("derivation:"), "id").alias("derivation_key"), "id", "d.profile")
     joined = d.join(corroboration(links), "derivation_key", "left").fillna(0, subset=["supporting", "refuting"])
+    gone = superseded(derivations).select(F.concat(F.lit("derivation:"), "key").alias("derivation_key"), F.lit(True).alias("gone"))
+    joined = joined.join(gone, "derivation_key", "left")
     tests = [
         ("uncontested-but-refuted", (F.col("profile.contradiction") == "uncontested") & (F.col("refuting") > 0)),
         ("not-corroborated", (confidence_rank(F.col("profile.confidence")) >= 2) & (F.col("supporting") < 2)),
         ("no-evidence", (F.col("supporting") + F.col("refuting")) == 0),
+        ("stale-without-reason", (F.col("profile.freshness") == "stale") & (F.col("refuting") == 0) & F.col("gone").isNull()),
     ]
     return joined.select("id", F.explode(F.array_compact(F.array(*[F.when(t, n) for n, t in tests]))).alias("warning"))
 
 
 def clusters(derivations: DataFrame) -> DataFrame:
-    """(signature, n, first_id): facet derivations grouped by the set of facets they carry, by a deterministic signature."""
+    """(signature, n, first_id): facet derivations grouped by the set of facets they carry.
+
+    The signature is JSON, an array of objects with namespace, name, slot and value as text, in order; a text "1"
+    and an integer 1 differ by their slot, and no character of a value can be taken for a separator.
+    """
     facets = project_facets(derivations)
-    one = F.concat_ws("=", F.concat_ws(".", "namespace", "name"), F.coalesce("text_value", F.col("integer_value").cast("string"), F.col("boolean_value").cast("string")))
-    per = facets.groupBy("derivation_id").agg(F.concat_ws(";", F.array_sort(F.collect_set(one))).alias("signature"))
+    value = F.coalesce("text_value", F.col("integer_value").cast("string"), F.col("boolean_value").cast("string"), F.lit(""))
+    one = F.struct(F.coalesce("namespace", F.lit("")).alias("namespace"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("slot", F.lit("")).alias("slot"), value.alias("value"))
+    per = facets.groupBy("derivation_id").agg(F.to_json(F.array_sort(F.collect_set(one))).alias("signature"))
     return per.groupBy("signature").agg(F.count("*").alias("n"), F.min("derivation_id").alias("first_id"))

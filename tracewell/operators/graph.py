@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.derived import edges
 from tracewell.operators.hierarchy import cycle_nodes, parent_links
-from tracewell.session import stored
+from tracewell.session import finished, stored
 
 
 def both_ways(relationships: DataFrame) -> DataFrame:
@@ -37,17 +37,19 @@ def explain(relationships: DataFrame, starts: DataFrame, hops: int = 2) -> DataF
     """
     links = both_ways(relationships).select("key", F.col("other").alias("next")).distinct()
     seen = stored(starts.select(F.col("key").alias("start"), "key").distinct().withColumn("distance", F.lit(0)))
-    frontier = seen
+    tables, frontier = [seen], seen
     for hop in range(1, hops + 1):
         step = frontier.join(links, "key").select("start", F.col("next").alias("key")).distinct()
         frontier = stored(step.join(seen.select("start", "key"), ["start", "key"], "left_anti").withColumn("distance", F.lit(hop)))
+        tables.append(frontier)
         seen = seen.unionByName(frontier)
-    return seen
+    return finished(seen, *tables)
 
 
 def closes_cycle(derivations: DataFrame, new: DataFrame, prefix: str = "derivation:") -> DataFrame:
     """(id) of the records of ``new`` (id, supersedes) that would lie on a cycle of supersession if appended."""
     both = derivations.select("id", "supersedes").unionByName(new.select("id", "supersedes"))
-    links = stored(parent_links(both, prefix=prefix))
-    on = links.join(cycle_nodes(links), "node", "left_semi").select("id")
-    return new.select("id").distinct().join(on, "id", "left_semi")
+    links = parent_links(both, prefix=prefix)
+    loops = cycle_nodes(links)
+    on = links.join(loops, "node", "left_semi").select("id")
+    return finished(new.select("id").distinct().join(on, "id", "left_semi"), links, loops)

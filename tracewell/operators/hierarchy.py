@@ -5,9 +5,11 @@ over the forest (each node is entered and left once), and rank the tour's list i
 jumping, which covers four times the distance each round. The entry and exit positions answer the rest:
 v is a descendant of u exactly if u's interval encloses v's.
 
-Rounds grow with the logarithm of the deepest chain and the longest tour, not with their length. Every
-join is on node numbers, so a parent with a third of all rows as children only meets a hash join whose
-build rows are unique; siblings are put in order by a range sort, never in one task.
+Rounds grow with the logarithm of the deepest chain and the longest tour, not with their length. A table
+that fits into one task (LOCAL_ROWS) is peeled and ranked there, by the same pointer jumping over arrays:
+a round of joins costs more than the whole then. A parent or root that a third of all rows name is looked
+up by broadcast of its one row (see ``plans.lookup``); siblings are put in order by a range sort, never
+in one task.
 """
 
 from __future__ import annotations
@@ -16,13 +18,18 @@ import sys
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.plans.lookup import lookup
 from tracewell.plans.ordered import partition_edges, range_sorted, with_neighbours
-from tracewell.session import cut, stored
+from tracewell.session import cut, discard, finished, stored
+
+#: Rows of a list or of links that one task takes; longer ones go round by round.
+LOCAL_ROWS = 1_000_000
 
 #: Pointers are followed this often before a round is written: the first round's end three elements further, the next round's fifteen, and so on.
 JUMPS = 3
@@ -54,7 +61,32 @@ def parent_links(df: DataFrame, id_col: str = "id", parent_col: str = "supersede
     )
     nodes = stored(keyed)
     known = nodes.select(F.col("key").alias("up"), F.col("node").alias("parent"))
-    return nodes.join(known, "up", "left").select("node", "id", "parent")
+    return stored(lookup(nodes, known, "up", nodes.count()).select("node", "id", "parent"), instead_of=nodes)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], *names: str) -> tuple[np.ndarray, ...]:
+    """Columns of all of a task's batches, null as -1."""
+    held = list(batches)
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(b.column(n).fill_null(-1).to_numpy(zero_copy_only=False) for b in held)]).astype(np.int64) for n in names)
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each of ``wanted`` stands in the sorted ``keys``; -1 if nowhere."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def _local_cycles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``cycle_nodes`` of one task's links: what pointers still reach after more jumps than there are nodes."""
+    node, parent = _gathered(batches, "node", "parent")
+    order = np.argsort(node)
+    node, parent = node[order], parent[order]
+    at = _places(node, parent)
+    for _ in range(max(1, len(node)).bit_length() + 1):
+        at = np.where(at >= 0, at[at], -1)
+    yield pa.RecordBatch.from_arrays([pa.array(node[np.unique(at[at >= 0])], pa.int64())], names=["node"])
 
 
 def cycle_nodes(links: DataFrame) -> DataFrame:
@@ -63,20 +95,20 @@ def cycle_nodes(links: DataFrame) -> DataFrame:
     Each round peels the leaves (nodes that no pointer reaches) and the tops (nodes whose pointer leaves
     the table), and replaces each pointer by the one that its target, that one's target and so on hold at
     the round's start. A node on a cycle is never a leaf and never leaves; a chain of length d is gone
-    after about log4(d) rounds.
+    after about log4(d) rounds. What is left goes into one task as soon as it fits.
     """
     alive = stored(links.where("parent is not null").select("node", "parent"))
     left = alive.count()
-    while left:
+    while left > LOCAL_ROWS:
         target = alive.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
         moved = alive.join(alive.select(F.col("parent").alias("node")).distinct(), "node", "left_semi")
         for _ in range(JUMPS):
-            moved = moved.join(target, "parent").select("node", F.col("next").alias("parent"))
+            moved = lookup(moved, target, "parent", left, "inner").select("node", F.col("next").alias("parent"))
         alive, before = stored(moved, instead_of=alive), left
         left = alive.count()
         if left == before:  # nothing peeled: every node has a pointer in and a pointer out, so all are on cycles
-            break
-    return alive.select("node")
+            return stored(alive.select("node"), instead_of=alive)
+    return stored(alive.coalesce(1).mapInArrow(_local_cycles, "node long"), instead_of=alive)
 
 
 def _euler_tour(forest: DataFrame) -> DataFrame:
@@ -100,6 +132,22 @@ def _euler_tour(forest: DataFrame) -> DataFrame:
     return entries.unionByName(exits).unionByName(last).withColumn("step", F.when(F.col("elem") % 2 == 0, 1).otherwise(-1).cast("long"))
 
 
+_STATE = ("elem", "next", "last", "after", "weight")
+
+
+def _local_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``rank_list`` of one task's elements."""
+    elem, following, last, after, weight = _gathered(batches, *_STATE)
+    order = np.argsort(elem)
+    elem, following, last, after, weight = (x[order] for x in (elem, following, last, after, weight))
+    at = _places(elem, following)
+    while (on := at >= 0).any():
+        to = at[on]
+        last[on], after[on], weight[on], at[on] = last[to], after[on] + after[to], weight[on] + weight[to], at[to]
+    none = pa.nulls(len(elem), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(elem, pa.int64()), none, *(pa.array(x, pa.int64()) for x in (last, after, weight))], names=list(_STATE))
+
+
 def rank_list(items: DataFrame) -> DataFrame:
     """List ranking by pointer jumping: (elem, last, after, weight).
 
@@ -109,6 +157,8 @@ def rank_list(items: DataFrame) -> DataFrame:
     """
     # "after" and "weight" cover the elements from elem up to, but without, next.
     state = stored(items.select("elem", "next", F.col("elem").alias("last"), F.lit(1).cast("long").alias("after"), F.col("step").alias("weight")))
+    if state.count() <= LOCAL_ROWS:
+        state = stored(state.coalesce(1).mapInArrow(_local_ranks, state.schema), instead_of=state)
     while state.where("next is not null").limit(1).count():
         ahead = state.select(
             F.col("elem").alias("at"),
@@ -133,7 +183,7 @@ def rank_list(items: DataFrame) -> DataFrame:
 
 
 def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "supersedes", prefix: str = "") -> DataFrame:
-    """One row per distinct id: (id, parent_id, root_id, depth, entry, exit, n_descendants, node).
+    """One row per distinct id: (id, parent_id, root_id, depth, entry, exit, n_descendants), written once and read from there.
 
     Within a tree, ``entry`` and ``exit`` are positions in its tour from 0; v descends from u exactly if
     both have the same root and u.entry < v.entry < u.exit. A node without parent, or whose parent isn't
@@ -141,10 +191,10 @@ def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "supersedes",
     root_id ``cycle``, depth -1 and null entry, exit and n_descendants. See ``parent_links`` for null ids
     and repeated rows; an empty table gives no rows.
     """
-    links = stored(parent_links(df, id_col, parent_col, prefix))
-    loops = cycle_nodes(links).withColumn("loop", F.lit(True))
+    links = parent_links(df, id_col, parent_col, prefix)
+    loops = cycle_nodes(links)
     forest = stored(
-        links.join(loops, "node", "left").select(
+        links.join(loops.withColumn("loop", F.lit(True)), "node", "left").select(
             "node", "id", F.when(F.col("loop").isNull(), F.col("parent")).alias("parent"), F.col("parent").alias("named"), F.coalesce("loop", F.lit(False)).alias("loop")
         )
     )
@@ -162,11 +212,13 @@ def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "supersedes",
         .drop("last")
     )
     rows = stored(forest.join(sides, "node"))
+    discard(ranked, loops)
+    n = rows.count()
     roots = rows.where("node = root").select("root", F.col("id").alias("root_id"), F.col("loop").alias("cyclic"), F.col("in_after").alias("all_after"))
     parents = links.select(F.col("node").alias("named"), F.col("id").alias("parent_id"))
-    full = rows.join(roots, "root").join(parents, "named", "left")
+    full = lookup(lookup(rows, roots, "root", n), parents, "named", n)
     good = ~F.col("cyclic")
-    return full.select(
+    tree = full.select(
         "id",
         "parent_id",
         F.when(good, F.col("root_id")).otherwise("cycle").alias("root_id"),
@@ -175,6 +227,7 @@ def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "supersedes",
         F.when(good, F.col("all_after") - F.col("out_after")).alias("exit"),
         F.when(good, F.floor((F.col("in_after") - F.col("out_after") - 1) / 2)).alias("n_descendants"),
     )
+    return finished(tree, links, forest, rows)
 
 
 def _open_at_edges(walk: DataFrame, starts: dict[int, tuple[str, int]]) -> DataFrame:

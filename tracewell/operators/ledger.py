@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -12,9 +11,10 @@ from pyspark.sql import functions as F
 from tracewell.functions.digest import instant_text, persisted_payload, semantic_digest
 from tracewell.functions.fixed import DEFAULT_LIST_LIMIT, EVENT_SCHEMA, HARNESS_KIND, HARNESS_TRANSFORMATION, MAX_LIST_LIMIT, OBSERVATION_SCHEMA
 from tracewell.functions.ids import make_ulid
-from tracewell.functions.strict_json import observation
-from tracewell.functions.text import escape_debug
+from tracewell.functions.strict_json import compact, observation
+from tracewell.functions.text import escape_debug, is_strict_json
 from tracewell.operators import quarantine
+from tracewell.operators.shred import once
 from tracewell.plans.ordered import numbered
 from tracewell.session import cut
 
@@ -32,9 +32,14 @@ def newest(observations: DataFrame, limit: int = DEFAULT_LIST_LIMIT) -> DataFram
     return observations.orderBy(F.col("observed_at").desc(), F.col("id").desc()).limit(limit)
 
 
+def id_order(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``place``, from 1, in the stable order of ``keys``, by which audits and exports go through a table. No task sorts it alone."""
+    return numbered(rows, keys, "place")
+
+
 def list_view(observations: DataFrame) -> DataFrame:
     """(id, occurred_at, kind, summary) as a listing shows them; summary is ``-`` unless the payload has one that is text."""
-    v = F.try_parse_json("document")
+    v = F.try_parse_json(F.when(is_strict_json(F.col("document")), F.col("document")))
     raw = F.try_variant_get(v, "$.payload.summary", "variant")
     text = F.when(F.schema_of_variant(raw) == "STRING", F.try_variant_get(v, "$.payload.summary", "string"))
     return observations.select(
@@ -159,11 +164,10 @@ def reconstructed_events(observations: DataFrame) -> DataFrame:
                     whole = event.pop("schema", None) == OBSERVATION_SCHEMA and isinstance(event.get("harness"), dict) and "version" in event["harness"]
                     event = {"schema": EVENT_SCHEMA if whole else None, **event, **{k: doc[k] for k in ("occurred_at", "source", "subject") if k in doc}}
                     ids.append(ident)
-                    bodies.append(json.dumps(event, ensure_ascii=False))
+                    bodies.append(compact(event))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(bodies, pa.string())], names=["id", "body"])
 
-    once = observations.where("id is not null").dropDuplicates(["id"]).select(F.col("id").cast("string").alias("id"), "document")
-    return quarantine.classify(once.mapInArrow(unwrap, "id string, body string"), key="id")
+    return quarantine.classify(once(observations).mapInArrow(unwrap, "id string, body string"), key="id")
 
 
 def snapshot_digest(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators import hierarchy, late, quarantine, shred
-from tracewell.session import cut, table
+from tracewell.session import table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,13 +71,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full path, entry and exit of every derivation off cycles, and how many descend from it."""
-    tree = cut(hierarchy.hierarchy(table(spark, sf_dir, "derivations"), prefix="derivation:"))
+    tree = hierarchy.hierarchy(table(spark, sf_dir, "derivations"), prefix="derivation:")
     return hierarchy.paths(tree).select("id", "root_id", "depth", "path", "n_descendants")
 
 
 def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All descendants of every derivation off cycles, with their distance."""
-    return hierarchy.descendants(cut(hierarchy.hierarchy(table(spark, sf_dir, "derivations"), prefix="derivation:")))
+    return hierarchy.descendants(hierarchy.hierarchy(table(spark, sf_dir, "derivations"), prefix="derivation:"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from tracewell.functions.ids import parse_ulid, ulid_millis
 from tracewell.functions.redaction import guard_reason, strictest_redaction
 from tracewell.functions.text import escape_debug, is_blank, is_digest, normalize_text, path_area, path_depth, rfc3339, snake_case
 from tracewell.operators import audit, derived, graph, hierarchy, late, ledger, quarantine
+from tracewell.operators.shred import once
 from tracewell.queries.data import READABLE
 from tracewell.session import cut, table
 from tracewell.sources import inbox
@@ -44,9 +45,24 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, document) of the observations, each id once."""
+    return once(table(spark, sf_dir, "observations")).withColumnRenamed("observation_id", "id")
+
+
 # Reading the ledger.
 
 
+@query("SELECT id, row_number() OVER (ORDER BY id) AS place FROM (SELECT DISTINCT id FROM observations)")
+def observations_in_id_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.id_order(table(spark, sf_dir, "observations").select("id").distinct(), "id")
+
+
+@query("SELECT namespace, name, derivation_id, row_number() OVER (ORDER BY namespace, name, derivation_id) AS place FROM (SELECT DISTINCT namespace, name, derivation_id FROM derivation_facets)")
+def facets_in_name_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.id_order(table(spark, sf_dir, "derivation_facets").select("namespace", "name", "derivation_id").distinct(), "namespace", "name", "derivation_id")
+
+
 @query("SELECT id, observed_at FROM (SELECT DISTINCT id, observed_at FROM observations) ORDER BY observed_at DESC, id DESC LIMIT 50")
 def list_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.newest(table(spark, sf_dir, "observations").select("id", "observed_at").distinct())
@@ -61,7 +77,7 @@ SELECT id, d->>'$.occurred_at' AS occurred_at, d->>'$.kind' AS kind,
 FROM valid WHERE json_type(d) = 'OBJECT' AND d->>'$.kind' IS NOT NULL"""
 )
 def list_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = ledger.list_view(table(spark, sf_dir, "observations").dropDuplicates(["id"]))
+    shown = ledger.list_view(_documents(spark, sf_dir))
     return shown.where("kind is not null")
 
 
@@ -83,7 +99,7 @@ def source_facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT kind, count(*) AS n, count(DISTINCT subject) AS subjects FROM (" + READABLE + " SELECT d->>'$.kind' AS kind, d->>'$.subject.identifier' AS subject FROM doc) GROUP BY kind")
 def observation_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audit.once(table(spark, sf_dir, "observations"), "id")
+    rows = _documents(spark, sf_dir)
     v = rows.select(F.try_parse_json("document").alias("v")).select(F.try_variant_get("v", "$.kind", "string").alias("kind"), F.try_variant_get("v", "$.subject.identifier", "string").alias("subject"))
     return v.where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("subjects"))
 
@@ -174,7 +190,7 @@ def ulid_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rfc3339_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = audit.checked_documents(table(spark, sf_dir, "observations")).where("problem is null or problem <> 'unreadable'").select("id", "observed_at")
-    docs = derived.once(table(spark, sf_dir, "observations"), "id").select("id", F.get_json_object("document", "$.occurred_at").alias("at"))
+    docs = _documents(spark, sf_dir).select("id", F.get_json_object("document", "$.occurred_at").alias("at"))
     show = lambda c: F.date_format(rfc3339(F.col(c)), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias
     return checked.join(docs, "id").select("id", show("at")("occurred_at"), show("observed_at")("observed_at"))
 
@@ -241,7 +257,7 @@ def redelivered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(READABLE + "SELECT r.observation_id, r.harness, d.payload->>'$.event_type' AS event_type FROM receipts r JOIN doc d ON d.id = r.observation_id")
 def receipt_join_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = late.harness_observations(table(spark, sf_dir, "observations")).select(F.col("id").alias("observation_id"))
-    payload = derived.once(table(spark, sf_dir, "observations"), "id").select(F.col("id").alias("observation_id"), "document")
+    payload = _documents(spark, sf_dir).select(F.col("id").alias("observation_id"), "document")
     kept = payload.join(checked, "observation_id", "left_semi").withColumn("v", F.try_parse_json("document"))
     inner = F.try_parse_json(F.try_variant_get("v", "$.payload", "string"))
     event_type = F.coalesce(F.try_variant_get("v", "$.payload.event_type", "string"), F.try_variant_get(inner, "$.event_type", "string"))
@@ -276,21 +292,105 @@ def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("check").agg(F.count("*").alias("n"))
 
 
-@query()
+_PART = lambda k: f"(d->'$.{k}')::VARCHAR"
+#: Each document with its payload as an object and the digest of its envelope, made anew from its parts.
+_SEALED = f"""
+WITH r AS (SELECT DISTINCT id, observed_at, CASE WHEN json_valid(document) THEN json(document) END AS d FROM observations),
+p AS (SELECT *, CASE WHEN json_type(d, '$.payload') = 'VARCHAR' AND json_valid(d->>'$.payload') THEN json(d->>'$.payload') ELSE json(d->'$.payload') END AS payload FROM r),
+sealed AS (SELECT *, sha256('{{' || {" || ',' || ".join(f"""'"{k}":' || {"payload::VARCHAR" if k == "payload" else _PART(k)}""" for k in audit.ENVELOPE)} || '}}') AS digest FROM p)
+"""
+
+
+@query(
+    _SEALED
+    + """SELECT 'observation' AS "check", id AS key, detail FROM (
+  SELECT id, CASE WHEN d IS NULL OR digest IS NULL THEN 'unreadable' WHEN digest <> d->>'$.integrity.digest' OR d->>'$.integrity.algorithm' <> 'sha256' THEN 'digest' WHEN d->>'$.id' <> id THEN 'id'
+    WHEN observed_at::TIMESTAMPTZ <> (d->>'$.observed_at')::TIMESTAMPTZ THEN 'observed_at' END AS detail FROM sealed) WHERE detail IS NOT NULL"""
+)
 def audit_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.observation_rows(audit.checked_documents(table(spark, sf_dir, "observations")))
 
 
-@query()
+@query(
+    _SEALED
+    + """SELECT 'observation' AS "check", id AS key, CASE WHEN d IS NULL THEN 'unreadable' ELSE 'digest' END AS detail FROM sealed WHERE d IS NULL OR contains(d->>'$.kind', 'harness')"""
+)
+def audit_tampered_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after every harness document's kind was altered, beside the row as it was: each altered one is found."""
+    rows = table(spark, sf_dir, "observations")
+    altered = rows.withColumn("document", F.regexp_replace("document", "agent-harness-event", "agent-harness-evenT"))
+    return audit.observation_rows(audit.checked_documents(rows.unionByName(altered)))
+
+
+_ITEMS = lambda items, each: f"""'[' || coalesce(array_to_string(list_transform(json_extract(payload, '$.{items}[*]'), lambda e: {each}), ','), '') || ']'"""
+_FIELD = lambda k: f"""(payload->'$.{k}')::VARCHAR"""
+_SEMANTIC = f"""
+, told AS (
+  SELECT id, d->>'$.kind' AS kind, payload->>'$.harness.name' AS h, payload->>'$.session_id' AS s, payload->>'$.source_event_id' AS e,
+    sha256('{{"schema":"{DIGEST_SCHEMA}","occurred_at":' || {_PART("occurred_at")} || ',"source":' || {_PART("source")} || ',"subject":' || {_PART("subject")} || ',"persisted_payload":{{"schema":' || {_FIELD("schema")}
+      || ',"source_event_id":' || {_FIELD("source_event_id")} || ',"harness":{{"name":' || {_FIELD("harness.name")} || ',"version":' || {_FIELD("harness.version")} || '}},"session_id":' || {_FIELD("session_id")}
+      || ',"event_type":' || {_FIELD("event_type")} || ',"redaction":{{"policy":' || {_FIELD("redaction.policy")} || ',"version":' || {_FIELD("redaction.version")} || ',"transformations":' || {_FIELD("redaction.transformations")} || '}}'
+      || ',"excerpts":' || {_ITEMS("excerpts", """'{"kind":' || (e->'$.kind')::VARCHAR || ',"text":' || (e->'$.text')::VARCHAR || '}'""")}
+      || ',"facets":' || {_ITEMS("facets", """'{"name":' || (e->'$.name')::VARCHAR || ',"value":' || (e->'$.value')::VARCHAR || '}'""")} || '}}}}') AS semantic
+  FROM sealed)
+"""
+_RECEIPTS = (
+    _SEALED
+    + _SEMANTIC
+    + """, judged AS (
+  SELECT r.observation_id, CASE WHEN NOT coalesce(regexp_full_match(r.event_digest, '[0-9a-f]{64}'), false) THEN 'malformed-digest' WHEN t.id IS NULL THEN 'no-observation'
+    WHEN t.kind IS DISTINCT FROM 'agent-harness-event' OR t.semantic IS NULL THEN 'invalid-payload' WHEN t.h <> r.harness OR t.s <> r.session_id OR t.e <> r.source_event_id THEN 'identity' WHEN t.semantic <> r.event_digest THEN 'digest' END AS detail
+  FROM held r LEFT JOIN told t ON t.id = r.observation_id)
+SELECT 'receipt' AS "check", observation_id AS key, detail FROM judged WHERE detail IS NOT NULL"""
+)
+
+
+@query(_RECEIPTS.replace("FROM held r", "FROM receipts r"))
 def audit_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.receipt_rows(table(spark, sf_dir, "receipts"), audit.checked_documents(table(spark, sf_dir, "observations")))
 
 
+@query(_RECEIPTS.replace("FROM held r", "FROM (SELECT * REPLACE (upper(session_id) AS session_id, CASE WHEN session_id = upper(session_id) THEN sha256(event_digest) ELSE event_digest END AS event_digest) FROM receipts) r"))
+def audit_drifted_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over receipts whose session is in upper case, or where it was so already, whose digest is another: each is found."""
+    same = F.col("session_id") == F.upper("session_id")
+    drifted = table(spark, sf_dir, "receipts").select("harness", F.upper("session_id").alias("session_id"), "source_event_id", F.when(same, F.sha2("event_digest", 256)).otherwise(F.col("event_digest")).alias("event_digest"), "observation_id")
+    return audit.receipt_rows(drifted, audit.checked_documents(table(spark, sf_dir, "observations")))
+
+
 @query()
 def audit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.full(*[table(spark, sf_dir, t) for t in ("observations", "receipts", "derivations", "derivation_facets", "relationships")]).groupBy("check", "detail").agg(F.count("*").alias("n"))
 
 
+# What the given tables hold no case of, with one planted in every row by the same rule on both sides.
+
+
+@query(READABLE + "SELECT id AS key FROM doc WHERE d->>'$.kind' = 'agent-harness-event' AND id NOT IN (SELECT observation_id FROM receipts WHERE harness <> (SELECT min(harness) FROM receipts))")
+def observations_without_receipt_of_one_harness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations without receipt once the receipts of the first harness by name are gone."""
+    receipts = table(spark, sf_dir, "receipts")
+    first = receipts.agg(F.min("harness").alias("first"))
+    kept = receipts.join(F.broadcast(first), F.col("harness") != F.col("first"))  # one row
+    return audit.without_receipt(audit.checked_documents(table(spark, sf_dir, "observations")), kept).select("key")
+
+
+@query("SELECT DISTINCT derivation_id AS key FROM derivation_facets WHERE derivation_id NOT IN (SELECT id FROM derivations WHERE kind <> 'facet' OR supersedes IS NULL)")
+def facet_orphans_of_replacing_derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facets without derivation once the facet derivations that replace another are gone."""
+    kept = table(spark, sf_dir, "derivations").where("kind <> 'facet' or supersedes is null")
+    return audit.orphans(table(spark, sf_dir, "derivation_facets"), "derivation_id", kept, "id", "facet").select("key")
+
+
+@query("SELECT DISTINCT observation_id AS key FROM receipts WHERE observation_id NOT IN (SELECT id FROM observations WHERE observed_at < (SELECT max(left(observed_at, 10)) FROM observations))")
+def receipt_orphans_of_the_last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts without observation once those of the last day are gone."""
+    observations = table(spark, sf_dir, "observations").select("id", "observed_at")
+    last = observations.agg(F.max(F.left("observed_at", F.lit(10))).alias("last"))
+    kept = observations.join(F.broadcast(last), F.col("observed_at") < F.col("last"))  # one row
+    return audit.orphans(table(spark, sf_dir, "receipts"), "observation_id", kept, "id", "receipt").select("key")
+
+
 _DOC_FACETS = """
 WITH d AS (SELECT DISTINCT id, recorded_at, document::JSON AS doc FROM derivations),
 f AS (SELECT id, doc, recorded_at, unnest(json_extract(doc, '$.facets[*]')) AS f FROM d),
@@ -321,6 +421,19 @@ def facet_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.facet_rows(table(spark, sf_dir, "derivation_facets"), table(spark, sf_dir, "derivations")).select("detail", "key")
 
 
+@query(
+    _DOC_FACETS
+    + """, held AS (SELECT DISTINCT derivation_id, namespace, name, slot, upper(text_value) AS text_value, integer_value, boolean_value, confidence, freshness FROM derivation_facets),
+want AS (SELECT DISTINCT derivation_id, namespace, name, slot, text_value, integer_value, boolean_value, confidence, freshness FROM called)
+SELECT 'extra' AS detail, derivation_id || '|' || namespace || '|' || name AS key FROM (SELECT * FROM held EXCEPT SELECT * FROM want)
+UNION ALL SELECT 'missing', derivation_id || '|' || namespace || '|' || name FROM (SELECT * FROM want EXCEPT SELECT * FROM held)"""
+)
+def facet_drift_in_upper_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same once the facets' texts are in upper case."""
+    drifted = table(spark, sf_dir, "derivation_facets").withColumn("text_value", F.upper("text_value"))
+    return audit.facet_rows(drifted, table(spark, sf_dir, "derivations")).select("detail", "key")
+
+
 @query(
     """SELECT slot, count(*) AS n, count(*) FILTER (NOT CASE slot WHEN 'text' THEN text_value IS NOT NULL AND integer_value IS NULL AND boolean_value IS NULL
   WHEN 'integer' THEN integer_value IS NOT NULL AND text_value IS NULL AND boolean_value IS NULL
@@ -372,6 +485,18 @@ def audit_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.relationship_rows(table(spark, sf_dir, "relationships")).select("key", "detail")
 
 
+@query(
+    """WITH r AS (SELECT DISTINCT id, from_key, to_key, relation, document::JSON AS d FROM relationships)
+SELECT id AS key, unnest(CASE WHEN from_key = to_key THEN ['self-edge'] ELSE ['from_key', 'to_key'] END) AS detail FROM r
+UNION ALL SELECT id, 'relation' FROM r WHERE d->>'$.relation' <> 'supports'"""
+)
+def audit_turned_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same once every edge is turned round and supports."""
+    r = table(spark, sf_dir, "relationships")
+    turned = r.select("id", F.col("to_key").alias("from_key"), F.col("from_key").alias("to_key"), F.lit("supports").alias("relation"), "confidence", "recorded_at", "document")
+    return audit.relationship_rows(turned).select("key", "detail")
+
+
 @query("SELECT count(*) AS n, 0::BIGINT AS different FROM events")
 def snapshot_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
@@ -477,17 +602,16 @@ def weakest_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "derivation_facets").groupBy("namespace", "name").agg(rules.weakest_freshness(F.col("freshness")).alias("freshness"))
 
 
-@query("SELECT DISTINCT namespace, name FROM derivation_facets WHERE (namespace, name) NOT IN (('session', 'duration'), ('session', 'turns'), ('session', 'tool_errors'), ('session', 'tokens'), ('event', 'value'), ('latency', 'duration'), ('effort', 'outcome'))")
+@query("SELECT DISTINCT namespace, name FROM derivation_facets WHERE (namespace, name) NOT IN (('subject', 'crate'), ('subject', 'path.depth'), ('session', 'duration.bucket'), ('session', 'turns.bucket'), ('session', 'tool.errors.bucket'), ('session', 'delegation.depth'), ('outcome', 'class'), ('outcome', 'verification.gate'), ('friction', 'category'), ('friction', 'interruptions.bucket'), ('cost', 'input.tokens.bucket'), ('cost', 'wall.bucket'), ('event', 'value'), ('latency', 'duration'), ('effort', 'outcome'))")
 def unregistered_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unregistered(table(spark, sf_dir, "derivation_facets").select("namespace", "name").distinct(), default_registry().registered(spark))
 
 
 @query(
-    """WITH f AS (SELECT DISTINCT derivation_id, namespace, name, text_value, integer_value, boolean_value FROM derivation_facets WHERE derivation_id IN (SELECT id FROM derivations)),
-s AS (SELECT derivation_id, string_agg(DISTINCT namespace || '.' || name || '=' || coalesce(text_value, integer_value::VARCHAR, boolean_value::VARCHAR), ';' ORDER BY namespace || '.' || name || '=' || coalesce(text_value, integer_value::VARCHAR, boolean_value::VARCHAR)) AS signature FROM """
-    + "("
-    + _DOC_FACETS
-    + " SELECT * FROM called) GROUP BY 1) SELECT signature, count(*) AS n, min(derivation_id) AS first_id FROM s GROUP BY 1"
+    """WITH d AS (SELECT DISTINCT id, document::JSON AS doc FROM derivations), f AS (SELECT id, unnest(json_extract(doc, '$.facets[*]')) AS f FROM d),
+t AS (SELECT DISTINCT id, {'namespace': f->>'$.namespace', 'name': f->>'$.name', 'slot': CASE json_type(f, '$.value') WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'integer' END, 'value': f->>'$.value'} AS one FROM f),
+s AS (SELECT id, to_json(list(one ORDER BY one.namespace, one.name, one.slot, one.value))::VARCHAR AS signature FROM t GROUP BY id)
+SELECT signature, count(*) AS n, min(id) AS first_id FROM s GROUP BY signature"""
 )
 def facet_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.clusters(table(spark, sf_dir, "derivations"))
@@ -556,7 +680,9 @@ def evidence_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """, d AS (SELECT DISTINCT id, document::JSON AS doc FROM derivations), c AS (SELECT derivation_key, count(DISTINCT target_key) FILTER (role = 'supporting') AS s, count(DISTINCT target_key) FILTER (role = 'refuting') AS r FROM l GROUP BY 1),
 j AS (SELECT d.id, doc, coalesce(s, 0) AS s, coalesce(r, 0) AS r FROM d LEFT JOIN c ON c.derivation_key = 'derivation:' || d.id)
 SELECT id, 'uncontested-but-refuted' AS warning FROM j WHERE doc->>'$.profile.contradiction' = 'uncontested' AND r > 0
-UNION ALL SELECT id, 'not-corroborated' FROM j WHERE doc->>'$.profile.confidence' IN ('moderate', 'strong') AND s < 2 UNION ALL SELECT id, 'no-evidence' FROM j WHERE s + r = 0"""
+UNION ALL SELECT id, 'not-corroborated' FROM j WHERE doc->>'$.profile.confidence' IN ('moderate', 'strong') AND s < 2 UNION ALL SELECT id, 'no-evidence' FROM j WHERE s + r = 0
+UNION ALL SELECT id, 'stale-without-reason' FROM j WHERE doc->>'$.profile.freshness' = 'stale' AND r = 0
+  AND NOT EXISTS (SELECT 1 FROM derivations n WHERE n.id <> j.id AND regexp_replace(upper(trim(n.supersedes, chr(9) || chr(10) || ' ')), '^DERIVATION:', '') = j.id)"""
 )
 def evidence_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.evidence_warnings(table(spark, sf_dir, "derivations"), derived.evidence_of(table(spark, sf_dir, "relationships")))
@@ -684,9 +810,9 @@ def physical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "inbox_files").select("raw_id", n.alias("n_lines"), F.coalesce(F.octet_length("body"), F.lit(0)).cast("long").alias("n_bytes"), long.alias("has_long_line"))
 
 
-@query("SELECT raw_id, file_name, row_number() OVER (ORDER BY CASE WHEN raw_id % 7 = 0 THEN 0 ELSE 1 END, file_name) AS claim_no FROM (SELECT raw_id, file_name FROM inbox_files ORDER BY file_name LIMIT 10000)")
+@query("SELECT raw_id, file_name, row_number() OVER (ORDER BY CASE WHEN raw_id % 7 = 0 THEN 0 ELSE 1 END, file_name) AS claim_no FROM inbox_files")
 def claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order of all files' claims. The SQL stops at 10,000 files, so beyond that many it is no oracle; ``FileInbox`` refuses a fuller inbox as a whole."""
+    """The order of all files' claims; ``FileInbox`` refuses an inbox of more files than its limit as a whole."""
     files = table(spark, sf_dir, "inbox_files").select("raw_id", "file_name", F.when(F.col("raw_id") % 7 == 0, "processing").otherwise("inbox").alias("origin"))
     return ledger.claim_order(files).select("raw_id", "file_name", "claim_no")
 
@@ -760,11 +886,31 @@ def band_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH s AS (SELECT session_id, epoch_us(max(occurred_at) - min(occurred_at)) // 1000000 AS seconds FROM wire_events WHERE session_id IS NOT NULL GROUP BY 1)
-SELECT CASE WHEN seconds IS NULL THEN NULL WHEN seconds < 300 THEN 'xs' WHEN seconds < 1800 THEN 's' WHEN seconds < 3600 THEN 'm' WHEN seconds < 14400 THEN 'l' ELSE 'xl' END AS band, count(*) AS sessions FROM s GROUP BY 1"""
+SELECT CASE WHEN seconds IS NULL THEN NULL WHEN seconds < 300 THEN 'xs' WHEN seconds < 900 THEN 's' WHEN seconds < 3600 THEN 'm' WHEN seconds < 14400 THEN 'l' ELSE 'xl' END AS band, count(*) AS sessions FROM s GROUP BY 1"""
 )
 def session_duration_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.floor("seconds")
-    return ledger.sessions(table(spark, sf_dir, "wire_events")).groupBy(default_registry().lookup("session", "duration").band(seconds).alias("band")).agg(F.count("*").alias("sessions"))
+    return ledger.sessions(table(spark, sf_dir, "wire_events")).groupBy(default_registry().lookup("session", "duration.bucket").band(seconds).alias("band")).agg(F.count("*").alias("sessions"))
+
+
+@query(
+    """WITH f AS (SELECT session_id, unnest(facets) AS f FROM wire_events WHERE session_id IS NOT NULL),
+s AS (SELECT session_id, sum(f.integer_value) AS tokens FROM f WHERE f.name = 'tokens.used' AND f.integer_value IS NOT NULL GROUP BY 1)
+SELECT CASE WHEN tokens < 1000 THEN '0' WHEN tokens < 10000 THEN '1k_10k' WHEN tokens < 50000 THEN '10k_50k' WHEN tokens < 200000 THEN '50k_200k' ELSE '200k_up' END AS band, count(*) AS sessions FROM s GROUP BY 1"""
+)
+def tokens_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "wire_events").where("session_id is not null").select("session_id", F.inline("facets"))
+    per = each.where("name = 'tokens.used' and integer_value is not null").groupBy("session_id").agg(F.sum("integer_value").alias("tokens"))
+    return per.groupBy(default_registry().lookup("cost", "input.tokens.bucket").band(F.col("tokens")).alias("band")).agg(F.count("*").alias("sessions"))
+
+
+@query(
+    """WITH f AS (SELECT unnest(facets) AS f FROM wire_events), p AS (SELECT len(list_filter(string_split(f.text_value, '/'), lambda x: x <> '')) AS depth FROM f WHERE f.name = 'subject.path' AND f.text_value IS NOT NULL)
+SELECT CASE WHEN depth < 2 THEN 'root' WHEN depth < 4 THEN 'shallow' WHEN depth < 7 THEN 'middle' ELSE 'deep' END AS band, count(*) AS n FROM p GROUP BY 1"""
+)
+def path_depth_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = table(spark, sf_dir, "wire_events").select(F.inline("facets")).where("name = 'subject.path' and text_value is not null")
+    return paths.groupBy(default_registry().lookup("subject", "path.depth").band(path_depth(F.col("text_value"))).alias("band")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -775,7 +921,7 @@ SELECT CASE WHEN errors < 1 THEN 'none' WHEN errors < 3 THEN 'one_two' WHEN erro
 def tool_errors_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = table(spark, sf_dir, "wire_events").where("session_id is not null").select("session_id", F.inline("facets"))
     per = each.where("name = 'tool.errors' and integer_value is not null").groupBy("session_id").agg(F.sum("integer_value").alias("errors"))
-    return per.groupBy(default_registry().lookup("session", "tool_errors").band(F.col("errors")).alias("band")).agg(F.count("*").alias("sessions"))
+    return per.groupBy(default_registry().lookup("session", "tool.errors.bucket").band(F.col("errors")).alias("band")).agg(F.count("*").alias("sessions"))
 
 
 @query(
@@ -797,7 +943,7 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(READABLE + "SELECT id, (payload->'$.harness.version') IS NOT NULL AS present FROM doc WHERE (d->>'$.kind') = 'agent-harness-event'")
 def version_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the key is there, null or not: an absent version and a null one differ."""
-    rows = derived.once(table(spark, sf_dir, "observations"), "id").withColumn("v", F.try_parse_json("document"))
+    rows = _documents(spark, sf_dir).withColumn("v", F.try_parse_json("document"))
     inner = F.try_parse_json(F.try_variant_get("v", "$.payload", "string"))
     harness = F.coalesce(F.try_variant_get("v", "$.payload.harness", "variant"), F.try_variant_get(inner, "$.harness", "variant"))
     keys = F.json_object_keys(F.to_json(harness))

@@ -28,7 +28,8 @@ def register(spark: SparkSession, sf_dir: str | None = None, registry: Registry
         made.append(name)
     for (namespace, facet), bands in (registry or default_registry()).tables.items():
         cases = " ".join(f"WHEN raw < {b.upper} THEN '{b.name}'" for b in bands.bands if b.upper is not None and b.lower >= I64_MIN)
-        name = f"band_{namespace}_{facet}"
+        slug = facet.replace(".", "_")
+        name = f"band_{namespace}_{slug}"
         body = f"CASE WHEN raw IS NULL THEN NULL {cases} ELSE '{bands.bands[-1].name}' END"
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(raw BIGINT) RETURNS STRING RETURN {body}")
         made.append(name)

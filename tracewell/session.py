@@ -70,12 +70,26 @@ def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid4().hex}"
     df.write.parquet(path)
     if instead_of is not None:
-        for old in {f.rsplit("/", 1)[0] for f in instead_of.inputFiles() if "/stored-" in f}:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        discard(instead_of)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the stored tables that ``tables`` read."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for old in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/stored-" in f}:
+            target = context._jvm.org.apache.hadoop.fs.Path(old)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def finished(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df`` cut, after which the stored ``tables`` it was made from are deleted; its checkpoint goes when nothing refers to it any more."""
+    result = cut(df)
+    discard(*tables)
+    return result
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,4 +1,4 @@
-"""Ingest as a stream of files: classify, compare with the receipts, append, quarantine.
+"""Ingest of files, from an inbox that claims them or as a stream: classify, compare with the receipts, append, quarantine.
 
 One run takes what is there now (``availableNow``). Each micro-batch is one commit of the store under the
 batch's number, so a batch that is repeated after a crash finds itself committed, or finds its identities
@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import ledger, quarantine
 from tracewell.session import cut
-from tracewell.sources.inbox import read_files
+from tracewell.sources.inbox import FileInbox, read_files
 from tracewell.sources.store import Store
 
 
 def classify_batch(files: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Files with their event, if valid, ``event_digest``, ``outcome`` and ``reason``: one row per file."""
+    """Files (raw_id, file_name, body) with their event, if valid, ``event_digest``, ``outcome`` and ``reason``: one row per file.
+
+    Of files with the same identity the first by name is recorded.
+    """
     judged = cut(quarantine.classify(files))
     events = quarantine.valid_events(judged).join(files.select("raw_id", "file_name"), "raw_id")
     known = ledger.identified(events).withColumnRenamed("harness", "harness_ref").withColumnRenamed("harness_name", "harness")
@@ -37,6 +40,33 @@ def ingest_batch(store: Store, files: DataFrame, batch: str, observed_at: str, c
     return summary
 
 
+def ingest_inbox(store: Store, inbox: FileInbox, observed_at: str, collector: str = "tracewell") -> DataFrame:
+    """Load what lies in ``inbox`` now and return the summary: claim, classify, append in one commit, then delete or quarantine each file.
+
+    The first by claim order wins. A run that dies leaves its claims, which the next run takes first: what it had
+    committed is there as duplicates, so nothing is recorded twice and no file is lost. The claims, at most as many as
+    an inbox may hold, are listed by this process; their contents are read by Spark, so the folder must be one
+    that the executors share.
+    """
+    claims = list(inbox.claims())
+    spark = store.spark
+    order = spark.createDataFrame([(c.name, f"{i:09d}-{c.name}") for i, c in enumerate(claims)], "claim string, file_name string")
+    found = read_files(spark, str(inbox.processing)).select("raw_id", F.col("file_name").alias("claim"), "body")
+    files = cut(found.join(F.broadcast(order), "claim"))  # at most MAX_INBOX_ENTRIES names
+    fated = cut(classify_batch(files.select("raw_id", "file_name", "body"), store.read("receipts")))
+    new = ledger.harness_observations(fated.where("outcome = 'recorded'"), F.lit(observed_at).cast("timestamp"), collector)
+    if claims:
+        # The claims' names are new with every claim, so a batch of the same name is the same batch.
+        store.append_harness(f"inbox-{claims[0].stem}-{claims[-1].stem}-{len(claims)}", new)
+    verdicts = {r.claim: r.reason for r in fated.join(files.select("raw_id", "claim"), "raw_id").select("claim", "reason").collect()}  # at most MAX_INBOX_ENTRIES
+    for claim in claims:
+        if verdicts[claim.name] is None:
+            inbox.complete(claim)
+        else:
+            inbox.refuse(claim, verdicts[claim.name])
+    return ledger.ingest_summary(fated.select("outcome", "reason"))
+
+
 def run_available(spark: SparkSession, store: Store, inbox: str, checkpoint: str, observed_at: str, run: str = "run", clean: bool = False) -> list[DataFrame]:
     """Ingest all files that are in ``inbox`` now and were not before; returns the summary of each batch."""
     summaries: list[DataFrame] = []
