@@ -12,6 +12,7 @@ from tracewell.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, shuffle_partitions=4)
+    # Tables are tiny here, so compiling plans would take longer than running them.
+    session = local_session(4, shuffle_partitions=2, spark__sql__codegen__wholeStage="false", spark__sql__codegen__factoryMode="NO_CODEGEN")
     yield session
     session.stop()

@@ -1,7 +1,9 @@
 """Rows that fail to parse, with the reason, and the valid rows.
 
 Every field is loaded as nullable text; rules over those columns fill an array of errors per record, in
-the order in which they count, and an empty array means a valid record. All rules are Column expressions.
+the order in which they count, and an empty array means a valid record. All fields and rules are Column
+expressions: a record is parsed once to a variant, whose type tells at one go whether the record has the
+closed set of fields with the types they must have.
 """
 
 from __future__ import annotations
@@ -14,6 +16,51 @@ from tracewell.functions.text import is_blank, rfc3339
 from tracewell.sources.records import read_records
 
 
+#: The type of a record as Spark spells it, fields in order: those of the format and no others. What arrays hold is also looked at one by one.
+SHAPE = (
+    "^OBJECT<event_type: STRING, excerpts: ARRAY<(VOID|OBJECT<kind: STRING, text: STRING>)>, facets: ARRAY<(VOID|OBJECT<name: STRING, value: [A-Z]+([(][0-9, ]+[)])?>)>, "
+    "harness: OBJECT<name: STRING(, version: (STRING|VOID))?>, occurred_at: STRING, redaction: OBJECT<policy: STRING, transformations: ARRAY<(VOID|STRING)>, version: STRING>, "
+    "schema: STRING, session_id: STRING, source: OBJECT<kind: STRING, locator: STRING>, source_event_id: STRING, subject: OBJECT<identifier: STRING, kind: STRING>>$"
+)
+TEXTS = ("source_event_id", "occurred_at", "source.kind", "source.locator", "subject.kind", "subject.identifier", "harness.name", "harness.version", "session_id", "event_type", "redaction.policy", "redaction.version")
+
+
+def _parsed(r: Column) -> Column:
+    """A RECORD with its text as a variant; null beyond the depth that Spark reads to, which no event has."""
+    return F.struct(*[r[n].alias(n) for n in ("line", "problem", "is_json", "is_object", "schema", "has_minus_zero")], F.when(r.is_json & r.is_object, F.try_parse_json(r.text)).alias("v"))
+
+
+def _fields(r: Column) -> Column:
+    """The fields of a parsed record as nullable texts, with ``shape`` and the elements of its arrays."""
+    get = lambda path, kind: F.try_variant_get(r.v, path, kind)
+    kind = lambda v: F.schema_of_variant(v)
+    facets = F.transform(
+        get("$.facets", "array<struct<name:string,value:variant>>"),
+        lambda f: F.struct(f["name"].alias("name"), F.when(kind(f.value) == "STRING", "text").when(kind(f.value) == "BIGINT", "integer").when(kind(f.value) == "BOOLEAN", "boolean").alias("type"), F.try_variant_get(f.value, "$", "string").alias("value")),
+    )
+    return F.struct(
+        *[r[n].alias(n) for n in ("line", "problem", "is_json", "is_object", "schema", "has_minus_zero")],
+        F.schema_of_variant(r.v).alias("shape"),
+        *[get(f"$.{p}", "string").alias(p.replace(".", "_")) for p in TEXTS],
+        get("$.redaction.transformations", "array<string>").alias("transformations"),
+        get("$.excerpts", "array<struct<kind:string,text:string>>").alias("excerpts"),
+        facets.alias("facets"),
+    )
+
+
+def _complete(r: Column) -> Column:
+    """Whether the record has its fields and types, and no element of an array is or holds a null or lacks a field."""
+    lacks = [
+        F.exists(r.transformations, lambda x: x.isNull()),
+        F.exists(r.excerpts, lambda x: x.isNull() | x["kind"].isNull() | x["text"].isNull()),
+        F.exists(r.facets, lambda x: x.isNull() | x["name"].isNull()),
+    ]
+    good = r["shape"].rlike(SHAPE)
+    for test in lacks:
+        good = good & ~F.coalesce(test, F.lit(True))
+    return F.coalesce(good, F.lit(False))
+
+
 def _blank(*columns: Column) -> Column:
     """True if one of the columns is there and blank."""
     test = F.lit(False)
@@ -24,15 +71,14 @@ def _blank(*columns: Column) -> Column:
 
 def rules(r: Column) -> list[tuple[Column, str]]:
     """(test, reason) in the order in which they count."""
-    facet_ok = lambda f: f.type.isin("text", "boolean") | ((f.type == "integer") & (f.value != "-0") & f.value.try_cast("bigint").isNotNull())
     return [
         (r.problem.isNotNull(), "problem"),
         (~r.is_json, "invalid-json"),
         (~r.is_object | r.schema.isNull(), "invalid-json"),
         (r.schema != EVENT_SCHEMA, "unsupported-schema"),
-        (F.size(r.wrong_fields) > 0, "invalid-json"),
+        (~_complete(r) | r.has_minus_zero, "invalid-json"),
         (rfc3339(r.occurred_at).isNull(), "invalid-json"),
-        (~F.forall(r.facets, facet_ok), "invalid-json"),
+        (F.exists(r.facets, lambda f: f.type.isNull()), "invalid-json"),
         (_blank(r.source_kind, r.source_locator, r.subject_kind, r.subject_identifier), "invalid-reference"),
         (_blank(r.source_event_id, r.harness_name, r.harness_version, r.session_id, r.event_type, r.redaction_policy, r.redaction_version), "invalid-event"),
         (F.exists(r.transformations, is_blank), "invalid-event"),
@@ -56,7 +102,8 @@ def classify(files: DataFrame, key: str = "raw_id", body: str = "body", limit: i
     that decide its reason, or, with None, all, so that ``errors`` is whole. Rows that share a key are judged one by one. An empty
     table gives no rows.
     """
-    judged = read_records(files, key, body, limit).withColumn("errors", F.transform("records", errors))
+    read = read_records(files, key, body, limit).withColumn("records", F.transform(F.transform("records", _parsed), _fields))
+    judged = read.withColumn("errors", F.transform("records", errors))
     first, second = F.get(F.get("errors", F.lit(0)), F.lit(0)), F.get(F.get("errors", F.lit(1)), F.lit(0))
     reason = F.when(F.size("records") == 0, "empty-event").otherwise(F.coalesce(first, second, F.when(F.size("records") > 1, "multiple-events")))
     return judged.withColumn("reason", reason)

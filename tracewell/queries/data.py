@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions.fixed import EVENT_SCHEMA, HARNESS_SOURCE, MAX_BLANK_BYTES, MAX_EXCERPT_BYTES, MAX_EXCERPTS, MAX_FACETS, MAX_RECORD_BYTES
 from tracewell.operators import hierarchy, late, quarantine, shred
 from tracewell.session import table
 
@@ -107,6 +108,60 @@ WITH once AS (
 )
 """
 
+#: Lines of inbox files with the blank bytes before them; up to two records or problems of each file, and each one's reason.
+_JUDGED = f"""
+WITH line AS (
+  SELECT raw_id, u.i, u.t, u.i < n AS ended FROM (
+    SELECT raw_id, string_split(body, chr(10)) AS parts, len(string_split(body, chr(10))) AS n FROM inbox_files WHERE body IS NOT NULL AND body <> ''
+  ), LATERAL (SELECT unnest(parts) AS t, unnest(range(1, n + 1)) AS i) u WHERE NOT (u.i = n AND u.t = '')
+), sized AS (
+  SELECT *, strlen(t) AS size, strlen(t) - strlen(ltrim(t, ' ' || chr(9) || chr(10) || chr(12) || chr(13))) AS lead FROM line
+), numbered AS (
+  SELECT *, lead = size AS blank, sum(CASE WHEN lead = size THEN 0 ELSE 1 END) OVER (PARTITION BY raw_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sized
+), skipping AS (
+  SELECT *, coalesce(sum(CASE WHEN blank THEN size + ended::INTEGER ELSE 0 END) OVER (PARTITION BY raw_id, coalesce(before, 0) ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS skipped FROM numbered
+), told AS (
+  SELECT *, CASE WHEN skipped = {MAX_BLANK_BYTES} OR (skipped > 0 AND skipped + lead > {MAX_BLANK_BYTES}) THEN 'blank-input-limit' WHEN size > {MAX_RECORD_BYTES} THEN 'record-too-large'
+    WHEN blank AND skipped + lead + ended::INTEGER > {MAX_BLANK_BYTES} THEN 'blank-input-limit' END AS problem FROM skipping
+), record AS (
+  SELECT raw_id, problem, t, row_number() OVER (PARTITION BY raw_id ORDER BY i) AS k FROM told WHERE problem IS NOT NULL OR NOT blank
+), parsed AS (
+  SELECT raw_id, k, problem, t, problem IS NULL AND json_valid(t) AND NOT regexp_matches(bare, 'NaN|nan|[Ii]nf|,\\s*[\\]}}]') AS good, regexp_matches(bare, '-0([^.0-9eE]|$)') AS minus_zero
+  FROM (SELECT *, regexp_replace(t, '"([^"\\\\]|\\\\.)*"', '""', 'g') AS bare FROM record WHERE k <= 2)
+), doc AS (
+  SELECT *, CASE WHEN good THEN json(t) ELSE json('null') END AS d FROM parsed
+), fields AS (
+  SELECT *, json_type(d) = 'OBJECT' AND len(json_keys(d)) = len(list_distinct(json_keys(d))) AS whole, list_sort(json_keys(d)) AS top, json_extract(d, '$.excerpts[*]') AS excerpts, json_extract(d, '$.facets[*]') AS facets,
+    json_extract(d, '$.redaction.transformations[*]') AS transformations, d->>'$.occurred_at' AS moment FROM doc
+), judged AS (
+  SELECT raw_id, k, d, CASE
+    WHEN problem IS NOT NULL THEN problem
+    WHEN NOT good OR NOT coalesce(whole, false) OR coalesce(json_type(d, '$.schema'), '') <> 'VARCHAR' THEN 'invalid-json'
+    WHEN d->>'$.schema' <> '{EVENT_SCHEMA}' THEN 'unsupported-schema'
+    WHEN NOT coalesce(
+      top = ['event_type', 'excerpts', 'facets', 'harness', 'occurred_at', 'redaction', 'schema', 'session_id', 'source', 'source_event_id', 'subject']
+      AND list_sort(json_keys(d, '$.source')) = ['kind', 'locator'] AND list_sort(json_keys(d, '$.subject')) = ['identifier', 'kind']
+      AND (list_sort(json_keys(d, '$.harness')) = ['name', 'version'] OR json_keys(d, '$.harness') = ['name']) AND list_sort(json_keys(d, '$.redaction')) = ['policy', 'transformations', 'version']
+      AND len(list_filter(json_type(d, ['$.event_type', '$.occurred_at', '$.session_id', '$.source_event_id', '$.source.kind', '$.source.locator', '$.subject.kind', '$.subject.identifier', '$.harness.name', '$.redaction.policy', '$.redaction.version']), lambda x: x = 'VARCHAR')) = 11
+      AND coalesce(json_type(d, '$.harness.version'), 'NULL') IN ('VARCHAR', 'NULL')
+      AND json_type(d, '$.excerpts') = 'ARRAY' AND json_type(d, '$.facets') = 'ARRAY' AND json_type(d, '$.redaction.transformations') = 'ARRAY'
+      AND len(list_filter(transformations, lambda e: json_type(e) = 'VARCHAR')) = len(transformations)
+      AND len(list_filter(excerpts, lambda e: json_type(e) = 'OBJECT' AND list_sort(json_keys(e)) = ['kind', 'text'] AND json_type(e, '$.kind') = 'VARCHAR' AND json_type(e, '$.text') = 'VARCHAR')) = len(excerpts)
+      AND len(list_filter(facets, lambda e: json_type(e) = 'OBJECT' AND list_sort(json_keys(e)) = ['name', 'value'] AND json_type(e, '$.name') = 'VARCHAR'
+        AND (json_type(e, '$.value') IN ('VARCHAR', 'BOOLEAN', 'BIGINT') OR (json_type(e, '$.value') = 'UBIGINT' AND try_cast(e->>'$.value' AS HUGEINT) < 9223372036854775808)))) = len(facets)
+      AND NOT minus_zero AND regexp_full_match(moment, '\\d{{4}}-\\d{{2}}-\\d{{2}}[Tt ]\\d{{2}}:\\d{{2}}:\\d{{2}}(\\.\\d+)?([Zz]|[+-]\\d{{2}}:?\\d{{2}})') AND try_cast(moment[1:10] AS DATE) IS NOT NULL
+      AND try_cast(moment[12:13] AS INTEGER) < 24 AND try_cast(moment[15:16] AS INTEGER) < 60 AND try_cast(moment[18:19] AS INTEGER) < 60 AND (right(moment, 1) IN ('Z', 'z') OR (try_cast(regexp_extract(moment, '[+-](\\d{{2}}):?\\d{{2}}$', 1) AS INTEGER) < 24 AND try_cast(right(moment, 2) AS INTEGER) < 60)), false) THEN 'invalid-json'
+    WHEN len(list_filter([d->>'$.source.kind', d->>'$.source.locator', d->>'$.subject.kind', d->>'$.subject.identifier'], lambda x: NOT regexp_matches(x, '[^\\s\\x0B\\x{{85}}\\p{{Z}}]'))) > 0 THEN 'invalid-reference'
+    WHEN len(list_filter(list_concat([d->>'$.source_event_id', d->>'$.harness.name', d->>'$.session_id', d->>'$.event_type', d->>'$.redaction.policy', d->>'$.redaction.version', coalesce(d->>'$.harness.version', '-')],
+        list_transform(transformations, lambda e: e->>'$'), list_transform(excerpts, lambda e: e->>'$.kind'), list_transform(excerpts, lambda e: e->>'$.text'), list_transform(facets, lambda e: e->>'$.name')), lambda x: NOT regexp_matches(x, '[^\\s\\x0B\\x{{85}}\\p{{Z}}]'))) > 0
+      OR d->>'$.source.kind' <> '{HARNESS_SOURCE}' OR len(excerpts) > {MAX_EXCERPTS} OR len(facets) > {MAX_FACETS} OR len(list_filter(excerpts, lambda e: strlen(e->>'$.text') > {MAX_EXCERPT_BYTES})) > 0 THEN 'invalid-event'
+  END AS reason FROM fields
+), filed AS (
+  SELECT f.raw_id, CASE WHEN a.raw_id IS NULL THEN 'empty-event' ELSE coalesce(a.reason, b.reason, CASE WHEN b.raw_id IS NOT NULL THEN 'multiple-events' END) END AS reason, a.d
+  FROM inbox_files f LEFT JOIN judged a ON a.raw_id = f.raw_id AND a.k = 1 LEFT JOIN judged b ON b.raw_id = f.raw_id AND b.k = 2
+)
+"""
+
 _TREE = """
 WITH RECURSIVE once AS (
   SELECT id, min(trim(regexp_replace(regexp_replace(upper(supersedes), '^\\s+|\\s+$', '', 'g'), '^DERIVATION:', ''))) AS up FROM derivations GROUP BY id
@@ -133,6 +188,11 @@ _LATE = READABLE + """
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _JUDGED + "SELECT raw_id, reason FROM filed WHERE reason IS NOT NULL",
+        "p2_reasons": _JUDGED + "SELECT reason, count(*) AS files FROM filed WHERE reason IS NOT NULL GROUP BY reason",
+        "p2_loaded": _JUDGED + """
+SELECT raw_id, d->>'$.source_event_id' AS source_event_id, strftime((d->>'$.occurred_at')::TIMESTAMPTZ AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f') AS occurred_at, d->>'$.harness.name' AS harness, d->>'$.session_id' AS session_id,
+       d->>'$.event_type' AS event_type, json_array_length(d, '$.excerpts')::INTEGER AS n_excerpts, json_array_length(d, '$.facets')::INTEGER AS n_facets FROM filed WHERE reason IS NULL""",
         "p3_found": READABLE + """
 , whole AS (
   SELECT id, unnest([d, payload]) AS v, unnest(['', 'payload']) AS prefix, json_type(d, '$.payload') = 'VARCHAR' AS apart FROM doc

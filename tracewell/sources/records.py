@@ -1,13 +1,13 @@
-"""Raw inbox files as bounded physical records, and a record's fields as nullable text.
+"""Raw inbox files as bounded physical records: whether each is strict JSON, and its text.
 
-Nothing is judged here: a field that is missing, or of another type than text, comes out null, with its
-JSON type beside it. ``operators.quarantine`` evaluates the rules over these columns.
+Only what needs the bytes or a strict reader is done here, in Arrow batches; fields are taken from the text
+by Columns (see ``operators.quarantine``).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,46 +15,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.functions.fixed import MAX_BLANK_BYTES, MAX_RECORD_BYTES
-from tracewell.functions.strict_json import FloatText, IntegerText, loads
+from tracewell.functions.strict_json import loads
 
 #: What ASCII calls white space.
 BLANK = b" \t\n\x0c\r"
-
-#: Scalar fields of an event by their path.
-TEXTS = (
-    "schema",
-    "source_event_id",
-    "occurred_at",
-    "source.kind",
-    "source.locator",
-    "subject.kind",
-    "subject.identifier",
-    "harness.name",
-    "harness.version",
-    "session_id",
-    "event_type",
-    "redaction.policy",
-    "redaction.version",
-)
-#: The closed set of fields of each object, by its path.
-FIELDS = {
-    "": {"schema", "source_event_id", "occurred_at", "source", "subject", "harness", "session_id", "event_type", "redaction", "excerpts", "facets"},
-    "source": {"kind", "locator"},
-    "subject": {"kind", "identifier"},
-    "harness": {"name", "version"},
-    "redaction": {"policy", "version", "transformations"},
-    "excerpts": {"kind", "text"},
-    "facets": {"name", "value"},
-}
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+_MINUS_ZERO = re.compile(r"-0(?![.0-9eE])")
 
 RECORD = T.StructType(
-    [T.StructField("line", T.IntegerType()), T.StructField("problem", T.StringType()), T.StructField("is_json", T.BooleanType()), T.StructField("is_object", T.BooleanType())]
-    + [T.StructField(p.replace(".", "_"), T.StringType()) for p in TEXTS]
-    + [
-        T.StructField("wrong_fields", T.ArrayType(T.StringType())),
-        T.StructField("transformations", T.ArrayType(T.StringType())),
-        T.StructField("excerpts", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())]))),
-        T.StructField("facets", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType()), T.StructField("value", T.StringType())]))),
+    [
+        T.StructField("line", T.IntegerType()),
+        T.StructField("problem", T.StringType()),
+        T.StructField("is_json", T.BooleanType()),
+        T.StructField("is_object", T.BooleanType()),
+        T.StructField("schema", T.StringType()),
+        T.StructField("has_minus_zero", T.BooleanType()),
+        T.StructField("text", T.StringType()),
     ]
 )
 
@@ -92,96 +68,39 @@ def physical_records(body: str, limit: int | None = 2) -> list[tuple[int, str |
     return found
 
 
-def json_type(value: Any) -> str:
-    if isinstance(value, IntegerText):
-        return "integer"
-    if isinstance(value, FloatText):
-        return "float"
-    if isinstance(value, str):
-        return "text"
-    if isinstance(value, bool):
-        return "boolean"
-    return "null" if value is None else "object" if isinstance(value, dict) else "array"
-
-
-def _text(value: Any) -> str | None:
-    return value if json_type(value) == "text" else None
+def read(text: str) -> tuple[bool, bool | None, str | None, bool | None]:
+    """(is_json, is_object, schema, has_minus_zero) of one record.
 
-
-def as_texts(line: int, problem: str | None, text: str | None) -> dict[str, Any]:
-    """One record as a RECORD row."""
-    row: dict[str, Any] = {"line": line, "problem": problem, "is_json": None, "is_object": None, "wrong_fields": []}
-    if text is None:
-        return row
+    ``schema`` is that field where it is text. The integer -0, which other readers take for 0 but the format doesn't
+    know, is told by its spelling.
+    """
     try:
-        value = loads(text, numbers_as_text=True)
+        value = loads(text)
     except ValueError:
-        return row | {"is_json": False}
-    row |= {"is_json": True, "is_object": isinstance(value, dict)}
-    if not isinstance(value, dict):
-        return row
-    wrong = row["wrong_fields"]
-
-    def closed(x: Any, name: str, path: str, optional: frozenset[str] = frozenset()) -> dict:
-        if not isinstance(x, dict):
-            wrong.append(path)
-            return {}
-        wrong.extend(f"{path}.{k}" for k in FIELDS[name] - optional - x.keys())
-        wrong.extend(f"{path}.{k}" for k in x.keys() - FIELDS[name])
-        return x
-
-    closed(value, "", "")
-    for part in ("source", "subject", "harness", "redaction"):
-        if part in value:
-            closed(value[part], part, part, frozenset({"version"}) if part == "harness" else frozenset())
-    for path in TEXTS:
-        head, _, tail = path.partition(".")
-        holder = value.get(head) if tail else value
-        name = tail or head
-        if isinstance(holder, dict) and name in holder:
-            row[path.replace(".", "_")] = _text(holder[name])
-            if json_type(holder[name]) != "text" and not (path == "harness.version" and holder[name] is None):
-                wrong.append(path)
-    for path, x in (("redaction.transformations", value["redaction"].get("transformations") if isinstance(value.get("redaction"), dict) else None), ("excerpts", value.get("excerpts")), ("facets", value.get("facets"))):
-        if not isinstance(x, list):
-            wrong.append(path)
-        elif path == "redaction.transformations":
-            row["transformations"] = [_text(y) for y in x]
-            wrong.extend(path for y in x if json_type(y) != "text")
-        else:
-            items = [closed(y, path, path) for y in x]
-            first, second = ("kind", "text") if path == "excerpts" else ("name", "value")
-            wrong.extend(f"{path}.{first}" for y in items if first in y and json_type(y[first]) != "text")
-            if path == "excerpts":
-                wrong.extend("excerpts.text" for y in items if "text" in y and json_type(y["text"]) != "text")
-                row[path] = [{"kind": _text(y.get("kind")), "text": _text(y.get("text"))} for y in items]
-            else:
-                row[path] = [{"name": _text(y.get("name")), "type": json_type(y.get("value")), "value": _plain(y.get("value"))} for y in items]
-    return row
-
-
-def _plain(value: Any) -> str | None:
-    if isinstance(value, str):
-        return str(value)
-    return ("true" if value else "false") if isinstance(value, bool) else None
+        return False, None, None, None
+    tag = value.get("schema") if isinstance(value, dict) else None
+    return True, isinstance(value, dict), tag if isinstance(tag, str) else None, "-0" in text and _MINUS_ZERO.search(_STRING.sub('""', text)) is not None
 
 
 def read_records(files: DataFrame, key: str = "raw_id", body: str = "body", limit: int | None = 2) -> DataFrame:
-    """(key, records): the first ``limit`` records of each file, or all; two are all that decides its fate.
+    """(key, records): the first ``limit`` records of each file as RECORD, or all; two are all that decides its fate.
 
     A null body is read as an empty file. Files are kept whole in one row, as they come from the inbox;
     this is a narrow step.
     """
-    names = [f.name for f in RECORD.fields]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
+    kinds = (pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.bool_(), pa.string())
 
-        kind = to_arrow_type(T.ArrayType(RECORD))
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[{n: None for n in names} | as_texts(*r) for r in physical_records(b or "", limit)] for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["key", "records"])
+            rows, offsets = [], [0]
+            for text in batch.column(1).to_pylist():
+                for line, problem, record in physical_records(text or "", limit):
+                    rows.append((line, problem, *(read(record) if record is not None else [None] * 4), record))
+                offsets.append(len(rows))
+            columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+            held = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.name for f in RECORD.fields])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), held)], names=["key", "records"])
 
     kind = files.schema[key].dataType
-    out = files.select(F.col(key).alias("key"), F.col(body).alias("body")).mapInArrow(read, T.StructType([T.StructField("key", kind), T.StructField("records", T.ArrayType(RECORD))]))
+    out = files.select(F.col(key).alias("key"), F.col(body).alias("body")).mapInArrow(take, T.StructType([T.StructField("key", kind), T.StructField("records", T.ArrayType(RECORD))]))
     return out.withColumnRenamed("key", key)
