@@ -76,3 +76,8 @@ class Folder:
             return []
         found = [str(s.getPath().getName()) for s in fs.listStatus(path)]
         return sorted(n for n in found if n[0] not in "._")
+
+    def delete(self, name: str) -> None:
+        """Delete the file or folder ``name``, if it is there."""
+        _, fs, path = self._path(name)
+        fs.delete(path, True)

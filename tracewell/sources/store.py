@@ -169,12 +169,14 @@ class Store:
             names = [c.strip().split(" ")[0] for c in TABLES[name][0].split(",")]
             return self.spark.createDataFrame([tuple(values.get(n) for n in names)], TABLES[name][0])
 
-        def again(name: str) -> Callable[[], None]:
-            return lambda: self._new_keys(name, self.read(name).limit(1).unionByName(rows(name, **dict.fromkeys(TABLES[name][1], 0 if name == "quarantine" else "probe"))).transform(lambda d: d.unionByName(d)))
+        def twice(name: str) -> Callable[[], None]:
+            row = rows(name, **dict.fromkeys(TABLES[name][1], "probe"))
+            return lambda: self._new_keys(name, row.unionByName(row))
 
         edge = {"id": "probe", "from_key": "derivation:a", "to_key": "derivation:b", "relation": "supports", "confidence": "weak"}
         facet = {"derivation_id": "probe", "namespace": "n", "name": "x", "slot": "text", "text_value": "v"}
-        tried: dict[str, Callable[[], None]] = {f"repeated {n}": again(n) for n in TABLES if n != "quarantine"}
+        tried: dict[str, Callable[[], None]] = {f"repeated {n}": twice(n) for n in TABLES if n != "quarantine"}
+        tried |= {f"{n} there already": lambda n=n: self._new_keys(n, self.read(n).limit(1)) for n in TABLES if n != "quarantine" and self._paths(n)}
         tried |= {
             "slot": lambda: self._check_facets(rows("derivation_facets", **facet | {"text_value": None, "integer_value": 1})),
             "unknown slot": lambda: self._check_facets(rows("derivation_facets", **facet | {"slot": "blob"})),
@@ -205,14 +207,9 @@ class Store:
         return self.spark.read.schema(ddl).parquet(*paths)
 
     def _paths(self, name: str) -> list[str]:
-        """Folders of the committed batches of a table. All manifests are read by one job, not one by one."""
-        manifests = self.batches()
-        if not manifests:
-            return []
-        files = self.spark.read.option("wholetext", True).text([f"{self.root}/manifests/{b}.json" for b in manifests])
-        held = files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.from_json("value", "array<string>").alias("tables"))
-        with_table = {r.file for r in held.where(F.array_contains("tables", name)).select("file").collect()}  # one row per batch
-        return [f"{self.root}/{name}/batch={b}" for b in manifests if f"{b}.json" in with_table]
+        """Folders of the committed batches of a table: two listings, no file is opened."""
+        there = set(self._folder.names(name))
+        return [f"{self.root}/{name}/batch={b}" for b in self.batches() if f"batch={b}" in there]
 
     # Appending.
 
@@ -226,6 +223,8 @@ class Store:
         held = self.version() or 0
         if any(SINCE[name] > held for name in tables):
             raise StoreError("migration required")
+        for name in TABLES.keys() - tables.keys():  # what a run that died under this id may have left
+            self._folder.delete(f"{name}/batch={batch}")
         for name, df in tables.items():
             ddl, _ = TABLES[name]
             columns = [c.strip().split(" ") for c in ddl.split(",")]
