@@ -74,3 +74,15 @@ def test_token_counts_of_every_kind_of_tokenizer(spark):
         got = {r.doc_id: r.n_tokens for r in tokens.with_tokens(df, path=f"{folder}/{name}").collect()}
         assert got[1] > 5 and got[2] == got[3] == 0
     assert tokens.count_tokens("x y " * 120_000) == tokens.count_tokens("x y " * 50_000) + tokens.count_tokens("x y " * 70_000)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "word ", " ", "  ", "\n", "12", "3x", "don't", "'s ", "é", "漢字", "😀", "...", "_", "\u00a0", "\x1c", "²"]), max_size=40).map("".join))
+def test_texts_are_sized_as_a_whole_however_long(text):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens, "_STRETCH", 10**9)
+        whole = tokens.count_tokens(text)
+        for stretch in (1, 2, 5):
+            patch.setattr(tokens, "_STRETCH", stretch)
+            assert tokens.count_tokens(text) == whole
+            assert "".join(tokens._stretches(text)) == text

@@ -91,3 +91,12 @@ def test_empty_table_and_one_very_long_text(spark):
     found = spans.repeats(docs)
     assert {tuple(r) for r in spans.pairs(found).collect()} == {(1, 2)}
     assert {r.doc_id: r.shared_chars for r in spans.shared_parts(docs, found).collect()} == {1: 150, 2: 150}
+
+
+def test_large_classes_are_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spans, "PAIR_BLOCK", 3)
+    monkeypatch.setitem(spans.lookup.__globals__, "HOT_ROWS", 5)
+    rows = [(0, "a", i, None, None) for i in range(20)] + [(0, "b", i, None, None) for i in (1, 30)] + [(0, "a", 3, None, None), (1, None, 3, 0, 9)]
+    got = sorted(tuple(r) for r in spans.pairs(spark.createDataFrame(rows, spans.FOUND)).collect())
+    assert got == sorted([(i, j) for i in range(20) for j in range(i + 1, 20)] + [(1, 30)])
+    assert spans.pairs(spark.createDataFrame([], spans.FOUND)).count() == 0

@@ -51,6 +51,30 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p7_pack(spark, sf_dir))
 
 
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every document with text is in each pack once and whole, no container is too full, and none is cut that would fit; and that containers are few."""
+    docs, packs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes")
+    sizes = cut(with_tokens(docs.select("doc_id", "text")))
+    packed = cut(packing.pack(sizes, packs))
+    per_doc = packed.groupBy("pack_name", "capacity", "doc_id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("pieces"))
+    good = (F.col("placed") == F.col("n_tokens")) & (F.col("pieces") == F.ceil(F.col("n_tokens") / F.col("capacity")))
+    docs_kept = per_doc.join(sizes, "doc_id").groupBy("pack_name").agg(F.count_if(good).alias("documents"), F.count_if(~good).alias("broken"))
+    filled = packing.fill(packed).select("pack_name", (F.col("fullest") <= F.col("capacity")).alias("within_capacity"), (F.col("containers") <= F.col("fewest") * 1.01 + 1).alias("nearly_fewest"))
+    return docs_kept.join(filled, "pack_name")
+
+
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source is within its repeats and meets its budget up to one record, each record of it taken at most so often."""
+    targets = table(spark, sf_dir, "mix_targets")
+    sizes = cut(with_tokens(table(spark, sf_dir, "documents"), keep=("doc_id", "source")))
+    chosen = cut(mixing.mix(sizes, targets))
+    largest = sizes.groupBy(mixing.source_key(F.col("source")).alias("source")).agg(F.max("n_tokens").alias("largest"))
+    once = chosen.groupBy("source", "doc_id").count().groupBy("source").agg(F.max("count").alias("rows_of_a_record"))
+    told = mixing.shares(chosen, sizes, targets).join(largest, "source", "left").join(once, "source", "left")
+    near = F.abs(F.col("tokens") - F.col("budget")) <= F.coalesce("largest", F.lit(0))
+    return told.select("source", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"), near.alias("within_a_record"), (F.coalesce("rows_of_a_record", F.lit(1)) == 1).alias("each_once"))
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents chosen and their repeats."""
     return mixing.mix_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))
@@ -76,7 +100,7 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_runs, p5_found, p5_sanitised, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p1_runs, p5_found, p5_sanitised, p7_pack, p7_fill, p7_kept, p8_mix, p8_shares, p8_kept, p9_found, p9_shared)}
 
 
 _RUNS = """
@@ -114,6 +138,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _RUNS + "SELECT session_id, first_wire_id, last_wire_id FROM runs WHERE n_events > 1",
         "p1_runs": _RUNS + "SELECT session_id, run_key, first_wire_id, last_wire_id, n_events, duration_seconds FROM runs",
+        "p7_kept": """
+SELECT pack_name, count(*) FILTER (d.text <> '') AS documents, count(*) FILTER (false) AS broken, true AS within_capacity, true AS nearly_fewest FROM pack_sizes, documents d WHERE d.text IS NOT NULL GROUP BY pack_name""",
+        "p8_kept": "SELECT DISTINCT lower(trim(source)) AS source, true AS within_repeats, true AS within_a_record, true AS each_once FROM mix_targets",
         "p9_found": _WINDOWS + """
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b
 FROM (SELECT DISTINCT doc_id, span FROM w JOIN shared USING (span)) a

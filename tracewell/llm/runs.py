@@ -2,9 +2,11 @@
 
 Method: pointer doubling. In a session's order every event points to its predecessor if the two belong
 together, else to itself; pointers are replaced by their pointers' pointers until all reach run starts.
-This is done on two levels. Within a partition of the globally sorted rows the pointers are an array and
-doubling is indexing. What is left are runs that cross a partition's edge: for those, one pointer per
-edge is doubled by self-joins, as many as the logarithm of the partitions that one run spans.
+This is done on three levels. Within an Arrow batch of the globally sorted rows the pointers are an array
+and doubling is indexing. Batches of a task follow each other, so a batch's first run takes over what the
+last run of the batch before had gathered, by one comparison a batch, without doubling. What is left are
+runs that cross a partition's edge: for those, one pointer per edge is doubled by self-joins, as many as
+the logarithm of the partitions that one run spans.
 
 Rows are sorted by range over the whole key (session, time, id), so a session with a third of all rows is
 spread over as many partitions as it fills, and no task holds a session.
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.plans.ordered import range_sorted
-from tracewell.session import cut, stored
+from tracewell.session import cut, finished, stored
 
 MAX_GAP_SECONDS = 30 * 60
 RUNS = "session_id string, run_key string, event_type string, first_wire_id long, last_wire_id long, first_at long, last_at long, n_events long, pid int, head boolean, tail boolean"
@@ -120,16 +122,17 @@ def _joined_at_edges(edges: DataFrame, max_gap: int) -> DataFrame:
     before = lambda c: F.lag(c).over(Window.orderBy("node"))
     linked = F.col("head") & before("tail") & (before("session_id") == F.col("session_id")) & (before("run_key") == F.col("run_key")) & (F.col("first_at") - before("last_at") <= max_gap)
     state = stored(numbered.withColumn("pointer", F.when(F.coalesce(linked, F.lit(False)), F.col("node") - 1).otherwise(F.col("node"))))
-    pointers = state.select("node", "pointer")
+    pointers, moved = state.select("node", "pointer"), None
     while True:
         target = pointers.select(F.col("node").alias("pointer"), F.col("pointer").alias("further"))
-        moved = stored(pointers.join(target, "pointer").select("node", "pointer", "further"))
+        moved = stored(pointers.join(target, "pointer").select("node", "pointer", "further"), instead_of=moved)
         pointers = moved.select("node", F.col("further").alias("pointer"))
         if not moved.where("pointer <> further").limit(1).count():
             break
     runs = state.drop("pointer").join(pointers, "node").groupBy("pointer")
     first, last = F.min(F.struct("node", "session_id", "run_key", "event_type", "first_wire_id", "first_at")), F.max(F.struct("node", "last_wire_id", "last_at"))
-    return runs.agg(first.alias("f"), last.alias("l"), F.sum("n_events").alias("n_events")).select("f.session_id", "f.run_key", "f.event_type", "f.first_wire_id", "l.last_wire_id", "f.first_at", "l.last_at", "n_events")
+    whole = runs.agg(first.alias("f"), last.alias("l"), F.sum("n_events").alias("n_events")).select("f.session_id", "f.run_key", "f.event_type", "f.first_wire_id", "l.last_wire_id", "f.first_at", "l.last_at", "n_events")
+    return finished(whole, state, moved)
 
 
 def collapse_runs(events: DataFrame, max_gap_seconds: int = MAX_GAP_SECONDS) -> DataFrame:

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.plans.lookup import lookup
 from tracewell.session import cut
 
 MIN_LENGTH = 150
@@ -34,6 +35,8 @@ MIN_LENGTH = 150
 MAX_GROUP = 20_000
 #: Prefix hashes that a closure carries at most (8 bytes each); beyond, suffixes meet them in a join.
 MAX_CARRIED = 1_000_000
+#: Members of a class that a task pairs with as many others; larger classes are paired block by block.
+PAIR_BLOCK = 1_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -165,7 +168,8 @@ def _suffixes(docs: DataFrame, prefixes: DataFrame, length: int) -> DataFrame:
             )
 
     # One row per suffix with a wanted prefix, gathered by record, meets the record's text.
-    hits = docs.mapInArrow(positions, "prefix long, doc_id long, pos int").join(prefixes.select("prefix"), "prefix", "left_semi")
+    (all_hits,) = prefixes.agg(F.sum("n").alias("n")).collect()  # one number
+    hits = lookup(docs.mapInArrow(positions, "prefix long, doc_id long, pos int"), prefixes.select("prefix"), "prefix", all_hits.n or 0, "inner")
     by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "pos")).alias("hits"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,8 +327,9 @@ def _from_long_prefixes(suffixes: DataFrame, length: int) -> DataFrame:
     told = shared.where("open or low <> high").select("window", F.concat_ws("-", F.lit("set"), F.col("n"), F.col("s"), F.col("x")).alias("class_id"))
     # Windows with the same set of records are one class; one of them stands for all.
     chosen = told.groupBy("class_id").agg(F.min("window").alias("window"))
-    as_members = members.join(chosen, "window").select(F.lit(0).alias("kind"), "class_id", "doc_id", F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("int").alias("span_end"))
-    as_spans = each.join(shared.select("window"), "window", "left_semi").select(
+    n = each.count()
+    as_members = lookup(members, chosen, "window", n, "inner").select(F.lit(0).alias("kind"), "class_id", "doc_id", F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("int").alias("span_end"))
+    as_spans = lookup(each, shared.select("window"), "window", n, "inner").select(
         F.lit(1).alias("kind"), F.lit(None).cast("string").alias("class_id"), "doc_id", F.col("start").alias("span_start"), (F.col("start") + length).alias("span_end")
     )
     return as_members.unionByName(as_spans.distinct())
@@ -354,10 +359,18 @@ def classes(found: DataFrame) -> DataFrame:
 
 
 def pairs(found: DataFrame) -> DataFrame:
-    """(doc_id_a, doc_id_b), the smaller first, of the records that share a span: as many rows as there are such pairs."""
+    """(doc_id_a, doc_id_b), the smaller first, of the records that share a span: as many rows as there are such pairs.
+
+    A class is cut into blocks of about PAIR_BLOCK members, and each two blocks meet under a key of their own, so
+    no task pairs a large class alone.
+    """
     members = cut(classes(found))
-    a, b = members.withColumnRenamed("doc_id", "doc_id_a"), members.withColumnRenamed("doc_id", "doc_id_b")
-    return a.join(b, "class_id").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
+    sizes = members.groupBy("class_id").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    placed = lookup(members, sizes, "class_id", members.count(), "inner").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a = placed.select("class_id", F.col("own").alias("i"), F.col("other").alias("j"), F.col("doc_id").alias("doc_id_a"))
+    b = placed.select("class_id", F.col("other").alias("i"), F.col("own").alias("j"), F.col("doc_id").alias("doc_id_b"))
+    return a.join(b, ["class_id", "i", "j"]).where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
 
 
 def shared_parts(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +22,18 @@ from pyspark.sql import types as T
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that byte-level BPE vocabularies of this family split texts with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts are counted in stretches of so many characters at most, so one without spaces can't take quadratic time.
+#: Texts are counted in stretches of about so many characters, which end where the pattern splits whatever follows: before a space or line's end, or between a letter and a digit.
 _STRETCH = 200_000
+_SPLIT = regex.compile(r"(?<=[\p{L}\p{N}\p{P}])(?=[ \n])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
+
+
+def _stretches(text: str) -> Iterator[str]:
+    """``text`` in pieces that have the same tokens as the whole; one that can't be split there stays whole."""
+    at = 0
+    while len(text) - at > _STRETCH and (m := _SPLIT.search(text, at + _STRETCH)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 @lru_cache(maxsize=4)
@@ -35,7 +46,7 @@ def _counter(path: str):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         encoding = tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: len(encoding.encode_ordinary(text))
+        return lambda text: sum(len(encoding.encode_ordinary(x)) for x in _stretches(text))
     if kind == ".model":
         import sentencepiece
 
@@ -52,8 +63,7 @@ def count_tokens(text: str | None, path: str = DEFAULT_TOKENIZER) -> int:
     """Tokens of ``text``; 0 for null. Special tokens' spellings count as ordinary text."""
     if not text:
         return 0
-    count = _counter(path)
-    return sum(count(text[i : i + _STRETCH]) for i in range(0, len(text), _STRETCH))
+    return _counter(path)(text)
 
 
 def with_tokens(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), path: str = DEFAULT_TOKENIZER) -> DataFrame:
