@@ -15,6 +15,7 @@ from tracewell.functions.strict_json import compact, observation
 from tracewell.functions.text import escape_debug, is_strict_json
 from tracewell.operators import quarantine
 from tracewell.operators.shred import once
+from tracewell.plans.lookup import lookup
 from tracewell.plans.ordered import numbered
 from tracewell.session import cut
 
@@ -82,20 +83,23 @@ def outcomes(events: DataFrame, receipts: DataFrame | None = None, order: Sequen
 
     ``events`` has harness, session_id, source_event_id and event_digest. The first of an identity, in
     ``order``, is recorded unless the ledger has it; others are compared with what is recorded, not with
-    the one before. Each identity's first is found by a combining aggregate, so no identity with many
-    deliveries is sorted in one task. ``events`` is used twice and therefore written once; keep it narrow.
+    the one before. Each identity's first is found by a combining aggregate, and an identity with many
+    deliveries meets its first by broadcast (see ``plans.lookup``), so its deliveries are never gathered in one
+    task. ``events`` is used several times and therefore written once; keep it narrow.
     """
-    events = cut(events)
+    who = F.struct(*IDENTITY)
+    events = cut(events.withColumn("identity key", who))
+    n = events.count()
     key = F.struct(*order)
-    first = events.groupBy(*IDENTITY).agg(F.min_by("event_digest", key).alias("first_digest"), F.min(key).alias("first_key"))
-    joined = events.join(first, list(IDENTITY))
+    first = events.groupBy("identity key").agg(F.min_by("event_digest", key).alias("first_digest"), F.min(key).alias("first_key"))
+    joined = lookup(events, first, "identity key", n)
     if receipts is not None:
-        joined = joined.join(receipts.select(*IDENTITY, F.col("event_digest").alias("stored_digest")), list(IDENTITY), "left")
+        joined = lookup(joined, receipts.select(who.alias("identity key"), F.col("event_digest").alias("stored_digest")), "identity key", n)
     else:
         joined = joined.withColumn("stored_digest", F.lit(None).cast("string"))
     base = F.coalesce("stored_digest", "first_digest")
     outcome = F.when(F.col("stored_digest").isNull() & (key == F.col("first_key")), "recorded").when(F.col("event_digest") == base, "duplicate").otherwise("identity-conflict")
-    return joined.withColumn("outcome", outcome).drop("first_digest", "first_key", "stored_digest")
+    return joined.withColumn("outcome", outcome).drop("identity key", "first_digest", "first_key", "stored_digest")
 
 
 def ingest_summary(outcome_rows: DataFrame) -> DataFrame:
@@ -120,18 +124,29 @@ def harness_observations(events: DataFrame, observed_at: Column, collector: str)
     """
     at = F.col("occurred_at").cast("timestamp")
     ident = make_ulid(observed_at, *[F.col(c) for c in ("harness_name", "session_id", "source_event_id")])
+    rows = events.withColumns({"observed": observed_at, "id": ident})
+    keep = ["harness_name", "session_id", "source_event_id", "event_digest"]
+    return observed(rows, F.lit(HARNESS_KIND), at, F.col("source"), F.col("subject"), persisted_payload(), collector, F.array(F.lit(HARNESS_TRANSFORMATION)), keep)
+
+
+def observed(rows: DataFrame, kind: Column, occurred_at: Column, source: Column, subject: Column, payload: Column, collector: str, transformations: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Observations of any kind as ledger rows (id, observed_at, document, keep...), sealed with their digest.
+
+    ``rows`` has ``id`` and the instant ``observed``. ``source`` is struct<kind,locator>, ``subject``
+    struct<kind,identifier>, ``payload`` anything that JSON can say. An observation must not be seen before it
+    occurred by more than the clocks differ; that is for the caller to judge, as late and early ones are kept.
+    """
     envelope = [
         F.col("id"),
-        instant_text(at).alias("occurred_at"),
+        instant_text(occurred_at).alias("occurred_at"),
         instant_text(F.col("observed")).alias("observed_at"),
-        F.col("source"),
-        F.lit(HARNESS_KIND).alias("kind"),
-        F.col("subject"),
-        persisted_payload().alias("payload"),
-        F.struct(F.lit(collector).alias("collector"), F.array(F.lit(HARNESS_TRANSFORMATION)).alias("transformations")).alias("provenance"),
+        source.alias("source"),
+        kind.alias("kind"),
+        subject.alias("subject"),
+        payload.alias("payload"),
+        F.struct(F.lit(collector).alias("collector"), (F.array().cast("array<string>") if transformations is None else transformations).alias("transformations")).alias("provenance"),
     ]
-    rows = events.withColumns({"observed": observed_at, "id": ident})
-    return sealed(rows, envelope, keep=["harness_name", "session_id", "source_event_id", "event_digest"])
+    return sealed(rows, envelope, list(keep))
 
 
 def sealed(rows: DataFrame, envelope: list[Column], keep: list[str]) -> DataFrame:

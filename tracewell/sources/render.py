@@ -8,10 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions.digest import instant_text
 from tracewell.functions.fixed import DEFAULT_LIST_LIMIT, NOTE_KIND
 from tracewell.functions.ids import make_ulid
-from tracewell.operators.ledger import differences, list_view, newest, sealed
+from tracewell.operators.ledger import differences, list_view, newest, observed
 
 HEADER = "ID\tOCCURRED AT\tKIND\tSUMMARY"
 
@@ -46,18 +45,8 @@ def note(spark: SparkSession, summary: str, repository: str, at: str, collector:
         raise ValueError("the summary must not be blank")
     row = spark.createDataFrame([(text, repository, at)], "summary string, repository string, at string").withColumn("observed", F.col("at").cast("timestamp"))
     row = row.withColumn("id", make_ulid(F.col("observed"), F.col("summary"), F.col("repository")))
-    when = instant_text(F.col("observed"))
-    envelope = [
-        F.col("id"),
-        when.alias("occurred_at"),
-        when.alias("observed_at"),
-        F.struct(F.lit("manual").alias("kind"), F.lit("note").alias("locator")).alias("source"),
-        F.lit(NOTE_KIND).alias("kind"),
-        F.struct(F.lit("repository").alias("kind"), F.col("repository").alias("identifier")).alias("subject"),
-        F.struct("summary").alias("payload"),
-        F.struct(F.lit(collector).alias("collector"), F.array().cast("array<string>").alias("transformations")).alias("provenance"),
-    ]
-    return sealed(row, envelope, keep=[])
+    source, subject = F.struct(F.lit("manual").alias("kind"), F.lit("note").alias("locator")), F.struct(F.lit("repository").alias("kind"), F.col("repository").alias("identifier"))
+    return observed(row, F.lit(NOTE_KIND), F.col("observed"), source, subject, F.struct("summary"), collector)
 
 
 def repository_root(start: str | Path) -> Path | None:
