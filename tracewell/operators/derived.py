@@ -188,7 +188,7 @@ def clusters(derivations: DataFrame) -> DataFrame:
     and an integer 1 differ by their slot, and no character of a value can be taken for a separator.
     """
     facets = project_facets(derivations)
-    value = F.coalesce("text_value", F.col("integer_value").cast("string"), F.col("boolean_value").cast("string"), F.lit(""))
+    value = F.coalesce("text_value", F.col("integer_value").cast("string"), F.col("boolean_value").cast("boolean").cast("string"), F.lit(""))
     one = F.struct(F.coalesce("namespace", F.lit("")).alias("namespace"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("slot", F.lit("")).alias("slot"), value.alias("value"))
     per = facets.groupBy("derivation_id").agg(F.to_json(F.array_sort(F.collect_set(one))).alias("signature"))
     return per.groupBy("signature").agg(F.count("*").alias("n"), F.min("derivation_id").alias("first_id"))

@@ -165,12 +165,12 @@ class Store:
     def probes(self) -> list[str]:
         """The guards that let pass what they must refuse: each is tried on rows that nothing is written of."""
 
-        def rows(name: str, **values: object) -> DataFrame:
-            names = [c.strip().split(" ")[0] for c in TABLES[name][0].split(",")]
-            return self.spark.createDataFrame([tuple(values.get(n) for n in names)], TABLES[name][0])
+        def rows(table: str, values: Mapping[str, object]) -> DataFrame:
+            names = [c.strip().split(" ")[0] for c in TABLES[table][0].split(",")]
+            return self.spark.createDataFrame([tuple(values.get(n) for n in names)], TABLES[table][0])
 
         def twice(name: str) -> Callable[[], None]:
-            row = rows(name, **dict.fromkeys(TABLES[name][1], "probe"))
+            row = rows(name, dict.fromkeys(TABLES[name][1], "probe"))
             return lambda: self._new_keys(name, row.unionByName(row))
 
         edge = {"id": "probe", "from_key": "derivation:a", "to_key": "derivation:b", "relation": "supports", "confidence": "weak"}
@@ -178,10 +178,10 @@ class Store:
         tried: dict[str, Callable[[], None]] = {f"repeated {n}": twice(n) for n in TABLES if n != "quarantine"}
         tried |= {f"{n} there already": lambda n=n: self._new_keys(n, self.read(n).limit(1)) for n in TABLES if n != "quarantine" and self._paths(n)}
         tried |= {
-            "slot": lambda: self._check_facets(rows("derivation_facets", **facet | {"text_value": None, "integer_value": 1})),
-            "unknown slot": lambda: self._check_facets(rows("derivation_facets", **facet | {"slot": "blob"})),
-            "self edge": lambda: self._check_edges(rows("relationships", **edge | {"to_key": "derivation:a"})),
-            "unknown relation": lambda: self._check_edges(rows("relationships", **edge | {"relation": "likes"})),
+            "slot": lambda: self._check_facets(rows("derivation_facets", facet | {"text_value": None, "integer_value": 1})),
+            "unknown slot": lambda: self._check_facets(rows("derivation_facets", facet | {"slot": "blob"})),
+            "self edge": lambda: self._check_edges(rows("relationships", edge | {"to_key": "derivation:a"})),
+            "unknown relation": lambda: self._check_edges(rows("relationships", edge | {"relation": "likes"})),
             "receipt without observation": lambda: self._check_harness(self._harness_rows()),
         }
         passed = []
