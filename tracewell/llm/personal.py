@@ -300,6 +300,14 @@ def excerpt_texts(wire_events: DataFrame) -> DataFrame:
     return each.select("record_key", F.concat(F.lit("excerpts["), F.col("i").cast("string"), F.lit("].text")).alias("field_path"), F.col("excerpt.text").alias("text")).where("text is not null")
 
 
+def _path(place: tuple) -> str:
+    parts = []
+    while place[1] is not None:
+        last, place = place
+        parts.append(f"[{last}]" if isinstance(last, int) else f".{last}")
+    return place[0] + "".join(reversed(parts))
+
+
 def document_texts(observations: DataFrame, holding: bool = False) -> DataFrame:
     """(record_key, field_path, text) of every string that isn't empty in the payloads of readable documents, under whatever key.
 
@@ -312,16 +320,16 @@ def document_texts(observations: DataFrame, holding: bool = False) -> DataFrame:
             rows: list[tuple[str, str, str]] = []
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 value = observation(text)
-                todo = [(value.get("payload"), "payload")] if isinstance(value, dict) else []
+                todo = [(value.get("payload"), ("payload", None))] if isinstance(value, dict) else []
                 while todo:
-                    x, path = todo.pop()
+                    x, place = todo.pop()  # a place is its last part and the place above
                     if isinstance(x, str):
                         if x and (not holding or may_hold(x)):
-                            rows.append((ident, path, x))
+                            rows.append((ident, _path(place), x))
                     elif isinstance(x, dict):
-                        todo += [(y, f"{path}.{k}") for k, y in x.items()]
+                        todo += [(y, (k, place)) for k, y in x.items()]
                     elif isinstance(x, list):
-                        todo += [(y, f"{path}[{i}]") for i, y in enumerate(x)]
+                        todo += [(y, (i, place)) for i, y in enumerate(x)]
             columns = zip(*rows) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["record_key", "field_path", "text"])
 

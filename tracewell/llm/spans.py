@@ -10,9 +10,11 @@ about one in 38 for L = 150. A repeat of L characters then shows as a node of de
 also agree on the L - d characters before them, which each suffix carries along; the test is exact.
 
 Scale: the first pass shuffles 16 bytes per kept suffix, to find the prefixes that more than one record
-has; only their suffixes come back with text. A prefix with more suffixes than a task should hold is made
-longer: to L characters, from each of the starts that could matter, so the group falls apart into groups
-that each are one repeat, and no task holds it whole. Records of a repeat are listed as members of a
+has; only their suffixes come back with text. Prefixes vary in length: one with more suffixes than a task
+should hold is made longer by half of what it lacks to L characters. A repeat holds that half either after
+the prefix or before it, so each suffix goes on under both longer prefixes, and the group falls apart, level
+by level, until its parts fit a task and become subtrees. What is still too large at L characters is one
+repeat as it stands: its members are counted, not gathered. Records of a repeat are listed as members of a
 class; pairs are made from classes only where the caller asks for pairs.
 """
 
@@ -297,23 +299,62 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["kind", "class_id", "doc_id", "span_start", "span_end"])
 
 
-def _from_long_prefixes(suffixes: DataFrame, length: int) -> DataFrame:
-    """FOUND rows of groups too large for a task, by prefixes of ``length`` characters from each start up to the anchor.
+_LEVEL = "prefix long, doc_id long, pos int, before string, after string, a int, b int"
 
-    Such a prefix is a whole repeat; suffixes that share it are counted, not gathered. A class whose
-    members all have the same character before is told by the class one character earlier, and left out.
+
+def _longer(suffixes: DataFrame, length: int, half: int) -> DataFrame:
+    """_LEVEL rows under prefixes that have ``half`` more characters: after them, or before them; ``a`` and ``b`` tell how many there are of each."""
+    prefix = length // 2
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, pos, before, after, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pos", "before", "after", "a", "b"))):
+                for more_a, more_b in ((a + half, b), (a, b + half)):
+                    if prefix + more_a <= len(after) and more_b <= len(before):
+                        text = f"{more_b} {before[len(before) - more_b :]}{after[: prefix + more_a]}"
+                        out.append((xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63, doc, pos, before, after, more_a, more_b))
+            columns = zip(*out) if out else [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=[x.split(" ")[0] for x in _LEVEL.split(", ")])
+
+    return suffixes.mapInArrow(extend, _LEVEL)
+
+
+def _from_longer_prefixes(suffixes: DataFrame, length: int, max_group: int) -> DataFrame:
+    """FOUND rows of groups too large for a task: their parts under longer prefixes, as subtrees where they fit, as whole repeats in the end."""
+    held, found, lacking = suffixes.withColumns({"a": F.lit(0), "b": F.lit(0)}), [], length - length // 2
+    while lacking:
+        half = (lacking + 1) // 2
+        lacking -= half
+        parts = cut(_longer(held, length, half))
+        counts = parts.groupBy("prefix").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
+        marked = cut(lookup(parts, counts.select("prefix", "n"), "prefix", parts.count(), "inner"))
+        found.append(_from_subtrees(marked.where(F.col("n") <= max_group).select("prefix", "doc_id", "pos", "before", "after"), length))
+        held = marked.where(F.col("n") > max_group)
+        if held.isEmpty():
+            break
+    else:
+        found.append(_whole_repeats(held, length))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _whole_repeats(suffixes: DataFrame, length: int) -> DataFrame:
+    """FOUND rows of _LEVEL rows whose prefixes have ``length`` characters: suffixes that share one are counted, not gathered.
+
+    A class whose members all have the same character before is told by the class one character earlier, and left out.
     """
     room = length - length // 2
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for _, doc, pos, before, after in zip(*(c.to_pylist() for c in batch.columns)):
-                whole = before + after
-                for back in range(min(len(before), room), -1, -1):
-                    at = len(before) - back
-                    if at + length <= len(whole):
-                        out.append((xxhash.xxh3_128_hexdigest(whole[at : at + length].encode("utf-8", "surrogatepass")), doc, pos - back, whole[at - 1] if at and back < room else None))
+            for doc, pos, before, after, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pos", "before", "after", "b"))):
+                at, whole = len(before) - b, before + after
+                out.append((xxhash.xxh3_128_hexdigest(whole[at : at + length].encode("utf-8", "surrogatepass")), doc, pos - b, whole[at - 1] if at and b < room else None))
             columns = zip(*out) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.string()))], names=["window", "doc_id", "start", "char"])
 
@@ -347,10 +388,10 @@ def repeats(docs: DataFrame, length: int = MIN_LENGTH, max_group: int = MAX_GROU
     suffixes = _suffixes(docs, prefixes, length)
     if not hot.limit(1).count():
         return _from_subtrees(suffixes, length)
-    suffixes = cut(suffixes)
-    small = suffixes.join(hot.select("prefix"), "prefix", "left_anti")
-    large = suffixes.join(hot.select("prefix"), "prefix", "left_semi")
-    return _from_subtrees(small, length).unionByName(_from_long_prefixes(large, length))
+    (total,) = prefixes.agg(F.sum("n").alias("n")).collect()  # one number
+    marked = cut(lookup(suffixes, prefixes, "prefix", total.n or 0, "inner"))
+    small, large = (marked.where(test).drop("n") for test in (F.col("n") <= max_group, F.col("n") > max_group))
+    return _from_subtrees(small, length).unionByName(_from_longer_prefixes(large, length, max_group))
 
 
 def classes(found: DataFrame) -> DataFrame:
