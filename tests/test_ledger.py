@@ -87,6 +87,12 @@ def test_export_is_a_pure_projection(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("a", 1), (None, 2)], "x string, n long")
     render.export(df, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 3
+    store = Store(spark, str(tmp_path / "store")).initialize()
+    store.append_observations("a", render.note(spark, "one", "/w", AT))
+    assert render.export_new(store, "observations", str(tmp_path / "log")) == ["a"]
+    store.append_observations("b", render.note(spark, "two", "/w", AT))
+    assert render.export_new(store, "observations", str(tmp_path / "log")) == ["b"] and render.export_new(store, "observations", str(tmp_path / "log")) == []
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
 
 
 def test_window_is_closed_and_inverted_ones_refused(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators.derived import edges
-from tracewell.operators.hierarchy import cycle_nodes, parent_links
+from tracewell.operators.hierarchy import cycle_nodes, normal_key, parent_links
 from tracewell.session import finished, stored
 
 
@@ -47,8 +47,15 @@ def explain(relationships: DataFrame, starts: DataFrame, hops: int = 2) -> DataF
 
 
 def closes_cycle(derivations: DataFrame, new: DataFrame, prefix: str = "derivation:") -> DataFrame:
-    """(id) of the records of ``new`` (id, supersedes) that would lie on a cycle of supersession if appended."""
-    both = derivations.select("id", "supersedes").unionByName(new.select("id", "supersedes"))
+    """(id) of the records of ``new`` (id, supersedes) that would lie on a cycle of supersession if appended.
+
+    A cycle has a new record on it, and gets back to it from an old one only if that named it before it was there.
+    So unless an old record names a new id, which one semi-join tells, only the new records are looked at.
+    """
+    both = new.select("id", "supersedes")
+    names = new.select(normal_key(F.col("id")).alias("key"))
+    if not derivations.select(normal_key(F.col("supersedes"), prefix).alias("key")).join(names, "key", "left_semi").isEmpty():
+        both = both.unionByName(derivations.select("id", "supersedes"))
     links = parent_links(both, prefix=prefix)
     loops = cycle_nodes(links)
     on = links.join(loops, "node", "left_semi").select("id")

@@ -16,8 +16,8 @@ def lookup(asking: DataFrame, held: DataFrame, key: str, n: int, how: str = "lef
     that hot keys ask for, a thousand at most, are broadcast; the other keys are shuffled.
     """
     bare = asking.where(F.col(key).isNotNull())
-    if n > HOT_ROWS:
-        hot = bare.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, n // 1000)).select(key).collect()  # a thousand at most
+    hot = bare.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, n // 1000)).select(key).collect() if n > HOT_ROWS else []  # a thousand at most
+    if hot:
         keys = F.broadcast(asking.sparkSession.createDataFrame(hot, asking.select(key).schema))
         few = F.broadcast(held.join(keys, key, "left_semi"))
         out = bare.join(keys, key, "left_anti").join(held, key, how).unionByName(bare.join(keys, key, "left_semi").join(few, key, how))

@@ -109,7 +109,7 @@ WITH once AS (
 """
 
 #: Lines of inbox files with the blank bytes before them; up to two records or problems of each file, and each one's reason.
-_JUDGED = f"""
+JUDGED = f"""
 WITH line AS (
   SELECT raw_id, u.i, u.t, u.i < n AS ended FROM (
     SELECT raw_id, string_split(body, chr(10)) AS parts, len(string_split(body, chr(10))) AS n FROM inbox_files WHERE body IS NOT NULL AND body <> ''
@@ -188,9 +188,9 @@ _LATE = READABLE + """
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": _JUDGED + "SELECT raw_id, reason FROM filed WHERE reason IS NOT NULL",
-        "p2_reasons": _JUDGED + "SELECT reason, count(*) AS files FROM filed WHERE reason IS NOT NULL GROUP BY reason",
-        "p2_loaded": _JUDGED + """
+        "p2_found": JUDGED + "SELECT raw_id, reason FROM filed WHERE reason IS NOT NULL",
+        "p2_reasons": JUDGED + "SELECT reason, count(*) AS files FROM filed WHERE reason IS NOT NULL GROUP BY reason",
+        "p2_loaded": JUDGED + """
 SELECT raw_id, d->>'$.source_event_id' AS source_event_id, strftime((d->>'$.occurred_at')::TIMESTAMPTZ AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f') AS occurred_at, d->>'$.harness.name' AS harness, d->>'$.session_id' AS session_id,
        d->>'$.event_type' AS event_type, json_array_length(d, '$.excerpts')::INTEGER AS n_excerpts, json_array_length(d, '$.facets')::INTEGER AS n_facets FROM filed WHERE reason IS NULL""",
         "p3_found": READABLE + """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from tracewell.functions.redaction import guard_reason, strictest_redaction
 from tracewell.functions.text import escape_debug, is_blank, is_digest, normalize_text, path_area, path_depth, rfc3339, snake_case
 from tracewell.operators import audit, derived, graph, hierarchy, late, ledger, quarantine
 from tracewell.operators.shred import once
-from tracewell.queries.data import READABLE
+from tracewell.queries.data import JUDGED, READABLE
 from tracewell.session import cut, table
 from tracewell.sources import inbox
 
@@ -358,11 +359,6 @@ def audit_drifted_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.receipt_rows(drifted, audit.checked_documents(table(spark, sf_dir, "observations")))
 
 
-@query()
-def audit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.full(*[table(spark, sf_dir, t) for t in ("observations", "receipts", "derivations", "derivation_facets", "relationships")]).groupBy("check", "detail").agg(F.count("*").alias("n"))
-
-
 # What the given tables hold no case of, with one planted in every row by the same rule on both sides.
 
 
@@ -465,7 +461,16 @@ def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("method", "confidence", rules.gate(F.col("method"), F.col("confidence")).alias("passes")).agg(F.count("*").alias("n"))
 
 
-@query()
+_DERIVATION_AUDIT = (
+    f"""SELECT 'derivation' AS "check", id AS key, rule AS detail FROM ({_SQL["derivation_refusals"]}) UNION ("""
+    + _DERIVED
+    + """ SELECT 'derivation', id, unnest(list_filter([CASE WHEN doc->>'$.id' IS DISTINCT FROM id THEN 'id' END, CASE WHEN doc->>'$.kind' IS DISTINCT FROM kind THEN 'kind' END,
+  CASE WHEN recorded_at::TIMESTAMPTZ IS DISTINCT FROM (doc->>'$.recorded_at')::TIMESTAMPTZ THEN 'recorded_at' END,
+  CASE WHEN nullif(regexp_replace(upper(trim(doc->>'$.supersedes', chr(9) || chr(10) || ' ')), '^DERIVATION:', ''), '') IS DISTINCT FROM nullif(regexp_replace(upper(trim(supersedes, chr(9) || chr(10) || ' ')), '^DERIVATION:', ''), '') THEN 'supersedes' END], lambda x: x IS NOT NULL)) FROM d)"""
+)
+
+
+@query(_DERIVATION_AUDIT)
 def audit_derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.derivation_rows(table(spark, sf_dir, "derivations"))
 
@@ -497,6 +502,28 @@ def audit_turned_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.relationship_rows(turned).select("key", "detail")
 
 
+_REPEATED = " UNION ALL ".join(
+    f"""SELECT 'repeated-{name}' AS "check", {key} AS key, count(*)::VARCHAR AS detail FROM {name}s GROUP BY {key} HAVING count(*) > 1"""
+    for name, key in (("observation", "id"), ("receipt", "harness || '|' || session_id || '|' || source_event_id"), ("derivation", "id"), ("relationship", "id"))
+)
+_ALL = f"""
+SELECT "check", detail, count(*) AS n FROM (
+  SELECT "check", key, detail FROM ({_SQL["audit_observations"]}) UNION ALL SELECT "check", key, detail FROM ({_SQL["audit_receipts"]})
+  UNION ALL SELECT 'no-receipt', id, payload->>'$.source_event_id' FROM ({READABLE} SELECT * FROM doc) WHERE d->>'$.kind' = 'agent-harness-event' AND id NOT IN (SELECT observation_id FROM receipts)
+  UNION ALL {_REPEATED}
+  UNION ALL SELECT "check", key, detail FROM ({_DERIVATION_AUDIT}) UNION ALL SELECT 'facet', key, detail FROM ({_SQL["facet_drift"]})
+  UNION ALL SELECT 'slot', derivation_id, slot FROM derivation_facets WHERE (slot = 'text') <> (text_value IS NOT NULL) OR (slot = 'integer') <> (integer_value IS NOT NULL) OR (slot = 'boolean') <> (boolean_value IS NOT NULL)
+  UNION ALL SELECT 'orphan-facet', derivation_id, count(*)::VARCHAR FROM derivation_facets WHERE derivation_id NOT IN (SELECT id FROM derivations) GROUP BY derivation_id
+  UNION ALL SELECT 'relationship', key, detail FROM ({_SQL["audit_relationships"]})
+  UNION ALL SELECT 'vocabulary-relationship', '', relation FROM relationships WHERE relation NOT IN ('supports', 'refutes', 'caused-by', 'enabled', 'prevented', 'supersedes', 'derives-from', 'co-occurs-with', 'no-effect')
+) GROUP BY "check", detail"""
+
+
+@query(_ALL)
+def audit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.full(*[table(spark, sf_dir, t) for t in ("observations", "receipts", "derivations", "derivation_facets", "relationships")]).groupBy("check", "detail").agg(F.count("*").alias("n"))
+
+
 @query("SELECT count(*) AS n, 0::BIGINT AS different FROM events")
 def snapshot_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
@@ -837,7 +864,37 @@ def subject_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.groupBy(path_depth(F.col("text_value")).alias("depth"), path_area(F.col("text_value")).alias("area")).agg(F.count("*").alias("n"))
 
 
-@query()
+_TRANSFORM = lambda path, **kinds: f"""json_transform(d->'$.{path}', '{json.dumps(kinds)}')"""
+#: Valid events of the inbox with the columns of wire_events, their digests, and the first of each identity.
+_ARRIVED = (
+    JUDGED
+    + f"""
+, good AS (
+  SELECT raw_id, file_name, (d->>'$.occurred_at')::TIMESTAMPTZ AT TIME ZONE 'UTC' AS occurred_at, d->>'$.source_event_id' AS source_event_id, d->>'$.session_id' AS session_id, d->>'$.event_type' AS event_type,
+    {_TRANSFORM("source", kind="VARCHAR", locator="VARCHAR")} AS source, {_TRANSFORM("subject", kind="VARCHAR", identifier="VARCHAR")} AS subject, {_TRANSFORM("harness", name="VARCHAR", version="VARCHAR")} AS harness,
+    {{'policy': d->>'$.redaction.policy', 'version': d->>'$.redaction.version', 'transformations': list_transform(json_extract(d, '$.redaction.transformations[*]'), lambda e: e->>'$')}} AS redaction,
+    list_transform(json_extract(d, '$.excerpts[*]'), lambda e: {{'kind': e->>'$.kind', 'text': e->>'$.text'}}) AS excerpts,
+    list_transform(json_extract(d, '$.facets[*]'), lambda f: {{'name': f->>'$.name', 'text_value': CASE WHEN json_type(f, '$.value') = 'VARCHAR' THEN f->>'$.value' END,
+      'integer_value': CASE WHEN json_type(f, '$.value') IN ('BIGINT', 'UBIGINT') THEN try_cast(f->>'$.value' AS BIGINT) END, 'boolean_value': CASE WHEN json_type(f, '$.value') = 'BOOLEAN' THEN f->>'$.value' = 'true' END}}) AS facets
+  FROM filed JOIN inbox_files USING (raw_id) WHERE reason IS NULL
+), e AS (
+  SELECT raw_id, file_name, harness.name AS h, session_id, source_event_id, sha256({_ENVELOPE}) AS event_digest FROM good
+), o AS (
+  SELECT e.*, first_value(event_digest) OVER w AS base, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY h, session_id, source_event_id ORDER BY file_name, raw_id)
+)
+"""
+)
+
+
+@query(
+    _ARRIVED
+    + """, f AS (
+  SELECT CASE WHEN r.event_digest IS NULL AND n = 1 THEN 'recorded' WHEN o.event_digest = coalesce(r.event_digest, base) THEN 'duplicate' ELSE 'identity-conflict' END AS outcome
+  FROM o LEFT JOIN receipts r ON r.harness = o.h AND r.session_id = o.session_id AND r.source_event_id = o.source_event_id
+)
+SELECT outcome, CASE WHEN outcome = 'identity-conflict' THEN outcome END AS reason, count(*) AS n FROM f GROUP BY 1, 2
+UNION ALL SELECT NULL, reason, count(*) FROM filed WHERE reason IS NOT NULL GROUP BY reason"""
+)
 def inbox_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What ingesting the inbox files would do against the receipts: one row per file."""
     from tracewell.streaming.ingest import classify_batch
@@ -962,7 +1019,11 @@ def previous_of_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.when(same, F.col("prev_event_id")).alias("previous"))
 
 
-@query()
+@query(
+    _ARRIVED
+    + """SELECT 'a' AS batch, count(*) FILTER (n = 1) AS recorded, count(*) FILTER (n > 1 AND event_digest = base) AS duplicate, count(*) FILTER (event_digest <> base) + (SELECT count(*) FROM filed WHERE reason IS NOT NULL) AS quarantined FROM o
+UNION ALL SELECT 'b', 0, count(*) FILTER (event_digest = base), count(*) FILTER (event_digest <> base) + (SELECT count(*) FROM filed WHERE reason IS NOT NULL) FROM o"""
+)
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inbox files ingested as two batches into a fresh store, the second a repetition: rows per table afterwards.
 

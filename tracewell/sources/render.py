@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from pathlib import Path
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from tracewell.functions.fixed import DEFAULT_LIST_LIMIT, NOTE_KIND
 from tracewell.functions.ids import make_ulid
 from tracewell.operators.ledger import differences, list_view, newest, observed
+from tracewell.sources.files import Folder
+
+if TYPE_CHECKING:
+    from tracewell.sources.store import Store
 
 HEADER = "ID\tOCCURRED AT\tKIND\tSUMMARY"
 
@@ -55,6 +60,15 @@ def repository_root(start: str | Path) -> Path | None:
     return next((p for p in (here, *here.parents) if (p / ".git").exists()), None)
 
 
+def export_new(store: Store, name: str, path: str) -> list[str]:
+    """Export the batches of a table that ``path`` doesn't have yet, each to a folder of its own; their ids. What is there stays as it is."""
+    there = set(Folder(store.spark, path).names())
+    new = [p for p in store.batch_folders(name) if p.rsplit("/", 1)[1] not in there]
+    for folder in new:
+        export(store.spark.read.parquet(folder), f"{path}/{folder.rsplit('/', 1)[1]}")
+    return [p.rsplit("=", 1)[1] for p in new]
+
+
 def export(df: DataFrame, path: str) -> None:
     """Rows as JSON lines; the ledger must read the same before and after, or it is an error."""
     df.write.mode("errorifexists").json(path)

@@ -153,7 +153,7 @@ class Store:
             if name in TABLES:
                 if self._folder.get(f"schemas/{name}.ddl") != TABLES[name][0]:
                     out.append(f"columns of {name}")
-                paths = self._paths(name)
+                paths = self.batch_folders(name)
                 out += [f"{name}: {fault}" for fault in (audit.schema_drift(self.spark.read.parquet(*paths), TABLES[name][0]) if paths else [])]
         return out
 
@@ -176,7 +176,7 @@ class Store:
         edge = {"id": "probe", "from_key": "derivation:a", "to_key": "derivation:b", "relation": "supports", "confidence": "weak"}
         facet = {"derivation_id": "probe", "namespace": "n", "name": "x", "slot": "text", "text_value": "v"}
         tried: dict[str, Callable[[], None]] = {f"repeated {n}": twice(n) for n in TABLES if n != "quarantine"}
-        tried |= {f"{n} there already": lambda n=n: self._new_keys(n, self.read(n).limit(1)) for n in TABLES if n != "quarantine" and self._paths(n)}
+        tried |= {f"{n} there already": lambda n=n: self._new_keys(n, self.read(n).limit(1)) for n in TABLES if n != "quarantine" and self.batch_folders(n)}
         tried |= {
             "slot": lambda: self._check_facets(rows("derivation_facets", facet | {"text_value": None, "integer_value": 1})),
             "unknown slot": lambda: self._check_facets(rows("derivation_facets", facet | {"slot": "blob"})),
@@ -201,12 +201,12 @@ class Store:
     def read(self, name: str) -> DataFrame:
         """All committed rows of a table."""
         ddl, _ = TABLES[name]
-        paths = self._paths(name)
+        paths = self.batch_folders(name)
         if not paths:
             return self.spark.createDataFrame([], ddl)
         return self.spark.read.schema(ddl).parquet(*paths)
 
-    def _paths(self, name: str) -> list[str]:
+    def batch_folders(self, name: str) -> list[str]:
         """Folders of the committed batches of a table: two listings, no file is opened."""
         there = set(self._folder.names(name))
         return [f"{self.root}/{name}/batch={b}" for b in self.batches() if f"batch={b}" in there]
