@@ -186,8 +186,46 @@ _LATE = READABLE + """
 """
 
 
+#: All nodes of readable documents with their path and value.
+_NODES = READABLE + """
+, whole AS (
+  SELECT id, unnest([d, payload]) AS v, unnest(['', 'payload']) AS prefix, json_type(d, '$.payload') = 'VARCHAR' AS apart FROM doc
+), node AS (
+  SELECT w.id, w.prefix || CASE WHEN w.prefix <> '' AND t.fullkey <> '$' THEN '.' ELSE '' END || regexp_replace(t.fullkey, '^\\$\\.?', '') AS node_path, t.type, t.value AS v
+  FROM whole w, json_tree(w.v) t WHERE w.prefix = '' OR w.apart
+)
+"""
+
+
+def _flat(element: str, **columns: str) -> str:
+    """The table of an element that occurs in arrays only, with ``columns`` and their types, or its own value."""
+    shown = ", ".join(f"CAST(v->>'$.{c}' AS {kind}) AS {c}" for c, kind in columns.items()) or "v->>'$' AS value"
+    return _NODES + f"""
+SELECT id AS observation_id, node_path, CASE WHEN up = '' THEN '$' ELSE regexp_extract(up, '([^.\\[]+)\\[\\d+\\]$', 1) END AS parent_element, up AS parent_node, position, {shown}
+FROM (SELECT id, node_path, v, regexp_extract(node_path, '^(.*\\])\\.', 1) AS up, regexp_extract(node_path, '\\[(\\d+)\\]$', 1)::BIGINT AS position FROM node WHERE regexp_matches(node_path, '(^|\\.){element}\\[\\d+\\]$'))"""
+
+
+_ROOT = ("id", "kind", "observed_at", "occurred_at", "integrity.algorithm", "integrity.digest", "provenance.collector", "source.kind", "source.locator", "subject.identifier", "subject.kind")
+_PAYLOAD = ("event_type", "schema", "session_id", "source_event_id", "summary", "context.branch", "harness.name", "harness.version", "redaction.policy", "redaction.version")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_excerpts": _flat("excerpts", kind="VARCHAR", text="VARCHAR"),
+        "p3_all_facets": _flat("facets", name="VARCHAR", value="VARCHAR"),
+        "p3_transformations": _flat("transformations"),
+        "p3_steps": _flat("steps", action="VARCHAR", note="VARCHAR"),
+        "p3_commands": _flat("commands", exit="BIGINT"),
+        "p3_argv": _flat("argv"),
+        "p3_outputs": _flat("outputs", stream="VARCHAR"),
+        "p3_lines": _flat("lines", level="VARCHAR", no="BIGINT"),
+        "p3_files": _flat("files", path="VARCHAR"),
+        "p3_hunks": _flat("hunks", line="BIGINT"),
+        "p3_links": _flat("links", identifier="VARCHAR", kind="VARCHAR"),
+        "p3_all_observations": READABLE
+        + "SELECT id AS observation_id, '' AS node_path, NULL::VARCHAR AS parent_element, NULL::VARCHAR AS parent_node, NULL::BIGINT AS position, NULL::VARCHAR AS payload_links, "
+        + ", ".join([f"d->>'$.{p}' AS {p.replace('.', '_')}" for p in _ROOT] + [f"payload->>'$.{p}' AS payload_{p.replace('.', '_')}" for p in _PAYLOAD])
+        + " FROM doc",
         "p2_found": JUDGED + "SELECT raw_id, reason FROM filed WHERE reason IS NOT NULL",
         "p2_reasons": JUDGED + "SELECT reason, count(*) AS files FROM filed WHERE reason IS NOT NULL GROUP BY reason",
         "p2_loaded": JUDGED + """
