@@ -94,6 +94,15 @@ def errors(r: Column) -> Column:
     return F.filter(F.array(*fired), lambda x: x.isNotNull())
 
 
+def _evaluated(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """``df`` with ``column`` as ``name``, evaluated once a row, however often it is used above.
+
+    The optimizer copies an expression to every use when it merges projections or moves filters below them; it
+    doesn't reach through a generator, here one of a single row.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.inline(F.array(F.struct(column.alias(name)))))
+
+
 def classify(files: DataFrame, key: str = "raw_id", body: str = "body", limit: int | None = 2) -> DataFrame:
     """One row per file: (key, records, errors, reason); reason is null for a file with exactly one valid event.
 
@@ -102,8 +111,8 @@ def classify(files: DataFrame, key: str = "raw_id", body: str = "body", limit: i
     that decide its reason, or, with None, all, so that ``errors`` is whole. Rows that share a key are judged one by one. An empty
     table gives no rows.
     """
-    read = read_records(files, key, body, limit).withColumn("records", F.transform(F.transform("records", _parsed), _fields))
-    judged = read.withColumn("errors", F.transform("records", errors))
+    read = _evaluated(read_records(files, key, body, limit), "records", F.transform(F.transform("records", _parsed), _fields))
+    judged = _evaluated(read, "errors", F.transform("records", errors))
     first, second = F.get(F.get("errors", F.lit(0)), F.lit(0)), F.get(F.get("errors", F.lit(1)), F.lit(0))
     reason = F.when(F.size("records") == 0, "empty-event").otherwise(F.coalesce(first, second, F.when(F.size("records") > 1, "multiple-events")))
     return judged.withColumn("reason", reason)
