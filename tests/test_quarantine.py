@@ -3,10 +3,13 @@ from __future__ import annotations
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tracewell.functions.fixed import EVENT_SCHEMA
 from tracewell.operators import quarantine as q
 from tracewell.queries.ledger import quarantine_errors
+from tracewell.sources import records
 
 
 def event(**changes) -> dict:
@@ -133,3 +136,65 @@ def test_reasons_of_all_lines_are_given(spark, tmp_path):
     spark.createDataFrame(list(enumerate(bodies)), "raw_id long, body string").write.parquet(str(tmp_path / "inbox_files.parquet"))
     got = {r.raw_id: (r.reason, r.errors) for r in quarantine_errors(spark, str(tmp_path)).collect()}
     assert got == {0: ("multiple-events", "invalid-event,unsupported-schema"), 1: ("unsupported-schema", "invalid-json,unsupported-schema")}
+
+
+FOREIGN = EVENT_SCHEMA[:-1] + "9"
+UNUSUAL = [
+    (text(schema=FOREIGN)[:-1] + ',"x":' + "[" * 3000 + "]" * 3000 + "}", "unsupported-schema"),
+    (text(schema=FOREIGN)[:-1] + ',"x":' + "7" * 2000 + "}", "unsupported-schema"),
+    (text(schema=FOREIGN)[:-1] + ',"' + "k" * 60_000 + '":1}', "unsupported-schema"),
+    (text(schema=FOREIGN)[:-1] + ',"x":{"a":1,"a":2}}', "invalid-json"),
+    (text(schema=FOREIGN)[:-1] + ',"x":{"a":1,"a":2},"y":' + "[" * 3000 + "]" * 3000 + "}", "invalid-json"),
+    (text()[:-1] + ',"x":' + "[" * 3000 + "]" * 3000 + "}", "invalid-json"),
+    (text(facets=[{"name": "n", "value": 0}]).replace(": 0}", ": -0}"), "invalid-json"),
+    (text(session_id="-0", facets=[{"name": "n", "value": -1}]), None),
+    (text(excerpts=[{"kind": "k", "text": "x"}, None]), "invalid-json"),
+    (text(excerpts=[{"kind": "k", "text": "x"}, {"kind": "k"}]), "invalid-json"),
+    (text(excerpts=[{"kind": "k", "text": "x"}, {"kind": "k", "text": None}]), "invalid-json"),
+    (text(facets=[{"name": "n", "value": "x"}, {"name": None, "value": 1}]), "invalid-json"),
+    (text(facets=[{"name": "n", "value": "x"}, {"name": "m", "value": {}}]), "invalid-json"),
+    (text(redaction={"policy": "p", "version": "1", "transformations": [None]}), "invalid-json"),
+    (text(redaction={"policy": "p", "version": "1", "transformations": ["a", 1]}), "invalid-json"),
+    (text(source={"kind": "agent-harness", "`l`": "x"}), "invalid-json"),
+]
+
+
+def test_unusual_records(spark):
+    assert reason(spark, *[body for body, _ in UNUSUAL]) == [expected for _, expected in UNUSUAL]
+
+
+def by_lines(body: str) -> list:
+    """``physical_records`` line by line."""
+    data, found, at, line, skipped = body.encode(), [], 0, 0, 0
+    while at < len(data) and len(found) < 3:
+        line += 1
+        if skipped == M:
+            return [*found, (line, "blank-input-limit", None)]
+        end = data.find(b"\n", at)
+        content = data[at : end if end >= 0 else len(data)]
+        at += len(content) + (end >= 0)
+        lead = len(content) - len(content.lstrip(b" \t\n\x0c\r"))
+        if skipped and skipped + lead > M:
+            return [*found, (line, "blank-input-limit", None)]
+        if len(content) > M:
+            return [*found, (line, "record-too-large", None)]
+        if lead == len(content):
+            skipped += lead + (end >= 0)
+            if skipped > M:
+                return [*found, (line, "blank-input-limit", None)]
+            continue
+        found.append((line, None, content.decode()))
+        skipped = 0
+    return found
+
+
+M = 6
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text("a \n\t", max_size=24))
+def test_lines_are_bounded_as_if_read_one_by_one(body):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(records, "MAX_BLANK_BYTES", M)
+        patch.setattr(records, "MAX_RECORD_BYTES", M)
+        assert records.physical_records(body, 3) == by_lines(body)

@@ -145,6 +145,20 @@ def compact(value: Any) -> str:
     return "".join(out)
 
 
+_any_keys = json.JSONDecoder(parse_constant=_refuse)
+
+
+def loads_but_keys(text: str) -> Any:
+    """``loads`` without a look at keys that come twice: the last one counts. Nothing of Python's runs per object, so it is much quicker."""
+    try:
+        value = _any_keys.decode(text)
+        if _SURROGATE.search(text):
+            json.dumps(value, ensure_ascii=False).encode()
+    except RecursionError:
+        return _deep(text, False)
+    return value
+
+
 def loads_or_none(text: str | None) -> Any:
     """The value of ``text``, or None if it is null or isn't strict JSON."""
     if text is None:

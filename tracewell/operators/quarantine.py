@@ -27,7 +27,7 @@ TEXTS = ("source_event_id", "occurred_at", "source.kind", "source.locator", "sub
 
 def _parsed(r: Column) -> Column:
     """A RECORD with its text as a variant; null beyond the depth that Spark reads to, which no event has."""
-    return F.struct(*[r[n].alias(n) for n in ("line", "problem", "is_json", "is_object", "schema", "has_minus_zero")], F.when(r.is_json & r.is_object, F.try_parse_json(r.text)).alias("v"))
+    return F.struct(*[r[n].alias(n) for n in ("line", "problem", "is_json", "is_object", "schema", "has_minus_zero", "keys_unread")], F.when(r.is_json & r.is_object, F.try_parse_json(r.text)).alias("v"))
 
 
 def _fields(r: Column) -> Column:
@@ -39,7 +39,8 @@ def _fields(r: Column) -> Column:
         lambda f: F.struct(f["name"].alias("name"), F.when(kind(f.value) == "STRING", "text").when(kind(f.value) == "BIGINT", "integer").when(kind(f.value) == "BOOLEAN", "boolean").alias("type"), F.try_variant_get(f.value, "$", "string").alias("value")),
     )
     return F.struct(
-        *[r[n].alias(n) for n in ("line", "problem", "is_json", "is_object", "schema", "has_minus_zero")],
+        *[r[n].alias(n) for n in ("line", "problem", "is_object", "schema", "has_minus_zero")],
+        (r.is_json & ~(r.keys_unread & r.is_object & r.v.isNull())).alias("is_json"),
         F.schema_of_variant(r.v).alias("shape"),
         *[get(f"$.{p}", "string").alias(p.replace(".", "_")) for p in TEXTS],
         get("$.redaction.transformations", "array<string>").alias("transformations"),
@@ -73,8 +74,7 @@ def rules(r: Column) -> list[tuple[Column, str]]:
     """(test, reason) in the order in which they count."""
     return [
         (r.problem.isNotNull(), "problem"),
-        (~r.is_json, "invalid-json"),
-        (~r.is_object | r.schema.isNull(), "invalid-json"),
+        (~r.is_json | ~r.is_object | r.schema.isNull(), "invalid-json"),
         (r.schema != EVENT_SCHEMA, "unsupported-schema"),
         (~_complete(r) | r.has_minus_zero, "invalid-json"),
         (rfc3339(r.occurred_at).isNull(), "invalid-json"),
