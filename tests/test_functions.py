@@ -240,3 +240,18 @@ def test_every_planned_facet_is_registered():
     assert {tuple(p.split(".", 1)) for p in planned} <= {*registry.tables, *registry.categories}
     duration = registry.lookup("session", "duration.bucket")
     assert [(b.name, b.upper) for b in duration.bands] == [("xs", 300), ("s", 900), ("m", 3600), ("l", 14400), ("xl", None)]
+
+
+KEYS = st.sampled_from(['"a"', '"b"', '"a\\\\"', '"a\\""', '"\\":"', '"\\u0061"', '"a": "x', '""'])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.recursive(st.sampled_from(["1", '"v\\":"', '"\\\\"', "null", "[]", "{}"]), lambda x: st.one_of(st.lists(x, max_size=3).map(lambda y: "[" + ",".join(y) + "]"), st.lists(st.tuples(KEYS, st.sampled_from([":", " : ", "\n:"]), x), max_size=3).map(lambda y: "{" + ",".join("".join(z) for z in y) + "}")), max_leaves=8))
+def test_repeated_keys_are_never_overlooked(text):
+    try:
+        expected = strict_json._plain.decode(text)
+    except ValueError:
+        with pytest.raises(ValueError):
+            strict_json.loads(text)
+    else:
+        assert strict_json.loads(text) == expected
