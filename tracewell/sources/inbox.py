@@ -157,7 +157,8 @@ class FileInbox:
 def read_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Ready files under ``path`` as (raw_id, file_name, body): whole, as UTF-8; a file that isn't UTF-8 has a body that no JSON reader takes.
 
-    ``raw_id`` is a hash of the name, so the same file has the same id in every run.
+    ``raw_id`` is a hash of the name, so the same file has the same id in every run. Spark's reader passes empty files
+    over, so they don't come out; ``streaming.ingest.ingest_inbox`` takes them from its list of claims.
     """
     columns = "path string, modificationTime timestamp, length long, content binary"
     reader = (spark.readStream if stream else spark.read).schema(columns).format("binaryFile").option("pathGlobFilter", "*.json")

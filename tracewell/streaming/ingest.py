@@ -51,8 +51,9 @@ def ingest_inbox(store: Store, inbox: FileInbox, observed_at: str, collector: st
     claims = list(inbox.claims())
     spark = store.spark
     order = spark.createDataFrame([(c.name, f"{i:09d}-{c.name}") for i, c in enumerate(claims)], "claim string, file_name string")
-    found = read_files(spark, str(inbox.processing)).select("raw_id", F.col("file_name").alias("claim"), "body")
-    files = cut(found.join(F.broadcast(order), "claim"))  # at most MAX_INBOX_ENTRIES names
+    found = read_files(spark, str(inbox.processing)).select(F.col("file_name").alias("claim"), "body")
+    # At most MAX_INBOX_ENTRIES names. An empty file isn't read, so it comes out of the list of claims.
+    files = cut(order.join(found, "claim", "left").select(F.xxhash64("claim").alias("raw_id"), "claim", "file_name", F.coalesce("body", F.lit("")).alias("body")))
     fated = cut(classify_batch(files.select("raw_id", "file_name", "body"), store.read("receipts")))
     new = ledger.harness_observations(fated.where("outcome = 'recorded'"), F.lit(observed_at).cast("timestamp"), collector)
     if claims:
