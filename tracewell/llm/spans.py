@@ -12,10 +12,11 @@ also agree on the L - d characters before them, which each suffix carries along;
 Scale: the first pass shuffles 16 bytes per kept suffix, to find the prefixes that more than one record
 has; only their suffixes come back with text. Prefixes vary in length: one with more suffixes than a task
 should hold is made longer by half of what it lacks to L characters. A repeat holds that half either after
-the prefix or before it, so each suffix goes on under both longer prefixes, and the group falls apart, level
-by level, until its parts fit a task and become subtrees. What is still too large at L characters is one
-repeat as it stands: its members are counted, not gathered. Records of a repeat are listed as members of a
-class; pairs are made from classes only where the caller asks for pairs.
+the prefix or before it, so each suffix goes on under both longer prefixes, and parts that fit a task become
+subtrees. After LEVELS such steps a part that is still too large is known to be mostly alike; its prefixes go
+to the full L characters, from each start that is left, and what shares one is a repeat as it stands: its
+members are counted, not gathered, and carry a hash instead of text. Records of a repeat are listed as
+members of a class; pairs are made from classes only where the caller asks for pairs.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ MIN_LENGTH = 150
 MAX_GROUP = 20_000
 #: Prefix hashes that a closure carries at most (8 bytes each); beyond, suffixes meet them in a join.
 MAX_CARRIED = 1_000_000
+#: How often prefixes of groups that are too large are made longer before they are made as long as a span.
+LEVELS = 2
 #: Members of a class that a task pairs with as many others; larger classes are paired block by block.
 PAIR_BLOCK = 1_000
 
@@ -324,7 +327,7 @@ def _longer(suffixes: DataFrame, length: int, half: int) -> DataFrame:
 def _from_longer_prefixes(suffixes: DataFrame, length: int, max_group: int) -> DataFrame:
     """FOUND rows of groups too large for a task: their parts under longer prefixes, as subtrees where they fit, as whole repeats in the end."""
     held, found, lacking = suffixes.withColumns({"a": F.lit(0), "b": F.lit(0)}), [], length - length // 2
-    while lacking:
+    for _ in range(LEVELS):
         half = (lacking + 1) // 2
         lacking -= half
         parts = cut(_longer(held, length, half))
@@ -332,10 +335,9 @@ def _from_longer_prefixes(suffixes: DataFrame, length: int, max_group: int) -> D
         marked = cut(lookup(parts, counts.select("prefix", "n"), "prefix", parts.count(), "inner"))
         found.append(_from_subtrees(marked.where(F.col("n") <= max_group).select("prefix", "doc_id", "pos", "before", "after"), length))
         held = marked.where(F.col("n") > max_group)
-        if held.isEmpty():
+        if not lacking or held.isEmpty():
             break
-    else:
-        found.append(_whole_repeats(held, length))
+    found.append(_whole_repeats(held, length))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -343,7 +345,7 @@ def _from_longer_prefixes(suffixes: DataFrame, length: int, max_group: int) -> D
 
 
 def _whole_repeats(suffixes: DataFrame, length: int) -> DataFrame:
-    """FOUND rows of _LEVEL rows whose prefixes have ``length`` characters: suffixes that share one are counted, not gathered.
+    """FOUND rows of _LEVEL rows under prefixes of ``length`` characters, from each start that contains theirs: suffixes that share one are counted, not gathered.
 
     A class whose members all have the same character before is told by the class one character earlier, and left out.
     """
@@ -352,9 +354,12 @@ def _whole_repeats(suffixes: DataFrame, length: int) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, pos, before, after, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pos", "before", "after", "b"))):
-                at, whole = len(before) - b, before + after
-                out.append((xxhash.xxh3_128_hexdigest(whole[at : at + length].encode("utf-8", "surrogatepass")), doc, pos - b, whole[at - 1] if at and b < room else None))
+            for doc, pos, before, after, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pos", "before", "after", "a", "b"))):
+                whole, lacking = before + after, room - a - b
+                for back in range(min(b + lacking, len(before)), b - 1, -1):
+                    at = len(before) - back
+                    if at + length <= len(whole):
+                        out.append((xxhash.xxh3_128_hexdigest(whole[at : at + length].encode("utf-8", "surrogatepass")), doc, pos - back, whole[at - 1] if at and back < room else None))
             columns = zip(*out) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.string()))], names=["window", "doc_id", "start", "char"])
 
